@@ -42,10 +42,10 @@ ls AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup,
   count(*) FILTER (WHERE regexp_matches(line, '\.\.\.[\x20\x09-\x0D]*$')) AS n_dots
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 m AS (
-  SELECT w.r, w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS word_chars,
+  SELECT w.r, w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines,
     coalesce(n_dots, 0) AS n_dots, coalesce(repeats.n, 0) AS n_repeat_words,
-    len(list_filter(ws, x -> regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper
+    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper
   FROM w LEFT JOIN ls USING (r) LEFT JOIN repeats USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
