@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import decontaminate, mixing, quality_rules, simhash
+from gridwright.llm import decontaminate, mixing, quality_rules, simhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 400 bytes take from every document."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_simhash_near_dedup, op4_decontamination, op6_quality_rules, op8_mixing)
+    own = (op2_simhash_near_dedup, op4_decontamination, op6_quality_rules, op8_mixing, op10_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
