@@ -6,18 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import decontaminate, mixing, quality_rules, simhash, suffix_dedup
+from gridwright.llm import decontaminate, mixing, nbsvm, quality_rules, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learnt from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.score(docs, nbsvm.train(docs, table(spark, sf_dir, "labels"), "quality"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Tokens of every document by the 32k byte-pair model (``model``: another one's path)."""
+    import public_tokenizers
+
+    vocabulary = token_counts.Vocabulary.load(model or public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds template windows of a benchmark item, with the item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -39,7 +53,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_simhash_near_dedup, op4_decontamination, op6_quality_rules, op8_mixing, op10_suffix_dedup)
+    own = (op1_quality_classifier, op2_simhash_near_dedup, op3_token_counts, op4_decontamination, op6_quality_rules, op8_mixing, op10_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
