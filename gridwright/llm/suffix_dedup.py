@@ -254,7 +254,7 @@ def _indexed(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(index, "rid bigint, start bigint, end bigint")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 10_000) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000) -> DataFrame:
     """``rid`` and its ``spans`` (array of start and end, not merged) of every text with repeated strings."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     texts = _rows(docs, id_col, text_col)
@@ -291,7 +291,7 @@ def kept(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in removed), len(text)]))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 10_000) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000) -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).cast("binary").alias("text"))
@@ -308,7 +308,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text
     return both.mapInArrow(apply, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 10_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000) -> DataFrame:
     """``docs`` with the repeated strings cut out of the text; halves of characters at a cut go with them."""
     found = spans(docs, length, id_col=id_col, text_col=text_col, hot=hot)
     both = docs.withColumn("__rid", F.xxhash64(F.col(id_col), F.col(text_col))).join(found.withColumnRenamed("rid", "__rid").withColumnRenamed("spans", "__spans"), "__rid", "left")
