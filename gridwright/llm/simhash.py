@@ -12,9 +12,10 @@ into its subtries: each is walked by one task.  A subtrie with more than
 pairs become keys of their own, four levels at a time, until none is too large.
 
 Nulls and texts without words have fingerprint zero and link like any other.
-Repeated rows and ties share a fingerprint, so they are one leaf.  A null id
-never becomes the name of a component unless all of its rows have none.  An
-empty table gives an empty result; other columns play no part.
+Repeated rows and ties share a fingerprint, so they are one leaf.  Rows without
+an id belong to their fingerprint's component, which no such row names; a
+fingerprint of such rows only links nothing and has a null component.  An empty
+table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.llm import rolling
 from gridwright.llm.components import components, stars
 from gridwright.llm.scratch import Scratch
 from gridwright.llm.skew import join_counted
@@ -42,27 +44,36 @@ LEVELS = 4
 SEED = 42
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The unsigned SimHash of the text's shingles of ``width`` words."""
+def sketch(text: bytes | None, width: int = 3, tables: int = 1) -> np.ndarray:
+    """SimHash fingerprints of the text's shingles of ``width`` words; the first is that of the shingles' XXH64."""
     words = (text or b"").lower().split()  # bytes: A-Z only, and only ASCII white space
     if not words:
-        return 0
+        return np.zeros(tables, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
-    ones = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    out = np.empty(tables, np.uint64)
+    for t in range(tables):
+        own = rolling.mix(hashes ^ np.uint64(t * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if t else hashes
+        ones = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int32)
+        out[t] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a text."""
+    return int(sketch(text, width)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed bigint."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``fps``, its fingerprints as signed bigints."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = np.array([fingerprint(x, width) for x in batch.column(1).to_pylist()], np.uint64)
-            yield record_batch([batch.column(0), found.view(np.int64)], schema)
+            found = [sketch(x, width, tables).view(np.int64).tolist() for x in batch.column(1).to_pylist()]
+            yield record_batch([batch.column(0), found], schema)
 
-    return binary_texts(docs, id_col, text_col).mapInArrow(apply, "doc_id bigint, fp bigint")
+    return binary_texts(docs, id_col, text_col).mapInArrow(apply, "doc_id bigint, fps array<bigint>")
 
 
 def walk(keys: np.ndarray, exact: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,19 +124,22 @@ def _turn(fp: F.Column, by: int) -> F.Column:
 
 
 def _pairs_within(keys: DataFrame, group: list[str], budget: int) -> DataFrame:
-    """Star edges ``(a, b)`` between the turned fingerprints of each group, turned back."""
+    """Star edges ``(a, b)`` between the nodes that own the turned fingerprints of each group."""
     turns = blocks(budget)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(r: int, key: np.ndarray) -> pa.RecordBatch | None:
-        by, exact = turns[r]
-        key = np.unique(key.view(np.uint64))
-        label = stars(len(key), *walk(key, exact, budget))
+    def links(r: int, key: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
+        key, first = np.unique(key.view(np.uint64), return_index=True)
+        node = node[first]
+        label = stars(len(key), *walk(key, turns[r % len(turns)][1], budget))
         at = np.flatnonzero(label != np.arange(len(key)))
-        if not len(at):
-            return None
-        back = (key >> np.uint64(by)) | (key << np.uint64(BITS - by)) if by else key
-        return record_batch([back[at].view(np.int64), back[label[at]].view(np.int64)], schema)
+        return record_batch([node[at], node[label[at]]], schema) if len(at) else None
+
+    def by_turn(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        turn, key, node = (rows.column(x).to_numpy() for x in ("r", "key", "node"))
+        for r in np.unique(turn):
+            if (found := links(int(r), key[turn == r], node[turn == r])) is not None:
+                yield found
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -134,17 +148,11 @@ def _pairs_within(keys: DataFrame, group: list[str], budget: int) -> DataFrame:
             if sum(x.num_rows for x in held) >= LIMIT:
                 whole, rest = _whole_groups(pa.Table.from_batches(held), len(group))
                 held = rest.to_batches()
-                yield from _by_turn(whole)
+                yield from by_turn(whole)
         if held:
-            yield from _by_turn(pa.Table.from_batches(held))
-
-    def _by_turn(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        turn, key = rows.column("r").to_numpy(), rows.column("key").to_numpy()
-        for r in np.unique(turn):
-            if (found := links(int(r), key[turn == r])) is not None:
-                yield found
+            yield from by_turn(pa.Table.from_batches(held))
 
-    dealt = keys.select(*group, "key").repartition(*group).sortWithinPartitions(*group)
+    dealt = keys.select(*group, "key", "node").repartition(*group).sortWithinPartitions(*group)
     return dealt.mapInArrow(apply, "a bigint, b bigint")
 
 
@@ -158,22 +166,23 @@ def _whole_groups(rows: pa.Table, width: int) -> tuple[pa.Table, pa.Table]:
     return rows.slice(0, cut), rows.slice(cut)
 
 
-def links(fps: DataFrame, budget: int, scratch: Scratch, limit: int = LIMIT) -> DataFrame:
-    """Edges ``(a, b)`` that connect what the links within the budget connect; ``fps`` has a distinct ``fp`` a row.
+def links(leaves: DataFrame, budget: int, scratch: Scratch, limit: int = LIMIT) -> DataFrame:
+    """Edges ``(a, b)`` that connect what the links within the budget connect.
 
-    The edges are stars around the smallest fingerprint of what one task found
-    connected, so there are fewer of them than fingerprints for each block.
+    ``leaves`` has a table number ``t``, a fingerprint ``fp`` and the ``node``
+    that owns it; ``fp`` is distinct within its table.  The edges are stars
+    around one node of what a task found connected, so each leaf has one at
+    most for each block.
     """
     turns = blocks(budget)
-    kinds = [F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(_turn(F.col("fp"), by), BITS - w).alias("block"), _turn(F.col("fp"), by).alias("key")) for r, (by, w) in enumerate(turns)]
-    keys = fps.select(F.inline(F.array(*kinds)))
-    large = keys.groupBy("r", "block").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("r", "block")
-    large = scratch.cut(large)
+    kinds = [F.struct((F.col("t") * len(turns) + r).alias("r"), F.shiftrightunsigned(_turn(F.col("fp"), by), BITS - w).alias("block"), _turn(F.col("fp"), by).alias("key"), "node") for r, (by, w) in enumerate(turns)]
+    keys = leaves.select(F.inline(F.array(*kinds)))
+    large = scratch.cut(keys.groupBy("r", "block").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("r", "block"))
     if not large.count():
         return _pairs_within(keys, ["r", "block"], budget)
     found = _pairs_within(keys.join(large, ["r", "block"], "left_anti"), ["r", "block"], budget)
-    width = F.element_at(F.array(*(F.lit(w) for _, w in turns)), F.col("r") + 1)
-    rows = keys.join(large, ["r", "block"]).select("r", "key", F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"), width.alias("depth"))
+    width = F.element_at(F.array(*(F.lit(w) for _, w in turns)), F.col("r") % len(turns) + 1)
+    rows = keys.join(large, ["r", "block"]).select("r", "key", "node", F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"), width.alias("depth"))
     while True:
         rows = _descend(rows, budget)
         size = rows.groupBy("r", "lo", "hi").agg(F.sum("side").alias("ones"), F.count("*").alias("n"))
@@ -196,19 +205,37 @@ def _descend(rows: DataFrame, budget: int) -> DataFrame:
     deeper = deeper.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.expr("cast(shiftleft(1, cast(to - depth as int)) - 1 as int)")), lambda x: F.lit(0).cast("bigint") + x))).withColumn("top", other)
     deeper = deeper.withColumn("other", F.expr("shiftleft(top, cast(to - depth as int)) | other"))
     deeper = deeper.where(F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= budget)
-    return deeper.select("r", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("to").alias("depth"))
+    return deeper.select("r", "key", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("to").alias("depth"))
+
 
+def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2, tables: int = 1, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``fingerprint`` (hexadecimal) and ``component_id``, the smallest id reachable over links.
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fingerprint`` (hexadecimal) and ``component_id``, the smallest id reachable over links."""
+    With more than one table, documents also link if any further fingerprint of
+    theirs, from the same shingles by another hash, is within the budget: a
+    pair whose fingerprints differ in a few bits more is found by one of them.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marks = scratch.cut(fingerprints(docs, width, id_col=id_col, text_col=text_col))
-    fps = scratch.cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    edges = links(fps.select("fp"), budget, scratch, limit)
-    roots = components(edges, scratch)
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    named = scratch.cut(named)
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
-    classes = scratch.cut(join_counted(named, least, "root", "size", fps.count()).select("fp", "n", "component_id"))
-    out = join_counted(marks, classes, "fp", "n", marks.count())
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = F.col("fps")[0] if tables == 1 else F.xxhash64("fps")
+    marks = scratch.cut(fingerprints(docs, width, tables, id_col=id_col, text_col=text_col).withColumn("class", own))
+    classes = scratch.cut(marks.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("fps").alias("fps")))
+    leaves = classes.where("node is not null").select("node", F.posexplode("fps").alias("t", "fp"))
+    edges = None
+    if tables > 1:
+        # classes that share a fingerprint of one table are one leaf of it
+        shared = leaves.groupBy("t", "fp").agg(F.min("node").alias("low"), F.count("*").alias("n")).withColumn("tf", F.struct("t", "fp"))
+        twice = shared.where("n > 1").select("tf", "low", "n")
+        edges = join_counted(leaves.select("node", F.struct("t", "fp").alias("tf")), twice, "tf", "n", leaves.count()).select(F.col("node").alias("a"), F.col("low").alias("b"))
+        leaves = shared.select("t", "fp", F.col("low").alias("node"))
+    found = links(leaves, budget, scratch, limit)
+    roots = components(found if edges is None else found.unionByName(edges), scratch)
+    named = scratch.cut(classes.select("class", "node", "n").join(roots, "node", "left").select("class", "n", F.coalesce("root", "node").alias("component_id")))
+    out = join_counted(marks, named, "class", "n", marks.count())
+    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component; rows without an id stay."""
+    found = near_duplicates(docs, id_col=id_col, **how)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti")
