@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import decontaminate, mixing, nbsvm, quality_rules, simhash, suffix_dedup, token_counts
+from gridwright.llm import chunk_dedup, decontaminate, html_template, mixing, nbsvm, quality_rules, simhash, suffix_dedup, token_counts, url_graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,23 +37,38 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with runs of content-defined chunks that repeat."""
+    return chunk_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the cascade for every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_template.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return url_graph.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated strings of 400 bytes take from every document."""
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_classifier, op2_simhash_near_dedup, op3_token_counts, op4_decontamination, op6_quality_rules, op8_mixing, op10_suffix_dedup)
+    own = (op1_quality_classifier, op2_simhash_near_dedup, op3_token_counts, op4_decontamination, op5_chunk_dedup, op6_quality_rules, op7_html_template, op8_mixing, op9_url_graph, op10_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
