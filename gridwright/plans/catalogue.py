@@ -1,13 +1,361 @@
-"""Registered queries of the array engine and their SQL counterparts."""
+"""Registered queries of the array engine and the SQL each must equal.
+
+Names begin with the number of the operator in the inventory.  Fractions that
+two engines may round apart are compared as whole millionths (``v`` by
+:func:`millionths`).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridwright.functions import kernels as k
+from gridwright.functions.shapes import Region
+from gridwright.operators import combine, complexes, fourier, index_space, interpolate, iterative, stencil, vectors
+from gridwright.operators import elementwise as e
+from gridwright.operators import reduce as r
+from gridwright.operators.grid import Grid
+from gridwright.operators.quaternion import Quaternion, rotate_columns
+from gridwright.plans import inputs as i
+from gridwright.plans.inputs import COUNT, DOUBLES, HOURS, IMAGE, PAIRS, SHIPPED, VECTORS
+from gridwright.sources import procedural, tables
+
 FLAGSHIP = "emb_sobel_energy"
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def _add(name: str, f: Callable[[SparkSession, str], Grid | DataFrame], sql: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f(spark, sf_dir)
+        return out.cells if isinstance(out, Grid) else out
+
+    run.__name__ = name
+    _queries[name] = run
+    if sql:
+        _sql[name] = sql
+
+
+def millionths(g: Grid) -> Grid:
+    return g.with_value(F.floor(g.value * 1e6 + 0.5).cast("bigint"))
+
 
+def _mq(x: str) -> str:
+    return f"CAST(floor(({x}) * 1e6 + 0.5) AS BIGINT)"
 
-def queries() -> dict:
-    return {}
+
+def _img(expression: str, source: str = IMAGE, tail: str = "") -> str:
+    return f"WITH {source}, {COUNT} SELECT x, y, {expression} AS v FROM img, n {tail}"
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# --- sources -------------------------------------------------------------------------------------------------------
+
+_add("s4_rows_as_image", i.embq, _img("v"))
+_add("s5_sparse_made_dense", i.hours, f"WITH {HOURS} SELECT x, y, z, v FROM img")
+_add("s5_lineitem_volume", i.shipped, f"WITH {SHIPPED} SELECT x, y, z, v FROM img")
+_add("s8_max_range", lambda s, d: r.max_range_converted(i.emb(s, d), 0, 255), f"WITH {DOUBLES}, m AS (SELECT min(v) lo, max(v) hi FROM img) SELECT x, y, CAST(trunc((v - lo) * (255.0 / (hi - lo)) + 0) AS BIGINT) AS v FROM img, m")
+_add("s8_max_range_whole", lambda s, d: r.max_range_converted(i.embq(s, d), 0, 65535), f"WITH {IMAGE}, m AS (SELECT min(v) lo, max(v) hi FROM img) SELECT x, y, CAST((v - lo) * (65535 // (hi - lo)) AS BIGINT) AS v FROM img, m")
+_add("s13_fill", lambda s, d: tables.filled(i.embq(s, d), 7), _img("7"))
+_add("s13_clear", lambda s, d: tables.cleared(i.embq(s, d)), _img("0"))
+
+# --- generators ----------------------------------------------------------------------------------------------------
+
+_GRID = "g AS (SELECT a.x, b.y FROM range(40) a(x) CROSS JOIN range(30) b(y))"
+_SIZE = (40, 30)
+_add("g1_constant", lambda s, d: procedural.constant(s, 5, _SIZE), f"WITH {_GRID} SELECT x, y, 5 AS v FROM g")
+_add("g2_unique_id", lambda s, d: procedural.unique_id(s, _SIZE, 100), f"WITH {_GRID} SELECT x, y, 100 + x + 40 * y AS v FROM g")
+_add("g3_checkerboard", lambda s, d: procedural.checkerboard(s, 1, 0, (2, 3), _SIZE), f"WITH {_GRID} SELECT x, y, CASE WHEN (x // 2 + y // 3) % 2 = 1 THEN 1 ELSE 0 END AS v FROM g")
+_add("g3_checkerboard_sum", lambda s, d: r.total(procedural.checkerboard(s, 1, 0, (2, 2), (16, 16))), "SELECT CAST(128 AS BIGINT) AS v")
+_add("g4_sinus", lambda s, d: millionths(procedural.sinus(s, (1.5, 2.0), (2.0, 3.0), (0.1, 0.7), _SIZE)), f"WITH {_GRID} SELECT x, y, {_mq('1.5 * sin(2 * pi() * 2 * x / 40.0 + 0.1) + 2.0 * sin(2 * pi() * 3 * y / 30.0 + 0.7)')} AS v FROM g")
+_add("g5_mesh_grid", lambda s, d: combine.zipped(*procedural.mesh_grid(s, (5, 10), (45, -20))).with_value(F.col("v0") * 1000 + F.col("v1")), f"WITH {_GRID} SELECT x, y, (5 + x) * 1000 + (10 - y) AS v FROM g")
+_add("g6_index", lambda s, d: procedural.index_view(s, _SIZE).with_value(vectors.total(F.array("x", "y"))), f"WITH {_GRID} SELECT x, y, x + y AS v FROM g")
+_add("g7_mandelbrot", lambda s, d: procedural.mandelbrot(s, (60, 40)))
+_add("g8_superposed_boards", lambda s, d: procedural.superposed_boards(s, (81, 81), 4), f"WITH g AS (SELECT a.x, b.y FROM range(81) a(x) CROSS JOIN range(81) b(y)) SELECT x, y, CAST({' + '.join(f'(x // {3**p} + y // {3**p}) % 2' for p in range(4))} AS INTEGER) AS v FROM g")
+
+# --- element-wise --------------------------------------------------------------------------------------------------
+
+_add("u1_cast", lambda s, d: e.cast(e.multiply_by(i.emb(s, d), 10.0), "int"), _img("CAST(trunc(v * 10.0) AS INTEGER)", DOUBLES))
+_add("u2_round", lambda s, d: e.cast(e.rounded(e.multiply_by(i.emb(s, d), 10.0)), "bigint"), _img("CAST(round(v * 10.0) AS BIGINT)", DOUBLES))
+_add("u3_clamp", lambda s, d: e.clamp(i.embq(s, d), -500, 700), _img("CASE WHEN v <= -500 THEN -500 WHEN v >= 700 THEN 700 ELSE v END"))
+_add("u4_normalize_complex", lambda s, d: (lambda g: millionths(g.with_value(g.value["re"] * 2 + g.value["im"])))(complexes.normalized(i.emb_pairs(s, d))), f"WITH {PAIRS} SELECT x, y, {_mq('CASE WHEN sqrt(re*re+im*im) < 1e-6 THEN 0 ELSE re/sqrt(re*re+im*im)*2 + im/sqrt(re*re+im*im) END')} AS v FROM img")
+_add("u5_square", lambda s, d: e.square(i.embq(s, d)), _img("v * v"))
+_add("u6_square_root", lambda s, d: e.square_root(e.absolute(i.embq(s, d))), _img("sqrt(abs(v))"))
+_add("u7_multiply", lambda s, d: e.multiply_by(i.embq(s, d), 3), _img("3 * v"))
+_add("u8_add", lambda s, d: e.add_value(i.embq(s, d), 17), _img("17 + v"))
+_add("u9_lower_limit", lambda s, d: e.lower_limit(i.embq(s, d), 0), _img("greatest(v, 0)"))
+_add("u10_lower_limit_instead", lambda s, d: e.lower_limit(i.embq(s, d), 0, -1), _img("CASE WHEN v < 0 THEN -1 ELSE v END"))
+_add("u11_upper_limit", lambda s, d: e.upper_limit(i.embq(s, d), 100), _img("least(v, 100)"))
+_add("u12_upper_limit_instead", lambda s, d: e.upper_limit(i.embq(s, d), 100, 9999), _img("CASE WHEN v > 100 THEN 9999 ELSE v END"))
+_add("u13_absolute", lambda s, d: e.absolute(i.embq(s, d)), _img("abs(v)"))
+_add("u14_magnitude", lambda s, d: millionths(complexes.magnitude(i.emb_pairs(s, d))), f"WITH {PAIRS} SELECT x, y, {_mq('sqrt(re*re + im*im)')} AS v FROM img")
+_add("u15_phase", lambda s, d: millionths(complexes.phase(i.emb_pairs(s, d))), f"WITH {PAIRS} SELECT x, y, {_mq('CASE WHEN re = 0 AND im = 0 THEN 0 WHEN atan2(im, re) < 0 THEN atan2(im, re) + 2 * pi() ELSE atan2(im, re) END')} AS v FROM img")
+_add("u16_conjugate", lambda s, d: (lambda g: g.with_value(g.value["re"] - g.value["im"]))(complexes.conjugated(i.emb_pairs(s, d))), f"WITH {PAIRS} SELECT x, y, re - (-im) AS v FROM img")
+_add("u17_amplitude", lambda s, d: complexes.amplitude(i.emb_pairs(s, d)), f"WITH {PAIRS} SELECT x, y, re*re + im*im AS v FROM img")
+_add("u18_perceptual_scale", lambda s, d: millionths(e.perceptual_scale(e.absolute(i.emb(s, d)))), _img(_mq("ln(1 + abs(v))"), DOUBLES))
+_add("u19_identity", lambda s, d: e.identity(i.embq(s, d)), _img("v"))
+_add("u20_increment", lambda s, d: e.increment(i.embq(s, d), 1), _img("v + 1"))
+_add("u21_value_and_index", lambda s, d: e.for_each_position(i.embq(s, d), lambda v, x, y: v * (x + 1) - y), _img("v * (x + 1) - y"))
+_add("u22_phase_shift", lambda s, d: (lambda g: millionths(g.with_value(g.value["re"] + 2 * g.value["im"])))(complexes.phase_shift(i.emb_pairs(s, d), (3.0, 0.0), (32, 1))), f"WITH {PAIRS}, t AS (SELECT *, -2 * pi() * 3.0 / 32 * x AS t FROM img) SELECT x, y, {_mq('(re*cos(t) - im*sin(t)) + 2 * (re*sin(t) + im*cos(t))')} AS v FROM t")
+_add("u23_wiener_factor", lambda s, d: (lambda g: millionths(g.with_value(g.value["re"] - g.value["im"])))(complexes.wiener(i.emb_pairs(s, d), 0.01)), f"WITH {PAIRS} SELECT x, y, {_mq('re/(re*re+im*im+0.01) + im/(re*re+im*im+0.01)')} AS v FROM img")
+_add("u24_threshold", lambda s, d: e.threshold(i.embq(s, d), 100), _img("CASE WHEN v > 100 THEN 255 ELSE 0 END"))
+
+# --- combinations --------------------------------------------------------------------------------------------------
+
+
+def _board(s, d):
+    """A board of the image's size: another DataFrame, so combining takes a join."""
+    return procedural.checkerboard(s, 10, 3, (4, 4), (i.WIDTH, i.height(s, d)))
+
+
+_BOARD = "CASE WHEN (x // 4 + y // 4) % 2 = 1 THEN 10 ELSE 3 END"
+_add("b1_add_two_sources", lambda s, d: i.embq(s, d) + _board(s, d), _img(f"v + {_BOARD}"))
+_add("b1_subtract_same_source", lambda s, d: (lambda g: combine.subtract(g, e.square(g)))(i.embq(s, d)), _img("v - v * v"))
+_add("b1_linear_combination", lambda s, d: combine.linear_combination(2, i.embq(s, d), -3, _board(s, d)), _img(f"2 * v - 3 * {_BOARD}"))
+_add("b2_multiply", lambda s, d: combine.multiply(i.embq(s, d), _board(s, d)), _img(f"v * {_BOARD}"))
+_add("b2_complex_product", lambda s, d: (lambda g: (lambda p: p.with_value(p.value["re"] - p.value["im"]))(combine.multiply(g, g)))(i.emb_pairs(s, d)), f"WITH {PAIRS} SELECT x, y, (re*re - im*im) - (re*im + im*re) AS v FROM img")
+_add("b3_divide_whole", lambda s, d: i.embq(s, d) / _board(s, d), _img(f"CAST(trunc(CAST(v AS DOUBLE) / {_BOARD}) AS BIGINT)"))
+_add("b3_divide_fractions", lambda s, d: (lambda g: g / (e.absolute(g) + 1.0))(i.emb(s, d)), _img("v / (abs(v) + 1.0)", DOUBLES))
+_add("b4_hadamard", lambda s, d: (lambda g: (lambda p: p.with_value(p.value["re"] + p.value["im"]))(combine.hadamard(g, complexes.conjugated(g))))(i.emb_pairs(s, d)), f"WITH {PAIRS} SELECT x, y, re*re + im*(-im) AS v FROM img")
+_add("b5_binary", lambda s, d: combine.binary(F.greatest, i.embq(s, d), _board(s, d).with_value(_board(s, d).value.cast("bigint"))), _img(f"greatest(v, {_BOARD})"))
+_add("b6_n_ary", lambda s, d: combine.n_ary(lambda a, b, c: a + b * c, i.embq(s, d), _board(s, d), procedural.unique_id(s, (i.WIDTH, i.height(s, d)))), _img(f"v + {_BOARD} * (x + 64 * y)"))
+_add("b7_zip", lambda s, d: (lambda z: z.with_value(z.value["_0"] * 2 + z.value["_1"]))(combine.zipped(i.embq(s, d), _board(s, d))), _img(f"v * 2 + {_BOARD}"))
+_add("b8_zip_with_position", lambda s, d: (lambda z: z.with_value(z.value["element"] + z.value["position"][0] * z.value["position"][1]))(e.with_position(i.embq(s, d))), _img("v + x * y"))
+_add("b9_operators", lambda s, d: (lambda g: 5 - (g * 2 + 1))(i.embq(s, d)), _img("5 - (v * 2 + 1)"))
+_add("b10_cross_power_spectrum", lambda s, d: (lambda g: (lambda p: millionths(p.with_value(p.value["re"])))(combine.cross_power_spectrum(g, g)))(i.emb_pairs(s, d)), f"WITH {PAIRS} SELECT x, y, CAST(CASE WHEN sqrt(re*re+im*im)*sqrt(re*re+im*im) < 1e-6 THEN 0 ELSE 1000000 END AS BIGINT) AS v FROM img")
+
+# --- index space ---------------------------------------------------------------------------------------------------
+
+_add("i1_subview", lambda s, d: index_space.subview(i.embq(s, d), (10, 100), (20, 300)), _img("v", tail="WHERE x BETWEEN 10 AND 29 AND y BETWEEN 100 AND 399").replace("SELECT x, y, v AS v", "SELECT x - 10 AS x, y - 100 AS y, v"))
+_add("i1_subview_computed", lambda s, d: index_space.subview(procedural.unique_id(s, (1 << 20, 1 << 20)), (1000, 2000), (8, 4)), "SELECT a.x, b.y, (1000 + a.x) + 1048576 * (2000 + b.y) AS v FROM range(8) a(x) CROSS JOIN range(4) b(y)")
+_add("i3_slice_y", lambda s, d: index_space.sliced(i.embq(s, d), 1, 7), f"WITH {IMAGE} SELECT x, v FROM img WHERE y = 7")
+_add("i3_slice_volume", lambda s, d: index_space.sliced(i.shipped(s, d), 0, 3), f"WITH {SHIPPED} SELECT y AS x, z AS y, v FROM img WHERE x = 3")
+_add("i4_array_subview", lambda s, d: index_space.array_subview(index_space.sliced(i.embq(s, d), 0, 5), 50, 90), f"WITH {IMAGE} SELECT y - 50 AS x, v FROM img WHERE x = 5 AND y >= 50 AND y < 90")
+_add("i5_mirror", lambda s, d: index_space.mirrored(i.embq(s, d), (True, True)), _img("v").replace("SELECT x, y, v AS v", "SELECT 63 - x AS x, n.n - 1 - y AS y, v"))
+_add("i5_mirror_pair_sum", lambda s, d: (lambda b: combine.add(b, index_space.mirrored(b, (True, False))))(procedural.checkerboard(s, 4, 0, (2, 2), (16, 16))), "SELECT a.x, b.y, CAST(4 AS BIGINT) AS v FROM range(16) a(x) CROSS JOIN range(16) b(y)")
+_add("i6_padded", lambda s, d: index_space.padded(i.embq(s, d), (100, i.height(s, d) + 50), (-30, 20), -1), f"WITH {IMAGE}, {COUNT}, g AS (SELECT a.x, b.y FROM range(100) a(x) CROSS JOIN (SELECT unnest(range(n + 50)) AS y FROM n) b) SELECT g.x, g.y, coalesce(img.v, -1) AS v FROM g CROSS JOIN n LEFT JOIN img ON img.x = (g.x + 30) % 100 AND img.y = (g.y - 20 + n.n + 50) % (n.n + 50)")
+_add("i7_swizzle", lambda s, d: index_space.swizzled(i.shipped(s, d), (2, 0, 1)), f"WITH {SHIPPED} SELECT z AS x, x AS y, y AS z, v FROM img")
+_add("i11_stack", lambda s, d: index_space.stack_slice(i.shipped(s, d), 2), f"WITH {SHIPPED} SELECT x, y, v FROM img WHERE z = 2")
+_add("i12_linear_index", lambda s, d: procedural.linear_ids(i.embq(s, d)), _img("x + 64 * y"))
+_add("i12_reshape", lambda s, d: index_space.reshaped(i.embq(s, d), (32, 2 * i.height(s, d))), _img("v").replace("SELECT x, y, v AS v", "SELECT (x + 64 * y) % 32 AS x, (x + 64 * y) // 32 AS y, v"))
+_add("i10_bounded", lambda s, d: index_space.bounded(i.embq(s, d), (80, 20), (-8, -5), 0), f"WITH {IMAGE}, g AS (SELECT a.x, b.y FROM range(80) a(x) CROSS JOIN range(20) b(y)) SELECT g.x, g.y, coalesce(img.v, 0) AS v FROM g LEFT JOIN img ON img.x = g.x - 8 AND img.y = g.y - 5")
+
+# --- stencils ------------------------------------------------------------------------------------------------------
+
+
+def _place(c: str, d: str, n: str, border: str) -> str:
+    at = f"({c} + {d})"
+    if border == "repeat":
+        return f"greatest(0, least({n} - 1, {at}))"
+    if border == "mirror":
+        return f"CASE WHEN {at} < 0 THEN -{at} WHEN {at} > {n} - 1 THEN 2 * ({n} - 1) - {at} ELSE {at} END"
+    if border == "periodic":
+        return f"(({at} + {n}) % {n})"
+    return at
+
+
+def _conv_sql(taps: list[tuple], border: str = "repeat", source: str = IMAGE, what: str = "CAST(sum(b.v * t.w) AS BIGINT)", sizes: tuple[str, ...] = ("64", "(SELECT n FROM n)")) -> str:
+    """A gather: every cell joins its taps' cells."""
+    dims = "xyz"[: len(sizes)]
+    names = ", ".join([*(f"d{c}" for c in dims), "w"])
+    rows = ", ".join(f"({', '.join(map(str, t))})" for t in taps)
+    on = " AND ".join(f"b.{c} = {_place(f'a.{c}', f't.d{c}', n, border)}" for c, n in zip(dims, sizes))
+    keys = ", ".join(f"a.{c}" for c in dims)
+    join = "LEFT JOIN" if border == "zero" else "JOIN"
+    value = what.replace("sum(b.v * t.w)", "sum(coalesce(b.v, 0) * t.w)") if border == "zero" else what
+    return f"WITH {source}, {COUNT}, t({names}) AS (VALUES {rows}) SELECT {keys}, {value} AS v FROM img a CROSS JOIN t {join} img b ON {on} GROUP BY {keys}"
+
+
+def _taps(kernel: k.Kernel) -> list[tuple]:
+    from gridwright.functions.shapes import offsets
+
+    return [(*o, kernel.at(o)) for _, o in offsets(kernel.size, kernel.centre)]
+
+
+_BOX = k.constant(3, (3, 3))
+_ASYM = k.Kernel.of([[3, 0, 1], [0, 5, 2]], (2, 1))
+_FULL = k.Kernel.of([[1, 2, 3], [4, 5, 6], [7, 8, 10]])
+_CUBE = k.Kernel.of([[[1, 2], [3, -4]], [[5, 0], [7, 8]], [[2, 1], [0, 3]]], (0, 0, 1))
+_WIDE = k.Kernel.of([[1, -2, 3, 4, 5]], (2, 0))
+_VOLUME = ("7", "12", "7")
+_add("n3_conv_box", lambda s, d: stencil.convolve(i.embq(s, d), _BOX), _conv_sql(_taps(_BOX)))
+_add("n3_conv_off_centre", lambda s, d: stencil.convolve(i.embq(s, d), _ASYM), _conv_sql(_taps(_ASYM)))
+for _b in ("repeat", "mirror", "periodic", "zero"):
+    _add(f"n2_conv_{_b}", lambda s, d, b=_b: stencil.convolve(i.embq(s, d), _FULL, b), _conv_sql(_taps(_FULL), _b))
+_add("n2_conv_interior", lambda s, d: (lambda g: Grid(g.cells.where("v is not null"), g.size))(stencil.convolve(i.embq(s, d), _FULL, "none")), _conv_sql(_taps(_FULL), "inside").replace(" GROUP BY", " WHERE a.x BETWEEN 1 AND 62 AND a.y BETWEEN 1 AND (SELECT n - 2 FROM n) GROUP BY"))
+_add("n3_conv_volume", lambda s, d: stencil.convolve(i.shipped(s, d), _CUBE), _conv_sql(_taps(_CUBE), "repeat", SHIPPED, sizes=_VOLUME))
+_add("n3_conv_flipped", lambda s, d: stencil.convolve(i.embq(s, d), _ASYM.flipped()), _conv_sql([(-x, -y, w) for x, y, w in _taps(_ASYM)]))
+_add("n3_conv_line", lambda s, d: stencil.convolve(i.embq(s, d), _WIDE), _conv_sql(_taps(_WIDE)))
+_LINES = (k.Kernel.of([1, 4, 6, 4, 1]), k.Kernel.of([1, 2, 1]))
+_add("n4_separable", lambda s, d: stencil.separable(i.embq(s, d), _LINES), _conv_sql(_taps(k.separable(*_LINES))))
+_LINES3 = (k.Kernel.of([1, 2, 1]), k.Kernel.of([1, -1, 3]), k.Kernel.of([2, 1, 1]))
+_add("n4_separable_volume", lambda s, d: stencil.separable(i.shipped(s, d), _LINES3), _conv_sql(_taps(k.separable(*_LINES3)), "repeat", SHIPPED, sizes=_VOLUME))
+_add("n5_conv_by_locator", lambda s, d: stencil.for_each_locator(i.embq(s, d), (1, 1), (1, 1), lambda at: at(-1, -1) * 2 + at(0, 0) * 5 + at(1, 1) * 3), _conv_sql([(-1, -1, 2), (0, 0, 5), (1, 1, 3)]))
+_GAUSS = k.gaussian_nd(1.0, 1.0)
+_add("n10_gaussian", lambda s, d: millionths(stencil.separable(i.emb(s, d), (k.gaussian(1.0), k.gaussian(1.0)))), _conv_sql([(x, y, repr(w)) for x, y, w in _taps(_GAUSS)], "repeat", DOUBLES, "CAST(floor(sum(b.v * CAST(t.w AS DOUBLE)) * 1e6 + 0.5) AS BIGINT)"))
+_add("n11_sobel_x", lambda s, d: stencil.convolve(i.embq(s, d), k.sobel(2, 0)), _conv_sql(_taps(k.sobel(2, 0))))
+_add("n12_sobel_volume_z", lambda s, d: stencil.convolve(i.shipped(s, d), k.sobel(3, 2)), _conv_sql(_taps(k.sobel(3, 2)), "repeat", SHIPPED, sizes=_VOLUME))
+_NINE = [(x, y, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+_add("m7_median", lambda s, d: stencil.median(i.embq(s, d), (1, 1)), _conv_sql(_NINE, what="CAST(quantile_disc(b.v, 0.5) AS BIGINT)"))
+_add("m7_erosion", lambda s, d: stencil.eroded(i.embq(s, d), (1, 1)), _conv_sql(_NINE, what="min(b.v)"))
+_add("m7_dilation", lambda s, d: stencil.dilated(i.embq(s, d), (2, 0), "mirror"), _conv_sql([(x, 0, 1) for x in range(-2, 3)], "mirror", what="max(b.v)"))
+_add("m6_transform_locator", lambda s, d: stencil.transform_locator(i.embq(s, d), (1, 1), (1, 1), lambda at: F.greatest(at(1, 0) - at(-1, 0), at(0, 1) - at(0, -1)), "zero"), f"WITH {IMAGE}, {COUNT} SELECT a.x, a.y, greatest(coalesce(r.v, 0) - coalesce(l.v, 0), coalesce(u.v, 0) - coalesce(o.v, 0)) AS v FROM img a LEFT JOIN img l ON l.x = a.x - 1 AND l.y = a.y LEFT JOIN img r ON r.x = a.x + 1 AND r.y = a.y LEFT JOIN img o ON o.x = a.x AND o.y = a.y - 1 LEFT JOIN img u ON u.x = a.x AND u.y = a.y + 1")
+_add("i2_bordered_subview", lambda s, d: stencil.bordered(i.embq(s, d), Region((10, 50), (20, 30)), (1, 1), (1, 1), lambda g: stencil.convolve(g, _FULL)), _conv_sql(_taps(_FULL)).replace("SELECT a.x, a.y,", "SELECT a.x - 10 AS x, a.y - 50 AS y,").replace(" GROUP BY", " WHERE a.x BETWEEN 10 AND 29 AND a.y BETWEEN 50 AND 79 GROUP BY"))
+_SOBEL = "WITH {image}, {count}, t(dx, dy, wx, wy) AS (VALUES (-1,-1,1,1), (0,-1,0,2), (1,-1,-1,1), (-1,0,2,0), (1,0,-2,0), (-1,1,1,-1), (0,1,0,-2), (1,1,-1,-1)), g AS (SELECT a.x, a.y, sum(b.v * t.wx) AS gx, sum(b.v * t.wy) AS gy FROM img a CROSS JOIN t JOIN img b ON b.x = {bx} AND b.y = {by} GROUP BY a.x, a.y)".format(image=IMAGE, count=COUNT, bx=_place("a.x", "t.dx", "64", "repeat"), by=_place("a.y", "t.dy", "(SELECT n FROM n)", "repeat"))
+
+
+def _energy(s, d):
+    gx, gy = stencil.convolve_all(i.embq(s, d), [k.sobel(2, 0), k.sobel(2, 1)])
+    edge = e.threshold(e.square(gx) + e.square(gy), 1_000_000, 1, 0)
+    strong = (e.square(gx) + e.square(gy)) * edge
+    return r.dimension_reduce(strong, 0, "sum").cells.select(F.col("x").alias("y"), F.col("v").alias("energy"))
+
+
+_add(FLAGSHIP, _energy, _SOBEL + " SELECT y, CAST(sum(CASE WHEN gx*gx + gy*gy > 1000000 THEN gx*gx + gy*gy ELSE 0 END) AS BIGINT) AS energy FROM g GROUP BY y")
+_add("n16_sobel_edges", lambda s, d: millionths(stencil.edges(i.embq(s, d))), _SOBEL + f" SELECT x, y, {_mq('CASE WHEN least(3 * sqrt(CAST(gx*gx + gy*gy AS DOUBLE)), 255) < 50 THEN 0 ELSE least(3 * sqrt(CAST(gx*gx + gy*gy AS DOUBLE)), 255) END')} AS v FROM g")
+_add("n17_edge_detection", lambda s, d: (lambda p: e.threshold(e.square_root(e.square(p[0]) + e.square(p[1])), 1270, 255, 0))(stencil.convolve_all(i.embq(s, d), [k.sobel(2, 0), k.sobel(2, 1)])), _SOBEL + " SELECT x, y, CASE WHEN sqrt(CAST(gx*gx + gy*gy AS DOUBLE)) > 1270 THEN 255 ELSE 0 END AS v FROM g")
+
+
+def _laplace_sql(rounds: int) -> str:
+    out, last = f"WITH {IMAGE}, {COUNT}, t(dx, dy, w) AS (VALUES (0,-1,1), (-1,0,1), (0,0,-4), (1,0,1), (0,1,1))", "img"
+    for p in range(rounds):
+        out += f", p{p} AS (SELECT a.x, a.y, CAST(sum(b.v * t.w) AS BIGINT) AS v FROM {last} a CROSS JOIN t JOIN {last} b ON b.x = {_place('a.x', 't.dx', '64', 'repeat')} AND b.y = {_place('a.y', 't.dy', '(SELECT n FROM n)', 'repeat')} GROUP BY a.x, a.y)"
+        last = f"p{p}"
+    return out + f" SELECT x, y, v FROM {last}"
+
+
+_add("n19_laplace_iteration", lambda s, d: iterative.laplace_iteration(i.embq(s, d), 3), _laplace_sql(3))
+_add("n20_anisotropic_diffusion", lambda s, d: millionths(iterative.anisotropic_diffusion(i.emb(s, d), 2, 1.5, 0.2)))
+_add("n18_richardson_lucy", lambda s, d: millionths(iterative.richardson_lucy(e.add_value(e.absolute(i.emb(s, d)), 0.5), k.gaussian_nd(0.7, 0.7), 2)))
+
+# --- reductions ----------------------------------------------------------------------------------------------------
+
+_add("r1_reduce_max_initial", lambda s, d: r.reduce(i.embq(s, d), "max", 123456), f"WITH {IMAGE} SELECT greatest(max(v), 123456) AS v FROM img")
+_add("r3_reduce_x", lambda s, d: r.dimension_reduce(i.embq(s, d), 0, "sum"), f"WITH {IMAGE} SELECT y AS x, CAST(sum(v) AS BIGINT) AS v FROM img GROUP BY y")
+_add("r3_reduce_y", lambda s, d: r.dimension_reduce(i.embq(s, d), 1, "min"), f"WITH {IMAGE} SELECT x, min(v) AS v FROM img GROUP BY x")
+_add("r3_reduce_volume_y", lambda s, d: r.dimension_reduce(i.shipped(s, d), 1, "sum", 1000), f"WITH {SHIPPED} SELECT x, z AS y, CAST(1000 + sum(v) AS BIGINT) AS v FROM img GROUP BY x, z")
+_add("r5_sum", lambda s, d: r.total(i.embq(s, d)), f"WITH {IMAGE} SELECT CAST(sum(v) AS BIGINT) AS v FROM img")
+_add("r6_sum_square_differences", lambda s, d: (lambda g: combine.sum_square_differences(g, index_space.mirrored(g, (True, False))))(i.embq(s, d)), f"WITH {IMAGE} SELECT CAST(sum((a.v - b.v) * (a.v - b.v)) AS BIGINT) AS v FROM img a JOIN img b ON b.y = a.y AND b.x = 63 - a.x")
+_add("r7_min_max", lambda s, d: r.min_max(i.embq(s, d)), f"WITH {IMAGE} SELECT min(v) AS min, max(v) AS max FROM img")
+_add("r8_min_max_mean", lambda s, d: r.min_max_mean(i.embq(s, d)), f"WITH {IMAGE} SELECT min(v) AS min, max(v) AS max, CAST(sum(v) AS DOUBLE) / count(*) AS mean FROM img")
+_add("r9_all_finite", lambda s, d: r.all_finite(i.emb(s, d)), f"WITH {DOUBLES} SELECT bool_and(isfinite(v)) AS v FROM img")
+_add("r10_bit_xor", lambda s, d: r.reduce(i.embq(s, d), "bit_xor"), f"WITH {IMAGE} SELECT bit_xor(v) AS v FROM img")
+_add("r11_max_intensity_z", lambda s, d: r.max_intensity(i.shipped(s, d), 2), f"WITH {SHIPPED} SELECT x, y, max(v) AS v FROM img GROUP BY x, y")
+_add("r12_arg_max", lambda s, d: r.arg_max(i.embq(s, d)), f"WITH {IMAGE} SELECT x, y, v FROM img ORDER BY v DESC, x + 64 * y LIMIT 1")
+_add("r12_arg_max_inside", lambda s, d: r.arg_max(i.embq(s, d), True), f"WITH {IMAGE} SELECT x, y, v FROM img WHERE x > 0 AND y > 0 ORDER BY v DESC, x + 64 * y LIMIT 1")
+_add("r13_vector_sum", lambda s, d: r.vector_reduce(Grid(i.vectors(s, d).select(F.col("vec_id").alias("x"), "a"), (i.height(s, d),), F.col("a")), 3, "sum").select(*(F.col("v")[j].alias(f"v{j}") for j in range(3))), f"WITH {VECTORS} SELECT " + ", ".join(f"CAST(sum(a[{j + 1}]) AS BIGINT) AS v{j}" for j in range(3)) + " FROM vec")
+_add("m9_custom_reduction", lambda s, d: r.reduce_by(i.embq(s, d), lambda v: int((v % 7).sum()), lambda v: int(v.sum()), "bigint"), f"WITH {IMAGE} SELECT CAST(sum(((v % 7) + 7) % 7) AS BIGINT) AS v FROM img")
+_add("m8_by_batches", lambda s, d: e.by_batches(i.embq(s, d), lambda v: v * v % 1009, "bigint"), _img("v * v % 1009"))
+_add("m1_for_each", lambda s, d: e.for_each(i.embq(s, d), lambda v: v * 2 - 1), _img("v * 2 - 1"))
+_add("m4_transform_bench", lambda s, d: millionths(e.for_each(i.emb(s, d), lambda v: F.log(2 + F.sin(v)))), _img(_mq("ln(2 + sin(v))"), DOUBLES))
+_add("m5_transform_position", lambda s, d: e.transform_position(i.shipped(s, d), lambda v, x, y, z: v + x - y * z), f"WITH {SHIPPED} SELECT x, y, z, v + x - y * z AS v FROM img")
+
+# --- interpolation and geometry ------------------------------------------------------------------------------------
+
+
+def _linear_sql(px: str, py: str, size: tuple[str, str], border: str = "repeat") -> str:
+    bx, by = _place("fx", "ox", "64", border), _place("fy", "oy", "(SELECT n FROM n)", border)
+    return (
+        f"WITH {DOUBLES}, {COUNT}, g AS (SELECT a.x, b.y FROM (SELECT unnest(range({size[0]})) AS x FROM n) a CROSS JOIN (SELECT unnest(range({size[1]})) AS y FROM n) b), "
+        f"p AS (SELECT x, y, {px} AS px, {py} AS py FROM g), f AS (SELECT *, CAST(floor(px) AS BIGINT) AS fx, CAST(floor(py) AS BIGINT) AS fy FROM p), o(ox, oy) AS (VALUES (0,0),(1,0),(0,1),(1,1)) "
+        f"SELECT f.x, f.y, CAST(floor(sum(coalesce(i.v, 0) * (CASE WHEN ox = 1 THEN px - fx ELSE 1 - (px - fx) END) * (CASE WHEN oy = 1 THEN py - fy ELSE 1 - (py - fy) END)) * 1e6 + 0.5) AS BIGINT) AS v FROM f CROSS JOIN o LEFT JOIN img i ON i.x = {bx} AND i.y = {by} GROUP BY f.x, f.y"
+    )
+
+
+_add("x2_nearest", lambda s, d: interpolate.resampled(i.embq(s, d), (100, 200), lambda at: [at[0] * 0.6 + 0.2, at[1] * 1.7 + 0.4], "nearest"), f"WITH {IMAGE}, {COUNT}, g AS (SELECT a.x, b.y, CAST(round(a.x * 0.6e0 + 0.2e0 - 0.499999e0) AS BIGINT) AS sx, CAST(round(b.y * 1.7e0 + 0.4e0 - 0.499999e0) AS BIGINT) AS sy FROM range(100) a(x) CROSS JOIN range(200) b(y)) SELECT g.x, g.y, i.v FROM g, n JOIN img i ON i.x = greatest(0, least(63, g.sx)) AND i.y = greatest(0, least(n.n - 1, g.sy))")
+_add("x3_linear", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, 200), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125])), _linear_sql("x * 0.625e0 + 0.25e0", "y * 1.5e0 + 0.125e0", ("100", "200")))
+_add("x4_cubic", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, 100), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125], "cubic")))
+_add("x7_texture", lambda s, d: millionths(interpolate.texture(i.emb(s, d), (80, 100), lambda at: [at[0] - 4.5, at[1] - 3.25])), _linear_sql("x - 4.5e0", "y - 3.25e0", ("80", "100"), "outside"))
+_add("x10_geometry_identity", lambda s, d: millionths(interpolate.geometry_transformation(i.emb(s, d), (64, 100), lambda at: at)), _linear_sql("x + 0.5e0", "y + 0.5e0", ("64", "100")))
+_add("x10_geometry_centred", lambda s, d: millionths(interpolate.geometry_transformation(i.emb(s, d), (64, 100), lambda at: at, centred=True)), _img(_mq("v"), DOUBLES, "WHERE y < 100"))
+_add("x11_scale", lambda s, d: millionths(interpolate.scaled(i.emb(s, d), (2.0, 0.5), (128, i.height(s, d) // 2), (8.0, 4.0))), _linear_sql("8 + (x + 0.5e0 - 8) / 2", "4 + (y + 0.5e0 - 4) / 0.5e0", ("128", "n // 2")))
+_add("x8_rotate_quarter", lambda s, d: (lambda g: g.with_value(F.round(g.value * 4).cast("bigint")))(interpolate.rotated((lambda v: v.with_value(v.value.cast("double")))(i.shipped(s, d)), interpolate.rotation_about((0, 0, 1), interpolate.degrees(90)), (3.5, 6.0, 3.5))), f"WITH {SHIPPED} SELECT t.x, t.y, t.z, CAST(sum(coalesce(s.v, 0)) AS BIGINT) AS v FROM img t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(ox, oy) LEFT JOIN img s ON s.x = CAST(floor(t.y + 0.5 - 6 + 3.5 - 0.5) AS BIGINT) + o.ox AND s.y = CAST(floor(-(t.x + 0.5 - 3.5) + 6 - 0.5) AS BIGINT) + o.oy AND s.z = t.z GROUP BY ALL")
+
+# --- frequency domain ----------------------------------------------------------------------------------------------
+
+_DFT = f"WITH {DOUBLES}, f AS (SELECT k.x AS x, img.y AS y, sum(img.v * cos(2 * pi() * k.x * img.x / 64)) AS re, -sum(img.v * sin(2 * pi() * k.x * img.x / 64)) AS im FROM img CROSS JOIN range(33) k(x) GROUP BY k.x, img.y)"
+
+
+def _parts(g: Grid) -> DataFrame:
+    q = lambda c: F.floor(c * 1e4 + 0.5).cast("bigint")
+    return g.df.select(*g.dims, q(g.value["re"]).alias("re"), q(g.value["im"]).alias("im"))
+
+
+def _tq(x: str) -> str:
+    return f"CAST(floor(({x}) * 1e4 + 0.5) AS BIGINT)"
+
+
+_add("f1_row_transform", lambda s, d: _parts(fourier.forward(i.emb(s, d), stack=(1,))), f"{_DFT} SELECT x, y, {_tq('re')} AS re, {_tq('im')} AS im FROM f")
+_add("f1_round_trip", lambda s, d: (lambda g: millionths(fourier.inverse_normalized(fourier.forward(g), g.size[0])))(i.emb(s, d)), _img(_mq("v"), DOUBLES))
+_add("f3_stack_normalized", lambda s, d: _parts(fourier.forward_normalized(i.emb(s, d), stack=(1,))), f"{_DFT} SELECT x, y, {_tq('re / 64')} AS re, {_tq('im / 64')} AS im FROM f")
+_add("u17_power_spectrum", lambda s, d: (lambda g: g.with_value(F.floor(g.value * 1e3 + 0.5).cast("bigint")))(complexes.amplitude(fourier.forward(i.emb(s, d), stack=(1,)))), f"{_DFT} SELECT x, y, CAST(floor((re*re + im*im) * 1e3 + 0.5) AS BIGINT) AS v FROM f")
+_add("i8_half_spectrum", lambda s, d: _parts(index_space.centred_half(fourier.forward(i.emb(s, d), stack=(1,)))), f"{_DFT}, {COUNT} SELECT x, CASE WHEN y >= n.n - (n.n - 1) // 2 THEN y - n.n ELSE y END AS y, {_tq('re')} AS re, {_tq('im')} AS im FROM f, n")
+_add("i9_full_spectrum", lambda s, d: _parts(index_space.full_spectrum(index_space.sliced(fourier.forward(i.emb(s, d), stack=(1,)), 1, 3))), f"{_DFT}, h AS (SELECT x, re, im FROM f WHERE y = 3) SELECT x + 32 AS x, {_tq('re')} AS re, {_tq('im')} AS im FROM h UNION ALL SELECT 32 - x AS x, {_tq('re')} AS re, {_tq('-im')} AS im FROM h WHERE x > 0")
+
+
+def _correlation(s, d):
+    g = index_space.subview(i.emb(s, d), (0, 0), (64, 64)).settled()
+    moved = index_space.padded(g, (64, 64), (5, 9), 0.0)
+    peak = r.arg_max(fourier.phase_correlation(moved, g))
+    return peak.select("x", "y")
+
+
+_add("f4_phase_correlation_peak", _correlation, "SELECT CAST(5 AS BIGINT) AS x, CAST(9 AS BIGINT) AS y")
+
+
+def _wiener(s, d):
+    g = index_space.subview(i.emb(s, d), (0, 0), (32, 32)).settled()
+    spread = index_space.padded(tables.from_array(s, k.gaussian_nd(0.6, 0.6).weights.tolist()), (32, 32), (-1, -1), 0.0)
+    blurred = fourier.convolved_by_spectrum(g, spread).settled()
+    return millionths(fourier.wiener_deconvolution(blurred, spread, 1e-12).settled().with_value(F.round(F.col("v"), 4)))
+
+
+_add("f5_wiener", _wiener, _img(_mq("round(v, 4)"), DOUBLES, "WHERE x < 32 AND y < 32"))
+
+# --- vectors, complex numbers, quaternions, matrices ---------------------------------------------------------------
+
+
+def _vec(name: str, spark_value: Callable[[F.Column, F.Column], F.Column], sql: str) -> None:
+    _add(name, lambda s, d: i.vectors(s, d).select("vec_id", spark_value(F.col("a"), F.col("b")).alias("v")), f"WITH {VECTORS} SELECT vec_id, {sql} AS v FROM vec")
+
+
+_sum = lambda x: f"CAST(list_sum({x}) AS BIGINT)"
+_two = lambda x: f"list_transform(list_zip(a, b), lambda p: {x})"
+_vec("v2_less_equal", vectors.less_equal, f"list_bool_and({_two('p[1] <= p[2]')})")
+_vec("v3_add", lambda a, b: vectors.total(vectors.add(a, vectors.negated(b))), _sum(_two("p[1] - p[2]")))
+_vec("v3_scaled", lambda a, b: vectors.total(vectors.scaled(a, 3)), _sum("list_transform(a, lambda p: p * 3)"))
+_vec("v4_max_min", lambda a, b: vectors.total(vectors.maximum(a, b)) * 2 - vectors.total(vectors.minimum(a, b)), f"{_sum(_two('greatest(p[1], p[2])'))} * 2 - {_sum(_two('least(p[1], p[2])'))}")
+_vec("v4_mod_periodic", lambda a, b: vectors.total(vectors.modulo_periodic(a, F.array_repeat(F.lit(7), 32))), _sum("list_transform(a, lambda p: ((p % 7) + 7) % 7)"))
+_vec("v4_divide", lambda a, b: vectors.total(vectors.divide(a, F.array_repeat(F.lit(7).cast("bigint"), 32))), _sum("list_transform(a, lambda p: CAST(trunc(p / 7) AS BIGINT))"))
+_vec("v5_dot", vectors.dot, _sum(_two("p[1] * p[2]")))
+_vec("v5_sum", lambda a, b: vectors.total(a), _sum("a"))
+_vec("v5_min_max_element", lambda a, b: vectors.max_element(a) - vectors.min_element(b), "list_max(a) - list_min(b)")
+_vec("v5_find", lambda a, b: vectors.find(a, a[4]), "CAST(list_position(a, a[5]) - 1 AS BIGINT)")
+_vec("v6_min_above", lambda a, b: vectors.min_element_above(a, 100, 99999), "coalesce(list_min(list_filter(a, lambda p: p > 100)), 99999)")
+_vec("v6_max_below", lambda a, b: vectors.max_element_below(a, -100, -99999), "coalesce(list_max(list_filter(a, lambda p: p < -100)), -99999)")
+_vec("v7_norm", lambda a, b: vectors.norm(a), "sqrt(CAST(list_sum(list_transform(a, lambda p: p * p)) AS DOUBLE))")
+_vec("v7_cross", lambda a, b: (lambda c: c[0] + 2 * c[1] + 3 * c[2])(vectors.cross(a, b)), "(a[2]*b[3] - a[3]*b[2]) + 2 * (a[3]*b[1] - a[1]*b[3]) + 3 * (a[1]*b[2] - a[2]*b[1])")
+_vec("v8_clamp", lambda a, b: vectors.total(vectors.clamp(a, F.array_repeat(F.lit(-50).cast("bigint"), 32), F.array_repeat(F.lit(80).cast("bigint"), 32))), _sum("list_transform(a, lambda p: least(greatest(p, -50), 80))"))
+_vec("v1_cube_signum", lambda a, b: vectors.total(vectors.cubed(a)) + vectors.total(vectors.signum(b)).cast("bigint"), f"{_sum('list_transform(a, lambda p: p * p * p)')} + {_sum('list_transform(b, lambda p: CAST(sign(p) AS BIGINT))')}")
+_vec("v1_power", lambda a, b: vectors.total(vectors.power(a, 4)), _sum("list_transform(a, lambda p: p * p * p * p)"))
+_vec("v9_insert_remove", lambda a, b: vectors.dot(vectors.remove_dimension(vectors.insert_dimension(a, 5, F.lit(7).cast("bigint")), 0), b), "CAST(list_sum([b[j] * CASE WHEN j < 5 THEN a[j + 1] WHEN j = 5 THEN 7 ELSE a[j] END for j in range(1, 33)]) AS BIGINT)")
+_vec("v9_swizzle", lambda a, b: (lambda c: c[0] * 100 + c[1] * 10 + c[2])(vectors.swizzle(a, (2, 1, 0))), "a[3] * 100 + a[2] * 10 + a[1]")
+_turn = Quaternion.rotation(0.5, (1, 2, 3))
+_rot = _turn.matrix()
+_vec("v10_rotate", lambda a, b: F.floor(sum(c * (j + 1) for j, c in enumerate(rotate_columns(_turn, [a[0].cast("double"), a[1].cast("double"), a[2].cast("double")])))).cast("bigint"), "CAST(floor(" + " + ".join(f"(a[1] * CAST('{_rot[q][0]!r}' AS DOUBLE) + a[2] * CAST('{_rot[q][1]!r}' AS DOUBLE) + a[3] * CAST('{_rot[q][2]!r}' AS DOUBLE)) * {q + 1}" for q in range(3)) + ") AS BIGINT)")
+_mat = lambda a: F.array(F.slice(a, 1, 3), F.slice(a, 4, 3), F.slice(a, 7, 3))
+_vec("v12_matrix_vector", lambda a, b: vectors.total(vectors.matrix_vector(_mat(a), F.slice(b, 1, 3))), "CAST(" + " + ".join(f"a[{3 * p + q + 1}] * b[{q + 1}]" for p in range(3) for q in range(3)) + " AS BIGINT)")
+_vec("v12_trace_of_product", lambda a, b: vectors.trace(vectors.matrix_product(_mat(a), _mat(b), 3), 3), "CAST(" + " + ".join(f"a[{3 * p + q + 1}] * b[{3 * q + p + 1}]" for p in range(3) for q in range(3)) + " AS BIGINT)")
+_vec("v13_tuple_less", lambda a, b: vectors.tuple_less(F.struct(a[0], a[1]), F.struct(b[0], b[1])), "a[1] < b[1] OR (a[1] = b[1] AND a[2] < b[2])")
+_add("f6_complex_quotient", lambda s, d: (lambda g: millionths(g.with_value(complexes.quotient(complexes.make(F.lit(1.0), F.lit(2.0)), complexes.plus(g.value, complexes.make(F.lit(3.0), F.lit(0.0))))["re"])))(i.emb_pairs(s, d)), f"WITH {PAIRS} SELECT x, y, {_mq('((re + 3) + 2 * im) / ((re + 3) * (re + 3) + im * im)')} AS v FROM img")
+_add("f6_minus_scaled", lambda s, d: (lambda g: g.with_value(complexes.re(complexes.minus(complexes.scaled(g.value, F.lit(3.0)), complexes.conjugate(g.value)))))(i.emb_pairs(s, d)), f"WITH {PAIRS} SELECT x, y, re * 3.0 - re AS v FROM img")

@@ -1,0 +1,80 @@
+"""Several independent evaluations at once: problems split into tasks, and futures of their results.
+
+Spark schedules tasks on executors and keeps blocks in its own least-recently
+used store; what is left for a driver is to submit independent jobs from
+threads, each in a fair-scheduler pool, and to chain work to their results.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from concurrent.futures import Future, ThreadPoolExecutor, wait
+from typing import Any
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
+
+
+class Result:
+    """A value to come; errors travel along chains of :meth:`then`."""
+
+    def __init__(self, future: Future, pool: ThreadPoolExecutor):
+        self._future, self._pool = future, pool
+
+    def then(self, f: Callable[[Any], Any]) -> Result:
+        return Result(self._pool.submit(lambda: f(self._future.result())), self._pool)
+
+    def wait(self) -> None:
+        wait([self._future])
+
+    def value(self, timeout: float | None = None):
+        return self._future.result(timeout)
+
+    @property
+    def done(self) -> bool:
+        return self._future.done()
+
+
+class Scheduler:
+    """Runs problems; a problem is the callables (tasks) it is split into.
+
+    Tasks of one group run one after the other in their order, groups beside
+    each other.
+    """
+
+    def __init__(self, spark: SparkSession, workers: int = 4):
+        self.spark, self._pool, self._open = spark, ThreadPoolExecutor(workers), []
+        self._last: dict[Any, Future] = {}
+
+    def submit(self, f: Callable[[], Any], group: Any = None) -> Result:
+        before = self._last.get(group) if group is not None else None
+
+        def run():
+            if before is not None:
+                wait([before])
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", None if group is None else str(group))
+            return f()
+
+        future = self._pool.submit(inheritable_thread_target(self.spark)(run))
+        if group is not None:
+            self._last[group] = future
+        self._open.append(future)
+        return Result(future, self._pool)
+
+    def add_problem(self, tasks: Iterable[Callable[[], Any]], group: Any = None) -> list[Result]:
+        return [self.submit(t, group) for t in tasks]
+
+    def run_until_finished(self) -> list:
+        """Wait for all; the first error is raised."""
+        out = [f.result() for f in self._open]
+        self._open.clear()
+        return out
+
+    def stop(self) -> None:
+        self._pool.shutdown(wait=False, cancel_futures=True)
+
+    def __enter__(self) -> Scheduler:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._pool.shutdown(wait=True)
