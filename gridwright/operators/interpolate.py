@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,16 +78,12 @@ def border_index(c: F.Column, n: int, border: str) -> F.Column:
 
 def sampled(g: Grid, points: DataFrame, source: Sequence[F.Column], keys: Sequence[str], how: str = "linear", border: str = "repeat") -> DataFrame:
     """``keys`` of ``points`` and ``v``, the grid's value at the point that ``source`` gives (doubles)."""
-    axes = [TAPS[how](s.cast("double")) for s in source]
-    taps = []
-    for combo in product(*axes):
-        w = combo[0][1]
-        for c in combo[1:]:
-            w = w * c[1]
-        taps.append(F.struct(*(border_index(c[0], n, border).alias(f"_{d}") for c, n, d in zip(combo, g.size, g.dims)), w.alias("_w")))
-    spread = points.select(*keys, F.inline(F.array(*taps)))
-    if how != "nearest":
-        spread = spread.where("_w <> 0")
+    spread = points.select(*keys, *(s.cast("double").alias(f"_p{d}") for s, d in zip(source, g.dims)), F.lit(1.0).alias("_w"))
+    for d, n in zip(g.dims, g.size):  # one axis after the other: taps multiply as rows, not as expressions
+        taps = F.array(*(F.struct(border_index(c, n, border).alias("c"), w.alias("w")) for c, w in TAPS[how](F.col(f"_p{d}"))))
+        spread = spread.withColumn("_t", F.explode(taps)).withColumn(f"_{d}", F.col("_t.c")).withColumn("_w", F.col("_w") * F.col("_t.w")).drop("_t", f"_p{d}")
+        if how != "nearest":
+            spread = spread.where("_w <> 0")
     cells = g.df.select(*(F.col(d).alias(f"_{d}") for d in g.dims), g.value.alias("_v"))
     on = [f"_{d}" for d in g.dims]
     if border == "zero":
