@@ -63,8 +63,10 @@ def cubic_taps(p: F.Column) -> list[Tap]:
 TAPS: dict[str, Callable[[F.Column], list[Tap]]] = {"nearest": nearest_taps, "linear": linear_taps, "cubic": cubic_taps}
 
 
-def border_index(c: F.Column, n: int, border: str) -> F.Column:
-    """The cell that a border mode shows at ``c``; null where there is none."""
+def border_index(c: F.Column, n: int, border: str | Callable[[F.Column, int], F.Column]) -> F.Column:
+    """The cell that a border mode (or a function of place and length) shows at ``c``; null where there is none."""
+    if callable(border):
+        return border(c, n)
     if border == "repeat":
         return F.least(F.greatest(c, F.lit(0).cast("bigint")), F.lit(n - 1).cast("bigint"))
     if border == "mirror":
@@ -77,20 +79,20 @@ def border_index(c: F.Column, n: int, border: str) -> F.Column:
 
 
 def sampled(g: Grid, points: DataFrame, source: Sequence[F.Column], keys: Sequence[str], how: str = "linear", border: str = "repeat") -> DataFrame:
-    """``keys`` of ``points`` and ``v``, the grid's value at the point that ``source`` gives (doubles)."""
+    """``keys`` of ``points`` and ``v``, the grid's value at the point that ``source`` gives (doubles).
+
+    ``how`` names an interpolation or is a function from a coordinate to its taps.
+    """
     spread = points.select(*keys, *(s.cast("double").alias(f"_p{d}") for s, d in zip(source, g.dims)), F.lit(1.0).alias("_w"))
     for d, n in zip(g.dims, g.size):  # one axis after the other: taps multiply as rows, not as expressions
-        taps = F.array(*(F.struct(border_index(c, n, border).alias("c"), w.alias("w")) for c, w in TAPS[how](F.col(f"_p{d}"))))
+        taps = F.array(*(F.struct(border_index(c, n, border).alias("c"), w.alias("w")) for c, w in (how if callable(how) else TAPS[how])(F.col(f"_p{d}"))))
         spread = spread.withColumn("_t", F.explode(taps)).withColumn(f"_{d}", F.col("_t.c")).withColumn("_w", F.col("_w") * F.col("_t.w")).drop("_t", f"_p{d}")
         if how != "nearest":
             spread = spread.where("_w <> 0")
     cells = g.df.select(*(F.col(d).alias(f"_{d}") for d in g.dims), g.value.alias("_v"))
     on = [f"_{d}" for d in g.dims]
-    if border == "zero":
-        # taps outside still need a row for their target
-        inside = spread.join(cells, on, "left")
-    else:
-        inside = spread.join(cells, on)
+    # taps outside still need a row for their target
+    inside = spread.join(cells, on, "left" if border == "zero" or callable(border) else "inner")
     whole = isinstance(g.kind, WHOLE)
     v = F.sum(F.coalesce(F.col("_v").cast("double"), F.lit(0.0)) * F.col("_w"))
     return inside.groupBy(*keys).agg((F.expr("cast(0 as bigint)") + F.when(v >= 0, F.floor(v + 1e-9)).otherwise(F.ceil(v - 1e-9)) if whole else v).alias("v"))

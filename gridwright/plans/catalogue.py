@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import kernels as k
 from gridwright.functions.shapes import Region
-from gridwright.operators import combine, complexes, fourier, index_space, interpolate, iterative, stencil, vectors
+from gridwright.operators import combine, complexes, fourier, index_space, interpolate, iterative, render, stencil, vectors
 from gridwright.operators import elementwise as e
 from gridwright.operators import reduce as r
 from gridwright.operators.grid import Grid
@@ -281,6 +281,11 @@ _add("x10_geometry_centred", lambda s, d: millionths(interpolate.geometry_transf
 _add("x11_scale", lambda s, d: millionths(interpolate.scaled(i.emb(s, d), (2.0, 0.5), (128, i.height(s, d) // 2), (8.0, 4.0))), _linear_sql("8 + (x + 0.5e0 - 8) / 2", "4 + (y + 0.5e0 - 4) / 0.5e0", ("128", "n // 2")))
 _add("x8_rotate_quarter", lambda s, d: (lambda g: g.with_value(F.round(g.value * 4).cast("bigint")))(interpolate.rotated((lambda v: v.with_value(v.value.cast("double")))(i.shipped(s, d)), interpolate.rotation_about((0, 0, 1), interpolate.degrees(90)), (3.5, 6.0, 3.5))), f"WITH {SHIPPED} SELECT t.x, t.y, t.z, CAST(sum(coalesce(s.v, 0)) AS BIGINT) AS v FROM img t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(ox, oy) LEFT JOIN img s ON s.x = CAST(floor(t.y + 0.5 - 6 + 3.5 - 0.5) AS BIGINT) + o.ox AND s.y = CAST(floor(-(t.x + 0.5 - 3.5) + 6 - 0.5) AS BIGINT) + o.oy AND s.z = t.z GROUP BY ALL")
 
+_STEPS = render.table_transfer((0.113, 0.317, 0.631, 0.977), (0.0, 0.131, 0.317, 0.523), 0.0, 4000.0)
+_ENTRY = "greatest(0, least(3, CAST(floor(v / 4000.0 * 4) AS BIGINT))) + 1"
+_add("x12_composited_rays", lambda s, d: millionths(render.composited((lambda g: g.with_value(F.struct(*(c.alias(n) for c, n in zip(_STEPS(g.value), "ca")))))(i.shipped(s, d)))), f"WITH {SHIPPED}, p AS (SELECT x, y, z, [0.113e0, 0.317e0, 0.631e0, 0.977e0][{_ENTRY}] AS c, [0.0e0, 0.131e0, 0.317e0, 0.523e0][{_ENTRY}] AS a FROM img), q AS (SELECT x, y, c * a * exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS w FROM p) SELECT x, y, {_mq('sum(w)')} AS v FROM q GROUP BY x, y")
+_add("x12_ray_cast", lambda s, d: millionths(render.ray_cast(i.shipped(s, d), _STEPS)))
+
 # --- frequency domain ----------------------------------------------------------------------------------------------
 
 _DFT = f"WITH {DOUBLES}, f AS (SELECT k.x AS x, img.y AS y, sum(img.v * cos(2 * pi() * k.x * img.x / 64)) AS re, -sum(img.v * sin(2 * pi() * k.x * img.x / 64)) AS im FROM img CROSS JOIN range(33) k(x) GROUP BY k.x, img.y)"

@@ -511,3 +511,27 @@ def test_stream_of_slices(spark, tmp_path):
     query = per_slice(cells, (4, 3, 2), lambda g: g.with_value(g.value * 2), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).selectExpr("sum(v)").first()[0] == 2 * sum(range(24))
+
+
+# --- rendering and user strategies
+
+
+def test_rays_blend_front_to_back(spark):
+    from gridwright.operators import render
+
+    rng = np.random.default_rng(4)
+    c, a = rng.random((5, 3, 4)), rng.random((5, 3, 4))
+    both = combine.n_ary(lambda p_, q: F.struct(p_.alias("c"), q.alias("a")), tables.from_array(spark, c.tolist()), tables.from_array(spark, a.tolist()))
+    want, left = np.zeros((3, 4)), np.ones((3, 4))
+    for z in range(5):
+        want, left = want + left * a[z] * c[z], left * (1 - a[z])
+    assert np.allclose(arr(render.composited(both)), want)
+    flat = p.constant(spark, 10.0, (3, 3, 2))
+    lit = arr(render.ray_cast(flat, render.table_transfer((1.0,), (0.5,), 0.0, 20.0)))
+    assert np.allclose(lit, 0.75 * 0.3)  # no gradient: ambient light only
+
+
+def test_user_interpolation_and_border(spark):
+    g = ids(spark, (5,))
+    far = interpolate.resampled(g, (7,), lambda at: [at[0] - 1], lambda q: [(F.floor(q).cast("bigint"), F.lit(2.0))], lambda c, n: F.when(c < 0, n - 1).when(c < n, c))
+    assert arr(far).tolist() == [8, 0, 2, 4, 6, 8, 0]
