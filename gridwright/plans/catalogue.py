@@ -235,8 +235,31 @@ def _laplace_sql(rounds: int) -> str:
 
 
 _add("n19_laplace_iteration", lambda s, d: iterative.laplace_iteration(i.embq(s, d), 3), _laplace_sql(3))
-_add("n20_anisotropic_diffusion", lambda s, d: millionths(iterative.anisotropic_diffusion(i.emb(s, d), 2, 1.5, 0.2)))
-_add("n18_richardson_lucy", lambda s, d: millionths(iterative.richardson_lucy(e.add_value(e.absolute(i.emb(s, d)), 0.5), k.gaussian_nd(0.7, 0.7), 2)))
+
+
+def _pass(name: str, source: str, taps: str, value: str, more: str = "") -> str:
+    """A gather of one round as a common table expression."""
+    return f", {name} AS (SELECT a.x, a.y, {value} AS v FROM {source} a CROSS JOIN {taps} t JOIN {more or source} b ON b.x = {_place('a.x', 't.dx', '64', 'repeat')} AND b.y = {_place('a.y', 't.dy', '(SELECT n FROM n)', 'repeat')} GROUP BY a.x, a.y, a.v)"
+
+
+_DIFFUSE = "a.v + sum(exp(-((b.v - a.v) / 1.5) * ((b.v - a.v) / 1.5)) * (b.v - a.v) * 0.2e0)"
+_add("n20_anisotropic_diffusion", lambda s, d: millionths(iterative.anisotropic_diffusion(i.emb(s, d), 2, 1.5, 0.2)), f"WITH {DOUBLES}, {COUNT}, t(dx, dy) AS (VALUES (0,-1), (-1,0), (1,0), (0,1))" + _pass("p", "img", "t", _DIFFUSE) + _pass("q", "p", "t", _DIFFUSE) + f" SELECT x, y, {_mq('v')} AS v FROM q")
+
+
+def _lucy_sql(kernel: k.Kernel, rounds: int) -> str:
+    rows = ", ".join(f"({x}, {y}, CAST('{w!r}' AS DOUBLE))" for x, y, w in _taps(kernel))
+    back = ", ".join(f"({x}, {y}, CAST('{w!r}' AS DOUBLE))" for x, y, w in _taps(kernel.flipped()))
+    out = f"WITH {DOUBLES.replace('CAST(e.embedding[i] AS DOUBLE)', '0.5e0 + abs(CAST(e.embedding[i] AS DOUBLE))')}, {COUNT}, t(dx, dy, w) AS (VALUES {rows}), u(dx, dy, w) AS (VALUES {back})"
+    last = "img"
+    for p in range(rounds):
+        out += _pass(f"s{p}", last, "t", "sum(b.v * t.w)")
+        out += f", r{p} AS (SELECT d.x, d.y, d.v / s.v AS v FROM img d JOIN s{p} s USING (x, y))" + _pass(f"b{p}", f"r{p}", "u", "sum(b.v * t.w)")
+        out += f", e{p} AS (SELECT e.x, e.y, e.v * b.v AS v FROM {last} e JOIN b{p} b USING (x, y))"
+        last = f"e{p}"
+    return out + f" SELECT x, y, {_mq('v')} AS v FROM {last}"
+
+
+_add("n18_richardson_lucy", lambda s, d: millionths(iterative.richardson_lucy(e.add_value(e.absolute(i.emb(s, d)), 0.5), k.gaussian_nd(0.7, 0.7), 2)), _lucy_sql(k.gaussian_nd(0.7, 0.7), 2))
 
 # --- reductions ----------------------------------------------------------------------------------------------------
 
@@ -274,7 +297,19 @@ def _linear_sql(px: str, py: str, size: tuple[str, str], border: str = "repeat")
 
 _add("x2_nearest", lambda s, d: interpolate.resampled(i.embq(s, d), (100, 200), lambda at: [at[0] * 0.6 + 0.2, at[1] * 1.7 + 0.4], "nearest"), f"WITH {IMAGE}, {COUNT}, g AS (SELECT a.x, b.y, CAST(round(a.x * 0.6e0 + 0.2e0 - 0.499999e0) AS BIGINT) AS sx, CAST(round(b.y * 1.7e0 + 0.4e0 - 0.499999e0) AS BIGINT) AS sy FROM range(100) a(x) CROSS JOIN range(200) b(y)) SELECT g.x, g.y, i.v FROM g, n JOIN img i ON i.x = greatest(0, least(63, g.sx)) AND i.y = greatest(0, least(n.n - 1, g.sy))")
 _add("x3_linear", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, 200), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125])), _linear_sql("x * 0.625e0 + 0.25e0", "y * 1.5e0 + 0.125e0", ("100", "200")))
-_add("x4_cubic", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, 100), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125], "cubic")))
+
+
+def _cubic_axis(name: str, p: str, n: int, limit: str) -> str:
+    """Taps of one axis: four of every target, by the two-read form."""
+    return (
+        f"{name}p AS (SELECT i, {p} AS p FROM range({n}) r(i)), {name}w AS (SELECT i, floor(p) AS low, p - floor(p) AS t FROM {name}p), "
+        f"{name}g AS (SELECT i, low, -0.5e0*t + t*t - 0.5e0*t*t*t AS w0, 1 - 2.5e0*t*t + 1.5e0*t*t*t AS w1, 0.5e0*t + 2e0*t*t - 1.5e0*t*t*t AS w2, -0.5e0*t*t + 0.5e0*t*t*t AS w3 FROM {name}w), "
+        f"{name}r AS (SELECT i, w0 + w1 AS g, low - 1 + w1 / (w0 + w1) AS pos FROM {name}g UNION ALL SELECT i, w2 + w3, low + 1 + CASE WHEN w2 + w3 = 0 THEN 0 ELSE w3 / (w2 + w3) END FROM {name}g), "
+        f"{name}t AS (SELECT i, greatest(0, least({limit} - 1, CAST(floor(pos) AS BIGINT) + o)) AS c, g * CASE WHEN o = 1 THEN pos - floor(pos) ELSE 1 - (pos - floor(pos)) END AS w FROM {name}r, (VALUES (0), (1)) o(o))"
+    )
+
+
+_add("x4_cubic", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, 100), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125], "cubic")), f"WITH {DOUBLES}, {COUNT}, {_cubic_axis('x', 'i * 0.625e0 + 0.25e0', 100, '64')}, {_cubic_axis('y', 'i * 1.5e0 + 0.125e0', 100, '(SELECT n FROM n)')} SELECT xt.i AS x, yt.i AS y, {_mq('sum(img.v * xt.w * yt.w)')} AS v FROM xt CROSS JOIN yt JOIN img ON img.x = xt.c AND img.y = yt.c GROUP BY xt.i, yt.i")
 _add("x7_texture", lambda s, d: millionths(interpolate.texture(i.emb(s, d), (80, 100), lambda at: [at[0] - 4.5, at[1] - 3.25])), _linear_sql("x - 4.5e0", "y - 3.25e0", ("80", "100"), "outside"))
 _add("x10_geometry_identity", lambda s, d: millionths(interpolate.geometry_transformation(i.emb(s, d), (64, 100), lambda at: at)), _linear_sql("x + 0.5e0", "y + 0.5e0", ("64", "100")))
 _add("x10_geometry_centred", lambda s, d: millionths(interpolate.geometry_transformation(i.emb(s, d), (64, 100), lambda at: at, centred=True)), _img(_mq("v"), DOUBLES, "WHERE y < 100"))
