@@ -8,7 +8,7 @@ boundaries near it and no others.  Stretches without a cut end every
 ``LONGEST`` bytes behind the last one.
 
 Chunks with one 64-bit digest are copies.  Repeated chunks in a row make a run;
-runs shorter than ``RUN`` bytes (single lines that many documents share) don't
+runs shorter than ``RUN`` bytes (a line or two that many documents share) don't
 count.  Of each digest one copy stays, the first by a hash of id and text and by
 place; chunks of runs that aren't that copy are redundant.
 
@@ -35,7 +35,7 @@ from gridwright.llm.texts import record_batch, runs, slices
 BITS = 5
 REACH = 16
 LONGEST = 512
-RUN = 120
+RUN = 150
 PIECE = 2 << 20
 CHUNK = 200_000
 HOT = 200_000
