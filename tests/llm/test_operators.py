@@ -364,7 +364,7 @@ def test_slots_that_differ_without_an_article(spark):
 def test_equivalence_classes(spark):
     rows = [page(i) for i in range(6)]
     pages = spark.createDataFrame([(r[1], r[2]) for r in rows], "name string, html string").withColumn("host", F.lit("h"))
-    tokens = html_template.templates(pages).first().tokens
+    tokens = html_template.templates(pages, Scratch(spark, "test")).first().tokens
     t = html_template.Template.of(tokens)
     assert t.article and t.skeleton[0] == ">html" and t.skeleton.index(">html>body>article") < t.skeleton.index("/>html>body>article")
     signature = {x["role"]: x["signature"] for x in tokens}
