@@ -176,11 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, *, sample: int = S
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, by BUCKETS
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # a few MB, by BUCKETS; plain arrays, so workers need no package
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = Model(**sent.value)
         for batch in slices(batches):
             s = [own.score(features(x)) for x in batch.column(1).to_pylist()]
             yield record_batch([batch.column(0), s, [int(x >= threshold) for x in s]], schema)

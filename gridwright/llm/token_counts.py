@@ -152,11 +152,11 @@ class Counter:
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, *, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens`` and ``over_limit``; a map without a shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
+    sent = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # as large as the vocabulary file; plain arrays, so workers need no package
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(sent.value)
+        counter = Counter(Vocabulary(**sent.value))
         for batch in slices(batches, 512):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             n = counter.count([x.decode() for x in texts])
