@@ -18,9 +18,9 @@ import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from gridwright.llm.texts import binary_texts, record_batch, slices
@@ -130,32 +130,28 @@ def estimate(docs: DataFrame, rules: dict[str, Callable[[Facts], bool]] = RULES,
     The other partitions aren't read, so the price doesn't grow with the table.
     The sample only orders the rules; it decides nothing about a document.
     """
-    schema = pa.schema([("rule", pa.string()), ("seconds", pa.float64()), ("rows", pa.int64()), ("rejected", pa.int64())])
-    rows = binary_texts(docs, id_col, text_col)
-    parts = max(1, rows.rdd.getNumPartitions())
-    stride = -(-parts // sample_parts)
-    most = -(-sample_rows // -(-parts // stride))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if TaskContext.get().partitionId() % stride:
-            return
-        spent, rejected, seen_rows = Counter(), Counter(), 0
-        for batch in slices(batches, most):
-            for text in batch.column(1).to_pylist()[: most - seen_rows]:
-                seen = facts(text)
-                seen_rows += 1
-                for name, rule in rules.items():
-                    began = time.perf_counter()
-                    rejected[name] += bool(rule(seen))
-                    spent[name] += time.perf_counter() - began
-            if seen_rows >= most:
-                break
-        yield record_batch([list(rules), [spent[x] for x in rules], [seen_rows] * len(rules), [rejected[x] for x in rules]], schema)
+    rows = binary_texts(docs, id_col, text_col).select("text").rdd
+    parts = max(1, rows.getNumPartitions())
+    chosen = range(0, rows.getNumPartitions(), -(-parts // sample_parts))
+    most = -(-sample_rows // max(1, len(chosen)))
 
+    def measure(part: Iterator) -> Iterator[tuple[str, float, int, int]]:
+        spent, rejected, seen_rows = Counter(), Counter(), 0
+        for row in islice(part, most):
+            seen = facts(None if row.text is None else bytes(row.text))
+            seen_rows += 1
+            for name, rule in rules.items():
+                began = time.perf_counter()
+                rejected[name] += bool(rule(seen))
+                spent[name] += time.perf_counter() - began
+        return iter([(x, spent[x], seen_rows, rejected[x]) for x in rules])
+
+    # a job over these partitions only: the one thing here that DataFrames can't say
+    found = docs.sparkSession.sparkContext.runJob(rows, measure, list(chosen)) if chosen else []
     sums: dict[str, Estimate] = {x: Estimate(x, 0.0, 0, 0) for x in rules}
-    for r in rows.mapInArrow(measure, "rule string, seconds double, rows bigint, rejected bigint").collect():
-        was = sums[r.rule]
-        sums[r.rule] = Estimate(r.rule, was.seconds + r.seconds, was.rows + r.rows, was.rejected + r.rejected)
+    for rule, seconds, n, rejected in found:
+        was = sums[rule]
+        sums[rule] = Estimate(rule, was.seconds + seconds, was.rows + n, was.rejected + rejected)
     return [sums[x] for x in rules]
 
 
