@@ -24,12 +24,13 @@ WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 class Grid:
     """``df`` with a row per cell of ``size``; ``value`` gives the cell's value."""
 
-    def __init__(self, df: DataFrame, size: Sequence[int], value: F.Column | None = None, remake: Callable[[Region], Grid] | None = None):
+    def __init__(self, df: DataFrame, size: Sequence[int], value: F.Column | None = None, remake: Callable[[Region], Grid] | None = None, lines: DataFrame | None = None):
         if not 1 <= len(size) <= 3:
             raise GridError(f"{len(size)} dimensions")
         self.df, self.size = df, tuple(int(s) for s in size)
         self.value = F.col("v") if value is None else value
         self.remake = remake
+        self.lines = lines  # the same cells with a whole line along x as the array `line` of a row `y`, if they came so
 
     @property
     def dims(self) -> tuple[str, ...]:

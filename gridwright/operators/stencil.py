@@ -3,7 +3,7 @@
 Borders act on each axis by itself, so a stencil of d dimensions runs as d
 window passes, one per axis, also if its weights don't separate: the pass along
 x makes one sum per row of weights, that along y one of those per layer, and so
-on.  Each pass costs one shuffle of the cells.
+on.  Each pass costs one shuffle of the cells; that along x none if lines are arrays.
 
 A window's partition is a line of cells, cut into bands of :data:`BAND` cells: a
 band also gets copies of the few cells next to it, and the cells that the border
@@ -103,6 +103,42 @@ def axis_pass(df: DataFrame, dims: Sequence[str], size: Sequence[int], axis: int
     return kept.drop("_band")
 
 
+def line_pass(g: Grid, low: int, high: int, border: str, makes: Callable[[Callable[[str, int], F.Column]], dict[str, F.Column]]) -> DataFrame:
+    """The pass along x of a grid whose lines are arrays: within rows, nothing is shuffled or sorted."""
+    n = g.size[0]
+    if border not in BORDERS:
+        raise GridError(f"border {border!r}")
+    if border == "mirror" and max(low, high) >= n:
+        raise BorderTooWide(f"reach {max(low, high)} on an axis of {n}")
+    whole = F.transform("line", lambda v: v.cast("bigint")) if g.is_whole else F.col("line")
+
+    def cell(i: F.Column) -> F.Column:
+        def at(col: str, k: int) -> F.Column:
+            c = i + k
+            if not k:
+                return F.get("_line", c)
+            if border == "repeat":
+                return F.get("_line", F.greatest(F.least(c, F.lit(n - 1)), F.lit(0)))
+            if border == "mirror":
+                return F.get("_line", F.when(c < 0, -c).when(c > n - 1, 2 * (n - 1) - c).otherwise(c))
+            if border == "periodic":
+                return F.get("_line", F.pmod(c, F.lit(n)))
+            here = F.get("_line", c)  # null outside
+            return F.coalesce(here, F.lit(0)) if border == "zero" else here
+
+        return F.struct(*(v.alias(k) for k, v in makes(at).items()))
+
+    rows = g.lines.select("y", whole.alias("_line")).select("y", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell).alias("_cells"))
+    return rows.select("y", F.posexplode("_cells").alias("x", "_c")).select(F.col("x").cast("bigint").alias("x"), "y", "_c.*")
+
+
+def _pass(g: Grid, df: DataFrame, axis: int, low: int, high: int, border: str, makes: Callable) -> DataFrame:
+    """The pass along one axis, on lines where there are some."""
+    if axis == 0 and g.lines is not None:
+        return line_pass(g, low, high, border, makes)
+    return axis_pass(df, g.dims, g.size, axis, low, high, border, makes)
+
+
 def _sum(terms: list[F.Column]) -> F.Column:
     out = terms[0]
     for t in terms[1:]:
@@ -142,7 +178,7 @@ def convolve_all(g: Grid, kernels: Sequence[Kernel], border: str = "repeat") ->
         def makes(at, step=step, names=names):
             return {names[key]: _sum([at(c, o) if w == 1 else at(c, o) * F.lit(w) for c, o, w in terms]) for key, terms in step.items()}
 
-        df, state = axis_pass(df, dims, g.size, d, low[d], high[d], border, makes), names
+        df, state = _pass(g, df, d, low[d], high[d], border, makes), names
     zero = F.lit(0)
     return [Grid(df, g.size, F.col(state[i, ()]) if (i, ()) in state else zero) for i in range(len(kernels))]
 
@@ -160,15 +196,15 @@ def separable(g: Grid, kernels: Sequence[Kernel], border: str = "repeat") -> Gri
     df = g.df.select(*g.dims, wide(g).alias("v"))
     for d, k in enumerate(kernels):
         terms = [(o, k.at((o,))) for o in range(k.start[0], k.end[0]) if k.at((o,))]
-        df = axis_pass(df, g.dims, g.size, d, max(0, -k.start[0]), max(0, k.end[0] - 1), border, lambda at, terms=terms: {"v": _sum([at("v", o) if w == 1 else at("v", o) * F.lit(w) for o, w in terms]) if terms else F.lit(0)})
+        df = _pass(g, df, d, max(0, -k.start[0]), max(0, k.end[0] - 1), border, lambda at, terms=terms: {"v": _sum([at("v", o) if w == 1 else at("v", o) * F.lit(w) for o, w in terms]) if terms else F.lit(0)})
     return Grid(df, g.size)
 
 
 def neighbourhood(g: Grid, low: Sequence[int], high: Sequence[int], border: str = "repeat") -> Grid:
     """Each cell's surroundings as an array, x fastest, from ``-low`` to ``high``."""
-    df = g.df.select(*g.dims, F.array(g.value).alias("v"))
+    df = g.df.select(*g.dims, g.value.alias("v"))
     for d, (a, b) in enumerate(zip(low, high)):
-        df = axis_pass(df, g.dims, g.size, d, a, b, "repeat" if border == "zero" else border, lambda at, a=a, b=b: {"v": F.concat(*(at("v", o) for o in range(-a, b + 1)))})
+        df = _pass(g, df, d, a, b, "repeat" if border == "zero" else border, lambda at, a=a, b=b, d=d: {"v": F.array(*(at("v", o) for o in range(-a, b + 1))) if d == 0 else F.concat(*(at("v", o) for o in range(-a, b + 1)))})
     out = Grid(df, g.size)
     return _zeroed(out, low, high) if border == "zero" else out
 

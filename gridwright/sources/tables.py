@@ -14,9 +14,12 @@ from gridwright.operators.grid import Grid
 
 
 def from_rows(df: DataFrame, row_col: str, array_col: str, width: int, height: int, value=lambda e: e) -> Grid:
-    """A grid of a table with an array of ``width`` values per row number ``row_col``."""
+    """A grid of a table with an array of ``width`` values per row number ``row_col``.
+
+    Passes along x run on the arrays as they are, without a shuffle.
+    """
     cells = df.select(F.col(row_col).cast("bigint").alias("y"), F.posexplode(array_col).alias("x", "e"))
-    return Grid(cells.select(F.col("x").cast("bigint").alias("x"), "y", value(F.col("e")).alias("v")), (width, height))
+    return Grid(cells.select(F.col("x").cast("bigint").alias("x"), "y", value(F.col("e")).alias("v")), (width, height), lines=df.select(F.col(row_col).cast("bigint").alias("y"), F.transform(array_col, value).alias("line")))
 
 
 def from_array(spark: SparkSession, values, size: Sequence[int] | None = None, strides: Sequence[int] | None = None) -> Grid:

@@ -535,3 +535,15 @@ def test_user_interpolation_and_border(spark):
     g = ids(spark, (5,))
     far = interpolate.resampled(g, (7,), lambda at: [at[0] - 1], lambda q: [(F.floor(q).cast("bigint"), F.lit(2.0))], lambda c, n: F.when(c < 0, n - 1).when(c < n, c))
     assert arr(far).tolist() == [8, 0, 2, 4, 6, 8, 0]
+
+
+@pytest.mark.parametrize("border", ["repeat", "mirror", "periodic", "zero"])
+def test_lines_as_arrays_need_no_shuffle_along_x(spark, border):
+    a = np.arange(7 * 9).reshape(7, 9) ** 2 % 43
+    rows = spark.createDataFrame([(y, a[y].tolist()) for y in range(7)], "row bigint, line array<int>")
+    g = tables.from_rows(rows, "row", "line", 9, 7)
+    for kernel in (k.Kernel.of([[1, -2, 3, 4, 5]], (1, 0)), KERNELS[3], k.Kernel.of(np.arange(9).reshape(3, 3))):
+        assert (arr(stencil.convolve(g, kernel, border)) == correlate(a, kernel, border)).all()
+    flat = stencil.convolve(g, k.Kernel.of([[1, -2, 3]]), border).cells._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in flat
+    assert (arr(stencil.dilated(g, (1, 1), "repeat")) == np.max([padded_by(a, (1, 1), "repeat")[y : y + 7, x : x + 9] for y in range(3) for x in range(3)], axis=0)).all()
