@@ -4,8 +4,9 @@ A gear hash rolls over the bytes, ``h = 2 * h + G[byte]`` modulo 2**32; a chunk
 ends where ``BITS`` of its bits are zero.  The bits that are read depend on the
 last ``REACH`` bytes only, so two copies of a passage are cut at the same places
 from the first cut on, whatever stands before them: an insertion moves
-boundaries near it and no others.  Stretches without a cut end every
-``LONGEST`` bytes behind the last one.
+boundaries near it and no others.  Behind ``QUIET`` bytes without such an end
+``WEAK`` zero bits suffice (texts that repeat a few words have few values of the
+hash); chunks that still have none end every ``LONGEST`` bytes.
 
 Chunks with one 64-bit digest are copies.  Repeated chunks in a row make a run;
 runs shorter than ``RUN`` bytes (a line or two that many documents share) don't
@@ -35,6 +36,8 @@ from gridwright.llm.texts import record_batch, runs, slices
 BITS = 5
 REACH = 16
 LONGEST = 512
+QUIET = 128
+WEAK = 2
 RUN = 150
 PIECE = 2 << 20
 CHUNK = 200_000
@@ -65,9 +68,12 @@ def chunks(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64)
-    mask = np.uint32(((1 << BITS) - 1) << (REACH - BITS))
-    ends = np.union1d(np.flatnonzero((gear(data, offsets) & mask) == 0) + 1, offsets[1:])
-    ends = ends[ends > 0]
+    h, mask = gear(data, offsets), lambda bits: np.uint32(((1 << bits) - 1) << (REACH - bits))
+    strong = (h & mask(BITS)) == 0
+    strong[offsets[1:][offsets[1:] > 0] - 1] = True  # a text's end
+    last = np.maximum.accumulate(np.where(strong, np.arange(len(h)), -1))
+    quiet = np.arange(len(h)) - np.concatenate([[-1], last[:-1]]) > QUIET
+    ends = np.flatnonzero(strong | (quiet & ((h & mask(WEAK)) == 0))) + 1
     starts = np.concatenate([[0], ends[:-1]])
     pieces = (ends - starts - 1) // LONGEST + 1
     first = np.repeat(starts, pieces) + LONGEST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
