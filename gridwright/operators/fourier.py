@@ -1,7 +1,8 @@
 """Discrete Fourier transforms along axes.
 
 Each axis is a pass: cells are gathered into lines along it (a shuffle by the
-other coordinates, each line as long as its axis), lines go through numpy in
+other coordinates, each line as long as its axis; none along x where lines are
+arrays already), lines go through numpy in
 Arrow batches, and become cells again.  Transforms aren't scaled in either
 direction; the ``normalized`` forms multiply by one over the number of cells.
 Of real input the first transformed axis keeps ``n // 2 + 1`` frequencies.
@@ -14,6 +15,7 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.operators import complexes
@@ -33,13 +35,18 @@ def estimated_bytes(size: Sequence[int], stack: Sequence[int] = ()) -> int:
     return 8 * prod(one) + 16 * prod(spectrum_size(one))
 
 
-def _pass(g: Grid, axis: int, length: int, f) -> Grid:
-    """Lines along ``axis`` through ``f`` (rows of complex values to rows of ``length``)."""
+def _pass(g: Grid, axis: int, length: int, f, ready: DataFrame | None = None) -> Grid:
+    """Lines along ``axis`` through ``f`` (rows of complex values to rows of ``length``).
+
+    ``ready``: the lines, with arrays ``re`` and ``im``, where they needn't be gathered.
+    """
     name = g.dims[axis]
     rest = [d for d in g.dims if d != name]
     cell = F.struct(name, F.col("v")["re"].alias("re"), F.col("v")["im"].alias("im"))
-    lines = g.settled().df.groupBy(*rest).agg(F.array_sort(F.collect_list(cell)).alias("line"))
-    lines = lines.select(*rest, F.col("line.re").alias("re"), F.col("line.im").alias("im"))
+    lines = ready
+    if lines is None:
+        lines = g.settled().df.groupBy(*rest).agg(F.array_sort(F.collect_list(cell)).alias("line"))
+        lines = lines.select(*rest, F.col("line.re").alias("re"), F.col("line.im").alias("im"))
     schema = pa.schema([*((d, pa.int64()) for d in rest), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +60,7 @@ def _pass(g: Grid, axis: int, length: int, f) -> Grid:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), *parts], schema=schema)
 
     kinds = ", ".join([*(f"{d} bigint" for d in rest), "re array<double>", "im array<double>"])
-    out = lines.mapInArrow(apply, kinds) if rest else lines.mapInArrow(apply, kinds)
+    out = lines.mapInArrow(apply, kinds)
     cells = out.select(*rest, F.posexplode(F.arrays_zip("re", "im")).alias(name, "c"))
     df = cells.select(*(F.col(d).cast("bigint").alias(d) for d in g.dims), complexes.make(F.col("c.re"), F.col("c.im")).alias("v"))
     return Grid(df, [length if d == axis else s for d, s in enumerate(g.size)])
@@ -63,9 +70,12 @@ def forward(g: Grid, stack: Sequence[int] = ()) -> Grid:
     """Real to complex."""
     axes = [d for d in range(g.dimension) if d not in stack]
     out = g.with_value(complexes.make(g.value, F.lit(0.0)))
+    whole = None
+    if g.lines is not None and axes[0] == 0:  # a row has its whole line along x: nothing to gather
+        whole = g.lines.select("y", F.transform("line", lambda v: v.cast("double")).alias("re"), F.transform("line", lambda v: F.lit(0.0)).alias("im"))
     for i, d in enumerate(axes):
         n = out.size[d]
-        out = _pass(out, d, n // 2 + 1, lambda a: np.fft.rfft(a.real, axis=1)) if not i else _pass(out, d, n, lambda a: np.fft.fft(a, axis=1))
+        out = _pass(out, d, n // 2 + 1, lambda a: np.fft.rfft(a.real, axis=1), whole) if not i else _pass(out, d, n, lambda a: np.fft.fft(a, axis=1))
     return out
 
 
