@@ -63,6 +63,10 @@ def cubic_taps(p: F.Column) -> list[Tap]:
 TAPS: dict[str, Callable[[F.Column], list[Tap]]] = {"nearest": nearest_taps, "linear": linear_taps, "cubic": cubic_taps}
 
 
+PRESETS = {"nearest_repeat": ("nearest", "repeat"), "linear_repeat": ("linear", "repeat"), "cubic_repeat": ("cubic", "repeat")}
+"""Usual pairs of ``how`` and ``border``."""
+
+
 def border_index(c: F.Column, n: int, border: str | Callable[[F.Column, int], F.Column]) -> F.Column:
     """The cell that a border mode (or a function of place and length) shows at ``c``; null where there is none."""
     if callable(border):

@@ -80,7 +80,7 @@ _add("g3_checkerboard_sum", lambda s, d: r.total(procedural.checkerboard(s, 1, 0
 _add("g4_sinus", lambda s, d: millionths(procedural.sinus(s, (1.5, 2.0), (2.0, 3.0), (0.1, 0.7), _SIZE)), f"WITH {_GRID} SELECT x, y, {_mq('1.5 * sin(2 * pi() * 2 * x / 40.0 + 0.1) + 2.0 * sin(2 * pi() * 3 * y / 30.0 + 0.7)')} AS v FROM g")
 _add("g5_mesh_grid", lambda s, d: combine.zipped(*procedural.mesh_grid(s, (5, 10), (45, -20))).with_value(F.col("v0") * 1000 + F.col("v1")), f"WITH {_GRID} SELECT x, y, (5 + x) * 1000 + (10 - y) AS v FROM g")
 _add("g6_index", lambda s, d: procedural.index_view(s, _SIZE).with_value(vectors.total(F.array("x", "y"))), f"WITH {_GRID} SELECT x, y, x + y AS v FROM g")
-_add("g7_mandelbrot", lambda s, d: procedural.mandelbrot(s, (60, 40)))
+_add("g7_mandelbrot", lambda s, d: procedural.mandelbrot(s, (60, 40)), "WITH RECURSIVE g AS (SELECT a.x, b.y, -2.0e0 + a.x * (3.0e0 / 60) AS cr, -1.0e0 + b.y * (2.0e0 / 40) AS ci FROM range(60) a(x) CROSS JOIN range(40) b(y)), m AS (SELECT x, y, cr, ci, 0.0e0 AS zr, 0.0e0 AS zi, 0 AS k FROM g UNION ALL SELECT x, y, cr, ci, zr * zr - zi * zi + cr, 2 * zr * zi + ci, k + 1 FROM m WHERE k < 500 AND zr * zr + zi * zi <= 4) SELECT x, y, CAST(max(k) FILTER (WHERE zr * zr + zi * zi <= 4) AS INTEGER) AS v FROM m GROUP BY x, y")
 _add("g8_superposed_boards", lambda s, d: procedural.superposed_boards(s, (81, 81), 4), f"WITH g AS (SELECT a.x, b.y FROM range(81) a(x) CROSS JOIN range(81) b(y)) SELECT x, y, CAST({' + '.join(f'(x // {3**p} + y // {3**p}) % 2' for p in range(4))} AS INTEGER) AS v FROM g")
 
 # --- element-wise --------------------------------------------------------------------------------------------------

@@ -74,13 +74,13 @@ def mandelbrot(spark: SparkSession, size: Sequence[int], low: Sequence[float] =
     """Steps until ``z * z + c`` leaves the circle of radius 2, ``most`` at most."""
 
     def steps(re, im):
-        c = re.to_numpy() + 1j * im.to_numpy()
-        z, n, live = np.zeros_like(c), np.zeros(len(c), np.int32), np.ones(len(c), bool)
+        cr, ci = re.to_numpy(), im.to_numpy()
+        n, live = np.zeros(len(cr), np.int32), np.arange(len(cr))
+        zr = zi = np.zeros(len(cr))
         for _ in range(most):
-            z[live] = z[live] * z[live] + c[live]
-            live &= z.real**2 + z.imag**2 <= 4
-            if not live.any():
-                break
+            zr, zi = zr * zr - zi * zi + cr[live], 2 * zr * zi + ci[live]
+            inside = zr * zr + zi * zi <= 4
+            live, zr, zi = live[inside], zr[inside], zi[inside]
             n[live] += 1
         return pd.Series(n)
 
