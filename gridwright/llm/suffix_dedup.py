@@ -203,37 +203,42 @@ def _hot_classes(rows: DataFrame, total: int) -> DataFrame:
 def _indexed(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``rid, start, end`` of what repeats in classes of one member whose anchor has several classes."""
     asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "kind", "at", "n", "members", "kinds")).alias("asked"))
-    schema = pa.schema([("h", pa.int64()), ("part", pa.int64()), ("kind", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("members", pa.int64()), ("place", pa.binary()), ("digest", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("part", pa.int64()), ("kind", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("members", pa.int64()), ("place", pa.binary()), ("digest", pa.binary()), ("part_text", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 32):
             out = []
             for rid, text, rows in zip(*(c.to_pylist() for c in batch.columns)):
-                sums = rolling.prefix(rolling.TABLE[np.frombuffer(text, np.uint8)])
                 for r in rows:
-                    place = np.arange(r["at"], r["at"] + r["n"])
-                    digest = rolling.ranges(sums, place, place + length)
+                    own = text[r["at"] : r["at"] + r["n"] - 1 + length]
                     parts = r["kinds"] // HOT_CLASSES + 1
-                    if parts == 1:
-                        out.append((r["h"], 0, r["kind"], rid, r["at"], r["members"], None, digest.tobytes()))
+                    if parts == 1:  # the windows' text: shorter than their digests, and it compresses
+                        out.append((r["h"], 0, r["kind"], rid, r["at"], r["members"], None, None, own))
                         continue
+                    digest = digests(own)
                     part = digest % np.uint64(parts)
                     for p in np.unique(part):
-                        out.append((r["h"], int(p), r["kind"], rid, r["at"], r["members"], place[part == p].tobytes(), digest[part == p].tobytes()))
+                        place = np.flatnonzero(part == p) + r["at"]
+                        out.append((r["h"], int(p), r["kind"], rid, r["at"], r["members"], place.tobytes(), digest[part == p].tobytes(), None))
             if out:
                 yield record_batch([list(x) for x in zip(*out)], schema)
 
     found = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
+    def digests(text: bytes) -> np.ndarray:
+        """Of every window of a text."""
+        at = np.arange(len(text) - length + 1)
+        return rolling.ranges(rolling.prefix(rolling.TABLE[np.frombuffer(text, np.uint8)]), at, at + length)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen, single = Levels(), set(), []
         for batch in batches:
             new = []
-            for h, part, kind, rid, at, members, place, digest in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, part, kind, rid, at, members, place, digest, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if (kind, part) in seen:  # repeated rows of a table send their class more than once
                     continue
                 seen.add((kind, part))
-                digest = np.frombuffer(digest, np.uint64)
+                digest = digests(own) if place is None else np.frombuffer(digest, np.uint64)
                 single.append((rid, at if place is None else np.frombuffer(place, np.int64), len(digest), members == 1, levels.total + sum(map(len, new))))
                 new.append(digest)
             if new:
@@ -250,7 +255,7 @@ def _indexed(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield record_batch([list(x) for x in zip(*out)], found)
 
     rows = docs.join(asked, "rid").select("rid", "text", "asked")
-    dealt = rows.mapInArrow(cut, "h bigint, part bigint, kind bigint, rid bigint, at bigint, members bigint, place binary, digest binary").repartition("h", "part")
+    dealt = rows.mapInArrow(cut, "h bigint, part bigint, kind bigint, rid bigint, at bigint, members bigint, place binary, digest binary, part_text binary").repartition("h", "part")
     return dealt.mapInArrow(index, "rid bigint, start bigint, end bigint")
 
 
