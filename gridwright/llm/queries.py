@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridwright.llm import chunk_dedup, decontaminate, html_template, mixing, nbsvm, quality_rules, simhash, suffix_dedup, token_counts, url_graph
+from gridwright.llm.texts import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learnt from labels that aren't held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return nbsvm.score(docs, nbsvm.train(docs, table(spark, sf_dir, "labels"), "quality"))
 
 
@@ -29,12 +30,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None)
     import public_tokenizers
 
     vocabulary = token_counts.Vocabulary.load(model or public_tokenizers.path("piece_bpe_32k.model"))
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+    return token_counts.token_counts(spread(table(spark, sf_dir, "documents")), vocabulary)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds template windows of a benchmark item, with the item."""
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,12 @@ def binary_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than the session has cores (a single small file) dealt over all; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches again in slices of at most ``rows`` rows (zero copy)."""
     for batch in batches:
