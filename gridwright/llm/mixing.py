@@ -13,7 +13,11 @@ its leading bits give the prefix sums of whole buckets, and only the bucket in
 which the budget ends is cut further, level by level, to a single key: the
 source's cutoff.  So a source with a third of all rows costs partial sums only.
 What a document across the budget's end leaves open is filled by the largest
-documents behind the cutoff that still fit, a few per source.
+documents behind the cutoff that still fit, ``FILLS`` per source; what those
+leave open, by the prefix sums of the documents behind the cutoff that are no
+larger than it, round by round, until no document of the source fits.  A round
+ends at a document larger than all later ones that count, so by the random
+order of keys the rounds are about the logarithm of the words left open.
 
 Nulls and texts without words have size 0 and take nothing.  A null source is a
 source of its own, the last.  Rows with equal keys (equal id and text) are
@@ -38,6 +42,7 @@ from gridwright.llm.texts import record_batch, slices
 MOST_SOURCES = 1_000_000
 SHIFTS = (44, 32, 20, 10, 0)
 FILLS = 3
+LAST = (1 << 63) - 1
 SYMBOLS = b"#*$%&|<>"
 LEAST_WEIGHT = 0.05
 
@@ -87,10 +92,10 @@ def measured(docs: DataFrame, *, seed: int = 0, id_col: str = "doc_id", text_col
 
 
 def plan(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: float = 1.5, most_epochs: int = 2, fills: int = FILLS) -> DataFrame:
-    """A row per source: its size, ``target``, ``epochs``, the ``cutoff`` rank of the rest and the ranks of the ``fills``.
+    """A row per source: its size, ``target``, ``epochs``, the ``spans`` of ranks and sizes that the rest takes and the ranks of the ``fills``.
 
-    ``sizes`` is read about ten times, so it should be a written table; weights
-    repeat over the sources in code point order.
+    ``sizes`` is read some dozens of times, so it should be a written table;
+    weights repeat over the sources in code point order.
     """
     spark = sizes.sparkSession
     rows = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
@@ -98,44 +103,91 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share:
         raise ValueError(f"over {MOST_SOURCES} sources")
     rows.sort(key=lambda r: (r.source is None, r.source or ""))
     found = targets([r.n for r in rows], [weights[i % len(weights)] for i in range(len(rows))], total_share, most_epochs)
-    state = []
+    state = {}
     for r, t in zip(rows, found):
         epochs = int(t // r.n) if r.n else 0
-        state.append((r.source, r.n, t, epochs, float(t - epochs * r.n), 0, 0, 0))
-    names = "source string, source_size bigint, target double, epochs bigint, rest double, path bigint, below bigint, size bigint"
-    now = spark.createDataFrame(state, names)
-    for at, shift in enumerate(SHIFTS):
-        # below: sizes of all keys in front of the bucket `path` in which the rest ends
-        inside = sizes.alias("s").join(F.broadcast(now.select("source", "path", "rest", "below").alias("p")), F.expr("s.source <=> p.source"))
-        if at:
-            inside = inside.where(F.shiftright("s.rank", SHIFTS[at - 1]) == F.col("p.path"))
-        sums = inside.groupBy("s.source", F.shiftright("s.rank", shift).alias("bucket")).agg(F.sum("s.size").alias("size"), F.first("p.rest").alias("rest"), F.first("p.below").alias("below"))
-        upto = F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
-        ends = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("bucket", "upto", "size"), "bucket").alias("at"))
-        ends = {r.source: r["at"] for r in ends.collect()}
-        # a source whose rest takes all of its keys ends behind the last of them
-        state = [(s, n, t, e, rest, ends[s].bucket, ends[s].upto - ends[s].size, 0) if s in ends else (s, n, t, e, rest, (1 << 63 - shift) - 1, n, 0) for s, n, t, e, rest, *_ in state]
-        now = spark.createDataFrame(state, names)
-    # the last level's buckets are single keys: all below `path` are taken
-    extras: dict = {x[0]: [] for x in state}
-    open_ = {x[0]: int(x[4] - x[6]) for x in state}
+        state[r.source] = (r.n, t, epochs, float(t - epochs * r.n))
+    extras: dict = {s: [] for s in state}
+    cuts = _ends(sizes, [(s, 0, x[3], None, []) for s, x in state.items()])
+    spans = {s: [(0, cuts[s][0], x[0])] for s, x in state.items()}
+    open_ = {s: int(x[3] - cuts[s][1]) for s, x in state.items()}
     for _ in range(fills):
-        ask = [(s, x[5], open_[s], extras[s]) for x in state if open_[s := x[0]] > 0]
+        ask = [(s, cuts[s][0], open_[s], extras[s]) for s in state if open_[s] > 0]
         if not ask:
             break
         ask = spark.createDataFrame(ask, "source string, path bigint, free bigint, extras array<bigint>")
         fits = sizes.alias("s").join(F.broadcast(ask.alias("p")), F.expr("s.source <=> p.source and s.rank >= p.path and s.size between 1 and p.free and not array_contains(p.extras, s.rank)"))
-        for r in fits.groupBy("s.source").agg(F.max(F.struct("s.size", (-F.col("s.rank")).alias("rank"))).alias("best")).collect():
-            extras[r.source].append(-r.best["rank"])
-            open_[r.source] -= r.best["size"]
-    done = [(s, n, t, e, path, extras[s]) for s, n, t, e, _, path, _, _ in state]
-    return spark.createDataFrame(done, "source string, source_size bigint, target double, epochs bigint, cutoff bigint, extras array<bigint>")
+        best = fits.groupBy("s.source").agg(F.max(F.struct("s.size", (-F.col("s.rank")).alias("rank"))).alias("best")).collect()
+        if not best:
+            break
+        best = spark.createDataFrame([(r.source, -r.best["rank"]) for r in best], "source string, rank bigint")
+        whole = sizes.alias("s").join(F.broadcast(best.alias("p")), F.expr("s.source <=> p.source and s.rank = p.rank"))
+        for r in whole.groupBy("s.source", "s.rank").agg(F.sum("s.size").alias("n")).collect():
+            if r.n <= open_[r.source]:  # repeated rows have one key and are taken together
+                extras[r.source].append(r.rank)
+                open_[r.source] -= r.n
+    after = {s: cuts[s][0] for s in state if open_[s] > 0 and cuts[s][0] < LAST}
+    while after:
+        cuts = _ends(sizes, [(s, low, float(open_[s]), open_[s], extras[s]) for s, low in after.items()])
+        then = {}
+        for s, low in after.items():
+            stop, taken = cuts[s]
+            if taken:
+                spans[s].append((low, stop, open_[s]))
+                open_[s] -= taken
+            if stop < LAST and open_[s] > 0:  # what didn't fit at `stop` never will: all in front of it is taken or too large
+                then[s] = stop + 1
+        after = then
+    done = [(s, n, t, e, spans[s], extras[s]) for s, (n, t, e, _) in state.items()]
+    return spark.createDataFrame(done, "source string, source_size bigint, target double, epochs bigint, spans array<struct<low: bigint, stop: bigint, most: bigint>>, extras array<bigint>")
+
+
+def _ends(sizes: DataFrame, asks: list[tuple]) -> dict:
+    """By source: the rank at which its budget ends, and the sizes in front of it.
+
+    ``asks`` has the source, the first rank that counts, the budget, the largest
+    size that counts (None: any) and ranks that don't.  The budget ends at the
+    first key with which the prefix sum exceeds it, at ``LAST`` if none does.
+    """
+    spark = sizes.sparkSession
+    found: dict = {}
+    now = [(*x, 0, 0) for x in asks]
+    names = "source string, low bigint, rest double, most bigint, extras array<bigint>, path bigint, below bigint"
+    for at, shift in enumerate(SHIFTS):
+        if not now:
+            break
+        # below: sizes of all keys in front of the bucket `path` in which the rest ends
+        asked = spark.createDataFrame(now, names).alias("p")
+        inside = sizes.alias("s").join(F.broadcast(asked), F.expr("s.source <=> p.source and s.rank >= p.low and s.size > 0 and (p.most is null or s.size <= p.most) and not array_contains(p.extras, s.rank)"))
+        if at:
+            inside = inside.where(F.shiftright("s.rank", SHIFTS[at - 1]) == F.col("p.path"))
+        sums = inside.groupBy("s.source", F.shiftright("s.rank", shift).alias("bucket")).agg(F.sum("s.size").alias("size"), F.min("s.rank").alias("first"), F.max("s.rank").alias("last"), F.first("p.rest").alias("rest"), F.first("p.below").alias("below"))
+        upto = F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
+        sums = sums.withColumn("upto", upto)
+        ends = sums.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bucket", "upto", "size", "first", "last"))).alias("at"), F.max("upto").alias("all"))
+        ends = {r.source: (r["at"], r["all"]) for r in ends.collect()}
+        then = []
+        for s, low, rest, most, extras, _, below in now:
+            end, total = ends.get(s, (None, below))
+            if end is None:  # the rest takes all of its keys
+                found[s] = (LAST, total)
+            elif end["first"] == end["last"]:
+                found[s] = (end["first"], end.upto - end.size)
+            else:
+                then.append((s, low, rest, most, extras, end.bucket, end.upto - end.size))
+        now = then
+    return found
+
+
+def _chosen(rank: F.Column, size: F.Column, spans: F.Column, extras: F.Column) -> F.Column:
+    """Whether the fraction takes a document."""
+    return F.exists(spans, lambda x: (rank >= x["low"]) & (rank < x["stop"]) & (size <= x["most"])) | F.array_contains(extras, rank)
 
 
 def copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """``rows`` (with ``source`` and ``rank``) and its source's plan, with ``copies``: how often the mix takes each."""
     both = rows.alias("s").join(F.broadcast(sources.alias("p")), F.expr("s.source <=> p.source"))
-    chosen = (F.col("s.rank") < F.col("p.cutoff")) | F.array_contains("p.extras", F.col("s.rank"))
+    chosen = _chosen(F.col("s.rank"), F.col("s.size"), F.col("p.spans"), F.col("p.extras"))
     return both.select("s.*", "p.source_size", "p.target", (F.col("p.epochs") + chosen.cast("bigint")).alias("copies"))
 
 
@@ -162,9 +214,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(ranks, pa.int64())], schema=pa.schema([*batch.schema, *extra]))
 
     ranked = docs.mapInArrow(apply, f"{_ddl(docs)}, __size bigint, __rank bigint")
-    plans = F.broadcast(sources.select(*(F.col(x).alias(f"__{x}") for x in ("source", "epochs", "cutoff", "extras"))))
+    plans = F.broadcast(sources.select(*(F.col(x).alias(f"__{x}") for x in ("source", "epochs", "spans", "extras"))))
     both = ranked.join(plans, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    chosen = (F.col("__rank") < F.col("__cutoff")) | F.array_contains("__extras", F.col("__rank"))
+    chosen = _chosen(F.col("__rank"), F.col("__size"), F.col("__spans"), F.col("__extras"))
     times = F.when(F.col("__size") > 0, F.col("__epochs") + chosen.cast("bigint")).otherwise(0)
     return both.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns, "copy")
 

@@ -433,6 +433,16 @@ def test_mix_equals_brute_force(spark):
     assert all(mixed[d] * g[0] == g[3] for d, g in got.items() if g[0])
 
 
+def test_mix_fills_until_nothing_fits(spark):
+    """A document that is half of its source ends the prefix; all others behind it still fit."""
+    rows = [(i, f"w{i} " * 25, "a") for i in range(1600)] + [(2000, "long " * 41_000, "a")] + [(3000, "twice " * 40, "a")] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(docs).collect()
+    assert {(r.doc_id < 2000 or r.doc_id == 3000, r.taken // r.size) for r in out} == {(True, 2), (False, 1)}
+    mixed = Counter(r.doc_id for r in mixing.mixed(docs).collect())
+    assert mixed == {i: 1 if i == 2000 else 4 if i == 3000 else 2 for i, _, _ in rows}
+
+
 def test_mix_awkward(awkward, nothing):
     out = mixing.mix(awkward).collect()
     assert len(out) == awkward.count() and all(0 <= r.taken <= 2 * r.size for r in out)
