@@ -11,8 +11,12 @@ Canonical tokens: white-space runs without their outer ASCII punctuation, A-Z
 lower-cased; tokens of punctuation only vanish.  *Number*: digits, with any of
 ``.,:/-`` between.  *Unit*: one of ``UNITS`` behind a number.  *Name*: a capital
 A-Z first, not at the start of a sentence or line.  Windows need ``LITERALS``
-tokens that aren't placeholders (short items: all but those), so an item with
-fewer is never found.
+tokens that aren't placeholders to match with other values in their slots.
+
+What is a name depends on what stands before it, so the same windows are also
+joined without placeholders, by their lower-cased tokens and whatever their
+number of literals: verbatim copies, copies in other case and copies with other
+line breaks or punctuation around tokens hit, however short the item is.
 
 The benchmark is a stated query set: it is joined in blocks of ``BLOCK_BYTES``,
 each broadcast, against all documents; documents are not shuffled.  Nulls and
@@ -62,6 +66,22 @@ LOWER = np.where(CAPITAL, np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 UNIT_HASHES = np.sort([rolling.ranges(rolling.prefix(rolling.TABLE[np.frombuffer(x.encode(), np.uint8)]), np.array([0]), np.array([len(x)]))[0] for x in UNITS])
 
 
+def folded(texts: list[bytes | None], data: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """The texts' bytes in lower case, letters beyond A-Z too where both cases have as many bytes; ``lower`` if none are."""
+    if not (data >= 128).any():
+        return lower
+
+    def fold(text: bytes | None) -> bytes:
+        if not text or text.isascii():
+            return (text or b"").lower()
+        chars = text.decode("utf-8", "surrogateescape")
+        low = {c: c.lower() for c in set(chars)}
+        table = {ord(c): x for c, x in low.items() if c != x and len(x.encode()) == len(c.encode())}
+        return chars.translate(table).encode("utf-8", "surrogateescape")
+
+    return np.frombuffer(b"".join(map(fold, texts)), np.uint8)
+
+
 class Canonical:
     """Canonical tokens of some texts: byte ranges, hashes, kinds (0: literal) and text numbers."""
 
@@ -91,6 +111,9 @@ class Canonical:
         self.kind = np.select([number, unit, name], [1, 2, 3], 0)
         self.hash = np.select([number, unit, name], [NUMBER, UNIT, NAME], plain)
         self._sums = rolling.prefix(self.hash)
+        self.folded = folded(texts, self.data, lower)
+        spelt = plain if self.folded is lower else rolling.ranges(rolling.prefix(rolling.TABLE[self.folded]), start, end)
+        self._spelt = rolling.prefix(spelt)
         self._literals = np.concatenate([[0], np.cumsum(self.kind == 0)])
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +122,16 @@ class Canonical:
         at = at[(self.owner[at] == self.owner[at + width - 1]) & (self._literals[at + width] - self._literals[at] >= LITERALS)]
         return at, rolling.ranges(self._sums, at, at + width)
 
+    def verbatim(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens and hashes of all windows of ``width`` lower-cased tokens, without placeholders."""
+        at = np.arange(max(0, len(self.hash) - width + 1))
+        at = at[self.owner[at] == self.owner[at + width - 1]]
+        return at, rolling.ranges(self._spelt, at, at + width)
+
+    def spelling(self, at: int, width: int) -> list[bytes]:
+        """The lower-cased bytes of each token of a window."""
+        return [self.folded[self.start[i] : self.end[i]].tobytes() for i in range(at, at + width)]
+
     def words(self, at: int, width: int) -> list[tuple[int, bytes]]:
         """Kind and lower-cased bytes of each token of a window."""
         return [(int(self.kind[i]), self.data[self.start[i] : self.end[i]].tobytes().lower()) for i in range(at, at + width)]
@@ -122,41 +155,66 @@ class Templates:
         self.ids = [i for i, _ in items]
         parsed = Canonical([x for _, x in items])
         lengths = np.bincount(parsed.owner, minlength=len(items))
-        found = defaultdict(list)
+        found, spelt = defaultdict(list), defaultdict(list)
         for width in sorted({min(WINDOW, int(n)) for n in lengths if n}):
-            at, h = parsed.windows(width)
-            own = (lengths[parsed.owner[at]] == width) | (width == WINDOW) if len(at) else np.zeros(0, bool)
-            for i, x in zip(at[own].tolist(), h[own].tolist()):
-                found[width].append((x, int(parsed.owner[i]), parsed.words(i, width)))
-        self.by_width = {}
-        for width, rows in found.items():
-            rows.sort(key=lambda r: r[0])
-            hashes = np.array([r[0] for r in rows], np.uint64)
-            bits = np.zeros(1 << 20, bool)
-            bits[hashes >> np.uint64(44)] = True
-            self.by_width[width] = (hashes, bits, [r[1:] for r in rows])
+            for (at, h), words, into in ((parsed.windows(width), parsed.words, found), (parsed.verbatim(width), parsed.spelling, spelt)):
+                own = (lengths[parsed.owner[at]] == width) | (width == WINDOW) if len(at) else np.zeros(0, bool)
+                for i, x in zip(at[own].tolist(), h[own].tolist()):
+                    into[width].append((x, i, int(parsed.owner[i]), words(i, width)))
+        self.by_width, self.spelt = _by_hash(found), _by_hash(spelt)
 
     def hits(self, texts: list[bytes | None]) -> dict[int, dict[int, list[int]]]:
         """By text number and item: [windows found, those of them with other values in a slot]."""
         found: dict[int, dict[int, list[int]]] = defaultdict(dict)
-        if not self.by_width:
+        if not self.spelt:
             return found
         doc = Canonical(texts)
-        for width, (hashes, bits, rows) in self.by_width.items():
-            at, h = doc.windows(width)
-            maybe = bits[h >> np.uint64(44)]
-            at, h = at[maybe], h[maybe]
-            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
-            for i, a, b in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
+        seen: set[tuple[int, int, int]] = set()  # windows that are verbatim copies: by width and first tokens of both sides
+
+        def add(i: int, item: int, altered: bool) -> None:
+            n = found[int(doc.owner[i])].setdefault(self.ids[item], [0, 0])
+            n[0] += 1
+            n[1] += altered
+
+        for width, rows in self.spelt.items():
+            for i, same in _met(rows, *doc.verbatim(width)):
+                ours = doc.spelling(i, width)
+                for at, item, theirs in same:
+                    if ours == theirs:
+                        seen.add((width, i, at))
+                        add(i, item, False)
+        for width, rows in self.by_width.items():
+            for i, same in _met(rows, *doc.windows(width)):
                 ours = doc.words(i, width)
-                for item, theirs in rows[a:b]:
-                    if consistent(ours, theirs):
-                        n = found[int(doc.owner[i])].setdefault(self.ids[item], [0, 0])
-                        n[0] += 1
-                        n[1] += ours != theirs
+                for at, item, theirs in same:
+                    if (width, i, at) not in seen and consistent(ours, theirs):
+                        add(i, item, ours != theirs)
         return found
 
 
+def _by_hash(found: dict[int, list[tuple]]) -> dict[int, tuple]:
+    """By width: sorted hashes, bits of those that occur, and what they belong to."""
+    out = {}
+    for width, rows in found.items():
+        rows.sort(key=lambda r: r[0])
+        hashes = np.array([r[0] for r in rows], np.uint64)
+        bits = np.zeros(1 << 20, bool)
+        bits[hashes >> np.uint64(44)] = True
+        out[width] = (hashes, bits, [r[1:] for r in rows])
+    return out
+
+
+def _met(known: tuple, at: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, list[tuple]]]:
+    """First tokens of the windows whose hash is known, with what has it."""
+    hashes, bits, rows = known
+    maybe = bits[h >> np.uint64(44)]
+    at, h = at[maybe], h[maybe]
+    low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+    hit = low < high
+    for i, a, b in zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist()):
+        yield i, rows[a:b]
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
     rows = binary_texts(benchmark, id_col, text_col).where("doc_id is not null and text is not null")
     total = rows.agg(F.sum(F.length("text")).alias("n")).first().n or 0

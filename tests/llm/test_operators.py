@@ -232,6 +232,19 @@ def test_decontamination_equals_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want and want
 
 
+def test_verbatim_copies_are_found(spark):
+    """Short items, items of numbers and names, and copies in other case, lines or surroundings."""
+    items = {0: "What is 7 + 8?", 1: "add 12 kg 13 kg 14 kg 15 kg 16 kg 17 kg", 2: "What did Anna Berg tell Carl Dorn?", 3: "the river ran past Anna and Berg while Carl and Dorn slept in École Haute", 4: "plain words of a row that is only here to differ"}
+    rows = {0: f"before {items[0]} behind", 1: f"x {items[1]} y", 2: f"Question: {items[2]}", 3: items[3].upper(), 4: items[3].lower(), 5: items[3].replace(" ", "\n"), 6: f'("{items[2]}")', 7: "What is 7 + 9 or add 12 kg 13 kg 14 kg 15 kg 16 kg 18 kg"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_altered) for r in decontaminate.contaminated(docs, bench).collect()}
+    n = len(items[3].split()) - decontaminate.WINDOW + 1
+    # of item 1 the documents 1 and 7 share windows of ten tokens too
+    assert {k: v for k, v in got.items() if k[0] != 7} == {(0, 0): (1, 0), (1, 1): (4, 0), (2, 2): (1, 0), (3, 3): (n, 0), (4, 3): (n, 0), (5, 3): (n, 0), (6, 2): (1, 0)}
+    assert set(got) - {(7, 1)} == {k for k in got if k[0] != 7}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     texts = [" ".join(words_of(30, i)) for i in range(6)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
