@@ -374,6 +374,17 @@ def test_slots_that_differ_without_an_article(spark):
     assert got == {i: f"own {' '.join(words_of(8, i))}" for i in range(8)}
 
 
+def test_rare_constant_blocks_are_closed(spark):
+    """A block on 5 pages of a host is boilerplate whether the host has 300 pages or 600."""
+    rows = []
+    for n in (300, 600):
+        rows += [(n * 10 + i, f"http://n{n}.example/{i}", f"<body>{'<div class=strip>same for five</div>' if i % 60 == 0 and i < 300 else ''}<div class=c><p>own {n} {i}</p></div></body>") for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for most in (1 << 24, 0):
+        got = {r.page_id: r.text for r in html_template.main_text(pages, template_bytes=most).collect()}
+        assert got == {n * 10 + i: f"own {n} {i}" for n in (300, 600) for i in range(n)}
+
+
 def test_equivalence_classes(spark):
     rows = [page(i) for i in range(6)]
     pages = spark.createDataFrame([(r[1], r[2]) for r in rows], "name string, html string").withColumn("host", F.lit("h"))
