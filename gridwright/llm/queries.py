@@ -64,7 +64,7 @@ def op9_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeated strings of 400 bytes take from every document."""
+    """What repeated strings of 400 bytes take from every document, and what strings of 200 bytes cover of it."""
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 

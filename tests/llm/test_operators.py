@@ -528,41 +528,52 @@ def brute_suffixes(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot", "classes"), [(40, 200_000, 20_000), (40, 16, 3), (100, 16, 2)])
-def test_dedup_equals_brute_force(spark, monkeypatch, length, hot, classes):
-    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", classes)
+@pytest.mark.parametrize(("length", "shared", "batch", "kinds"), [(40, 20, 30_000, 1_000), (40, 30, 20, 1_000), (40, 40, 10, 3), (100, 20, 50, 2)])
+def test_dedup_equals_brute_force(spark, monkeypatch, length, shared, batch, kinds):
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    monkeypatch.setattr(suffix_dedup, "MOST_KINDS", kinds)
     rng = random.Random(3)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    shared, texts = [make(60), make(130), make(45)], []
+    common, texts = [make(60), make(130), make(45)], []
     for _ in range(50):
         t = make(rng.randint(0, 120))
         for _ in range(rng.randint(0, 3)):
-            t += rng.choice(shared)[rng.randint(0, 5) :] + make(rng.randint(0, 50))
+            t += rng.choice(common)[rng.randint(0, 5) :] + make(rng.randint(0, 50))
         texts.append(t)
-    texts += [texts[3], texts[4] * 2, "a" * 300, "ab" * 100, "", "x", None, "a" * 39, "a" * 40, "a" * 41, "é" * 60]
+    texts += [texts[3], texts[4] * 2, "a" * 300, "ab" * 100, "", "x", None, "a" * 39, "a" * 40, "a" * 41, "é" * 60, "n\0l" * 20, "n\0l" * 15 + "\0" * 50]
     rows = [(i if i != 7 else None, t, "x") for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, rid string")
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(docs, length, hot=hot).collect()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, tid string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(docs, length, shared).collect()}
     want = brute_suffixes([(t or "").encode() for t in texts], length)
-    assert got == {r[0]: w for r, w in zip(rows, want)} and sum(w[1] for w in want)
-    cut = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs, length, hot=hot).collect()}
+    also = brute_suffixes([(t or "").encode() for t in texts], shared)
+    assert got == {r[0]: (*w, x[1]) for r, w, x in zip(rows, want, also)} and sum(w[1] for w in want)
+    cut = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs, length).collect()}
     for r, w in zip(rows, want):
         if r[1] is not None and "é" not in r[1]:
             assert hashlib.sha256(cut[r[0]].encode()).hexdigest() == w[3]
 
 
+def test_dedup_of_repeated_rows_and_one_repeating_text(spark):
+    words = " ".join(words_of(400, 9))
+    rows = [(1, words)] * 300 + [(2, words + " and an end of its own")] + [(3, "many times the same. " * 3000), (4, "x" + words[:450])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.dedup(docs).collect())
+    want = brute_suffixes([t.encode() for _, t in rows[:1] + rows[:1] + rows[300:]], 400)
+    assert got == Counter({(1, *want[0]): 300, (2, *want[2]): 1, (3, *want[3]): 1, (4, *want[4]): 1})
+
+
 def test_levels_find_all_and_stay_few():
     rng = np.random.default_rng(0)
     levels, seen = suffix_dedup.Levels(), []
     for _ in range(40):
-        x = rng.integers(0, 600, rng.integers(1, 30)).astype(np.uint64)
-        levels.add(x)
+        x = rng.integers(0, 600, rng.integers(1, 30)).astype(">u8")
+        levels.add(x.view(np.uint8).reshape(-1, 8))
         seen.append(x)
         sizes = [len(k) for k, _ in levels.levels]
-        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and all((k[1:] >= k[:-1]).all() for k, _ in levels.levels)
     everything = np.concatenate(seen)
     _, inverse, counts = np.unique(everything, return_inverse=True, return_counts=True)
-    assert (levels.repeated() == (counts[inverse] > 1)).all()
+    assert (levels.twice == (counts[inverse] > 1)).all()
 
 
 def test_dedup_awkward(awkward, nothing):
