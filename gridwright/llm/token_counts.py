@@ -11,13 +11,21 @@ All places of a sequence's best pair merge in one round, left to right without
 overlaps, if no pair with the merged symbol ranks lower; else the leftmost only.
 That is the order of a queue that pops the best-ranked leftmost pair.
 
+A round passes over every symbol that is left, so sequences of over ``LONG``
+symbols (unspaced scripts, encoded data) go another way to the same order: their
+places are kept by rank, and a round visits the places of the lowest rank that
+any of them has, and no others.  Its price follows the merges, so a word of a
+million letters takes seconds.
+
 Null texts count as empty: no bytes, no tokens.  Rows are counted one by one;
 repeated rows and ties don't matter, a null id passes through, an empty table
-gives an empty result, and other columns play no part.
+gives an empty result, and other columns play no part.  A very long text is held
+whole, as its pre-tokens.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +38,8 @@ from gridwright.llm.texts import binary_texts, record_batch, slices
 
 SPACE = "▁"
 NONE = np.int64(1 << 40)
+LONG = 200
+"""Symbols of a sequence beyond which its places are kept by rank."""
 REMEMBERED = 500_000
 """Pre-tokens whose counts a task remembers; then it forgets all."""
 
@@ -93,6 +103,9 @@ class Vocabulary:
         part = seq.astype(np.int64) * 0 + np.cumsum(strange)
         keep = ~strange
         ids, seq, part = ids[keep], seq[keep], part[keep]
+        if (long := np.bincount(seq, minlength=len(words))[seq] > LONG).any():
+            total += np.bincount(seq[long], self._by_rank(ids[long], seq[long], part[long]), len(words)).astype(np.int64)
+            ids, seq, part = ids[~long], seq[~long], part[~long]
         while len(ids):
             same = (seq[1:] == seq[:-1]) & (part[1:] == part[:-1])
             key = ids[:-1] * size + ids[1:]
@@ -120,6 +133,66 @@ class Vocabulary:
             ids, seq, part = ids[stay], seq[stay], part[stay]
         return total
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; ``NONE`` for those that don't merge, and beside a bound (symbol -1)."""
+        key = left * len(self.cost) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.pairs[at] == key), self.ranks[at], NONE)
+
+    def _by_rank(self, ids: np.ndarray, seq: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """What each of the symbols costs when all are merged (0: merged into one in front of it)."""
+        if not len(self.pairs):
+            return self.cost[ids]
+        # symbols with a bound around each sequence and part, as a linked list
+        ends = np.flatnonzero((seq[1:] != seq[:-1]) | (part[1:] != part[:-1])) + 1
+        own = np.arange(len(ids)) + 1 + np.searchsorted(ends, np.arange(len(ids)), "right")
+        n = len(ids) + len(ends) + 2
+        symbol, of, after, before = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.arange(1, n + 1), np.arange(-1, n - 1)
+        symbol[own], of[own] = ids, seq
+        rank = np.append(self._ranks(symbol[:-1], symbol[1:]), NONE)
+        places: dict[int, list[int]] = {}
+        for i in np.flatnonzero(rank < NONE).tolist():
+            places.setdefault(int(rank[i]), []).append(i)
+        queue = list(places)
+        heapq.heapify(queue)
+        while queue:
+            best = heapq.heappop(queue)
+            at = np.unique(np.array(places.pop(best), np.int64))
+            at = at[rank[at] == best]
+            if len(at) > 1:  # left to right without overlaps
+                begins = np.append(True, after[at[:-1]] != at[1:])
+                number = np.arange(len(at))
+                at = at[(number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0]
+            if len(at) and not self.eager[best]:  # up to a sequence's first place that makes a pair of a lower rank
+                merged = np.full(len(at), best)
+                left = np.where(np.append(False, after[at[:-1]] == before[at[1:]]), best, symbol[before[at]])
+                lower = np.minimum(self._ranks(left, merged), self._ranks(merged, symbol[after[after[at]]])) < best
+                sums = np.cumsum(lower) - lower
+                first = np.append(True, of[at[1:]] != of[at[:-1]])
+                go = sums == np.maximum.accumulate(np.where(first, sums, 0))
+                if not go.all():
+                    places[best] = at[~go].tolist()
+                    heapq.heappush(queue, best)
+                    at = at[go]
+            if not len(at):
+                continue
+            gone = after[at]
+            symbol[at] = best
+            rank[gone] = NONE
+            symbol[gone] = -2
+            after[at] = after[gone]
+            before[after[at]] = at
+            changed = np.unique(np.concatenate([before[at], at]))
+            rank[changed] = self._ranks(symbol[changed], symbol[after[changed]])
+            for i, r in zip(changed.tolist(), rank[changed].tolist()):
+                if r < NONE:
+                    if r not in places:
+                        places[r] = []
+                        heapq.heappush(queue, r)
+                    places[r].append(i)
+        left = symbol[own]
+        return np.where(left >= 0, self.cost[left], 0)
+
 
 class Counter:
     """Counts the tokens of texts; remembers pre-tokens."""

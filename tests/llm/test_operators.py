@@ -186,6 +186,23 @@ def test_merging_is_synchronous_and_exact():
     assert v.counts(words).tolist() == [slow(w) for w in words]
 
 
+def test_long_words_equal_the_library_and_take_seconds(vocabulary):
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "etaoinshr", "ABCDEFabcdef0123456789+/", "ab", "日本語中国人大学生", "a\u00e9\U0001f600x", "=-_.", "the"]
+    texts = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (150, 201, 700, 3000)] + ["a" * 5000, "the" * 2000, "ing" * 900 + " x"]
+    assert token_counts.Counter(vocabulary).count(texts) == [len(sp.encode(t)) for t in texts]
+    long = "".join(rng.choice(kinds[2]) for _ in range(1 << 20))
+    began = time.process_time()
+    assert token_counts.Counter(vocabulary).count([long]) == [len(sp.encode(long))]
+    assert time.process_time() - began < 30
+
+
 def test_token_counts_awkward(awkward, nothing, vocabulary):
     out = {r.doc_id: r for r in token_counts.token_counts(awkward, vocabulary).collect()}
     assert out[0].n_tokens == out[0].n_bytes == out[1].n_tokens == 0
