@@ -11,11 +11,21 @@ into its subtries: each is walked by one task.  A subtrie with more than
 ``limit`` leaves (a large group of near copies) is cut further down: its node
 pairs become keys of their own, four levels at a time, until none is too large.
 
-Nulls and texts without words have fingerprint zero and link like any other.
-Repeated rows and ties share a fingerprint, so they are one leaf.  Rows without
-an id belong to their fingerprint's component, which no such row names; a
-fingerprint of such rows only links nothing and has a null component.  An empty
-table gives an empty result; other columns play no part.
+One fingerprint within a few bits finds near copies of very few edits only.  For
+more, :func:`near_duplicates` takes ``tables`` fingerprints of the same shingles
+by other hashes, each with its own tries, and confirms what they find: of what a
+task finds connected, a minimum spanning forest of pairs by differing bits is
+held against ``CHECKS`` fingerprints of ``CHECK_WIDTH``-word shingles, whose
+differing bits tell the similarity of the two texts.
+
+Links are between fingerprints, not ids.  Nulls and texts without words have
+fingerprint zero and link like any other.  Repeated rows and ties share a
+fingerprint, so they are one leaf; rows of one id with different texts are linked
+only if their fingerprints are.  A component is named by the smallest id of all
+its rows; rows without an id belong to one like others, but don't name it, so a
+component of such rows only has a null name.  A very long text is held whole, as
+its words and 64 bytes for each shingle.  An empty table gives an empty result;
+other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,14 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.llm import rolling
 from gridwright.llm.components import components, stars
 from gridwright.llm.scratch import Scratch
 from gridwright.llm.skew import join_counted
-from gridwright.llm.texts import binary_texts, record_batch, slices
+from gridwright.llm.texts import record_batch, slices
 
 BITS = 64
 LIMIT = 50_000
@@ -42,38 +52,60 @@ FRONTIER = 1_000_000
 LEVELS = 4
 """Levels by which a subtrie that is too large is cut."""
 SEED = 42
+CHECK_WIDTH, CHECKS = 5, 16
+SLACK = 0.025
+"""What the estimate of a similarity may be too low by: about its standard error at 0.8 over ``CHECKS`` fingerprints."""
 
 
-def sketch(text: bytes | None, width: int = 3, tables: int = 1) -> np.ndarray:
-    """SimHash fingerprints of the text's shingles of ``width`` words; the first is that of the shingles' XXH64."""
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that over half of the hashes have."""
+    ones = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a text, by the XXH64 of its shingles of ``width`` words."""
     words = (text or b"").lower().split()  # bytes: A-Z only, and only ASCII white space
     if not words:
-        return np.zeros(tables, np.uint64)
+        return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
-    out = np.empty(tables, np.uint64)
-    for t in range(tables):
-        own = rolling.mix(hashes ^ np.uint64(t * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if t else hashes
-        ones = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int32)
-        out[t] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]
-    return out
+    return int(_majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)))
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The unsigned 64-bit SimHash of a text."""
-    return int(sketch(text, width)[0])
+def sketch(text: bytes | None, wanted: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """SimHash fingerprints by many hashes: for each ``(width, tables)`` so many, of shingles hashed from their words' hashes."""
+    words = (text or b"").lower().split()
+    out = np.zeros(sum(n for _, n in wanted), np.uint64)
+    if not words:
+        return out
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    t = 0
+    for width, tables in wanted:
+        width = min(width, len(words))
+        hashes = np.zeros(len(words) - width + 1, np.uint64)
+        for i in range(width):
+            hashes = hashes * rolling.M + each[i : len(each) - width + 1 + i]
+        for _ in range(tables):
+            out[t] = _majority(rolling.mix(hashes ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+            t += 1
+    return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fps``, its fingerprints as signed bigints."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64()))])
+def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, checks: int = 0, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``tid`` (a hash of the text) and ``fps``, its fingerprints as signed bigints; those to check by come last."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("fps", pa.list_(pa.int64()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [sketch(x, width, tables).view(np.int64).tolist() for x in batch.column(1).to_pylist()]
-            yield record_batch([batch.column(0), found], schema)
+            texts = batch.column(2).to_pylist()
+            if tables == 1 and not checks:
+                found = np.array([[fingerprint(x, width)] for x in texts], np.uint64)
+            else:
+                found = np.array([sketch(x, ((width, tables), (CHECK_WIDTH, checks))) for x in texts])
+            yield record_batch([batch.column(0), batch.column(1), found.view(np.int64).tolist()], schema)
 
-    return binary_texts(docs, id_col, text_col).mapInArrow(apply, "doc_id bigint, fps array<bigint>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(apply, "doc_id bigint, tid bigint, fps array<bigint>")
 
 
 def walk(keys: np.ndarray, exact: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,17 +155,36 @@ def _turn(fp: F.Column, by: int) -> F.Column:
     return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
 
 
+def forest(n: int, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of ``n`` nodes and links ``left[i]``-``right[i]``: which links make a minimum spanning forest by length."""
+    label, chosen = np.arange(n), []
+    for d in np.unique(length):
+        links = np.flatnonzero(length == d)
+        while True:
+            a, b = label[left[links]], label[right[links]]
+            open_ = a != b
+            if not open_.any():
+                break
+            links, low, high = links[open_], np.minimum(a, b)[open_], np.maximum(a, b)[open_]
+            tree, first = np.unique(high, return_index=True)  # each tree joins one of a smaller label
+            chosen.append(links[first])
+            label[tree] = low[first]
+            while (label[label] != label).any():
+                label = label[label]
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
 def _pairs_within(keys: DataFrame, group: list[str], budget: int) -> DataFrame:
-    """Star edges ``(a, b)`` between the nodes that own the turned fingerprints of each group."""
+    """Links ``(a, b)``, a forest of them, between the nodes that own the turned fingerprints of each group."""
     turns = blocks(budget)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(r: int, key: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
         key, first = np.unique(key.view(np.uint64), return_index=True)
         node = node[first]
-        label = stars(len(key), *walk(key, turns[r % len(turns)][1], budget))
-        at = np.flatnonzero(label != np.arange(len(key)))
-        return record_batch([node[at], node[label[at]]], schema) if len(at) else None
+        left, right = walk(key, turns[r % len(turns)][1], budget)
+        at = forest(len(key), left, right, np.bitwise_count(key[left] ^ key[right]))
+        return record_batch([node[left[at]], node[right[at]]], schema) if len(at) else None
 
     def by_turn(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         turn, key, node = (rows.column(x).to_numpy() for x in ("r", "key", "node"))
@@ -170,9 +221,9 @@ def links(leaves: DataFrame, budget: int, scratch: Scratch, limit: int = LIMIT)
     """Edges ``(a, b)`` that connect what the links within the budget connect.
 
     ``leaves`` has a table number ``t``, a fingerprint ``fp`` and the ``node``
-    that owns it; ``fp`` is distinct within its table.  The edges are stars
-    around one node of what a task found connected, so each leaf has one at
-    most for each block.
+    that owns it; ``fp`` is distinct within its table.  The edges are links
+    within the budget: a minimum spanning forest of what a task found connected,
+    so there are fewer than leaves in each block.
     """
     turns = blocks(budget)
     kinds = [F.struct((F.col("t") * len(turns) + r).alias("r"), F.shiftrightunsigned(_turn(F.col("fp"), by), BITS - w).alias("block"), _turn(F.col("fp"), by).alias("key"), "node") for r, (by, w) in enumerate(turns)]
@@ -208,34 +259,93 @@ def _descend(rows: DataFrame, budget: int) -> DataFrame:
     return deeper.select("r", "key", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("to").alias("depth"))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2, tables: int = 1, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fingerprint`` (hexadecimal) and ``component_id``, the smallest id reachable over links.
+def _confirmed(edges: DataFrame, classes: DataFrame, tables: int, similarity: float) -> DataFrame:
+    """Edges between texts of ``similarity`` or more, by the differing bits of their last ``CHECKS`` fingerprints.
 
-    With more than one table, documents also link if any further fingerprint of
-    theirs, from the same shingles by another hash, is within the budget: a
-    pair whose fingerprints differ in a few bits more is found by one of them.
+    Shingle sets of equal size and Jaccard similarity J have a cosine of
+    2 J / (1 + J), and differ in the angle's share of the half circle of bits.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    own = F.col("fps")[0] if tables == 1 else F.xxhash64("fps")
-    marks = scratch.cut(fingerprints(docs, width, tables, id_col=id_col, text_col=text_col).withColumn("class", own))
-    classes = scratch.cut(marks.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("fps").alias("fps")))
-    leaves = classes.where("node is not null").select("node", F.posexplode("fps").alias("t", "fp"))
+    least = similarity - SLACK
+    most = int(CHECKS * BITS * np.arccos(2 * least / (1 + least)) / np.pi)
+    marks = classes.select("node", F.slice("fps", tables + 1, CHECKS).alias("m"))
+    both = edges.distinct().join(marks.withColumnsRenamed({"node": "a", "m": "ma"}), "a").join(marks.withColumnsRenamed({"node": "b", "m": "mb"}), "b")
+    differing = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(CHECKS)), F.lit(0))
+    return both.where(differing <= most).select("a", "b")
+
+
+def _marked(docs: DataFrame, width: int, budget: int, tables: int, similarity: float | None, limit: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, tid, fps, class`` of every row; ``class``, its number of rows ``n``, its ``root`` and the root's smallest id ``low``."""
+    checks = CHECKS if similarity else 0
+    own = F.col("fps")[0] if tables == 1 and not checks else F.xxhash64("fps")
+    marks = scratch.cut(fingerprints(docs, width, tables, checks, id_col=id_col, text_col=text_col).withColumn("class", own))
+    classes = scratch.cut(marks.groupBy(F.col("class").alias("node")).agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fps").alias("fps")))
+    leaves = classes.select("node", F.posexplode(F.slice("fps", 1, tables)).alias("t", "fp"))
     edges = None
     if tables > 1:
         # classes that share a fingerprint of one table are one leaf of it
-        shared = leaves.groupBy("t", "fp").agg(F.min("node").alias("low"), F.count("*").alias("n")).withColumn("tf", F.struct("t", "fp"))
-        twice = shared.where("n > 1").select("tf", "low", "n")
-        edges = join_counted(leaves.select("node", F.struct("t", "fp").alias("tf")), twice, "tf", "n", leaves.count()).select(F.col("node").alias("a"), F.col("low").alias("b"))
-        leaves = shared.select("t", "fp", F.col("low").alias("node"))
+        shared = leaves.groupBy("t", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")).withColumn("tf", F.struct("t", "fp"))
+        twice = shared.where("n > 1").select("tf", "first", "n")
+        edges = join_counted(leaves.select("node", F.struct("t", "fp").alias("tf")), twice, "tf", "n", leaves.count()).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        leaves = shared.select("t", "fp", F.col("first").alias("node"))
     found = links(leaves, budget, scratch, limit)
-    roots = components(found if edges is None else found.unionByName(edges), scratch)
-    named = scratch.cut(classes.select("class", "node", "n").join(roots, "node", "left").select("class", "n", F.coalesce("root", "node").alias("component_id")))
+    found = found if edges is None else found.unionByName(edges)
+    if similarity:
+        found = _confirmed(found, classes, tables, similarity)
+    roots = components(found, scratch)
+    named = scratch.cut(classes.select("node", "n", "low").join(roots, "node", "left").select("node", "n", "low", F.coalesce("root", "node").alias("root")))
+    names = scratch.cut(named.groupBy("root").agg(F.min("low").alias("low"), F.count("*").alias("classes")))
+    named = join_counted(named.drop("low"), names, "root", "classes", named.count())
+    return marks, scratch.cut(named.select(F.col("node").alias("class"), "n", "root", "low"))
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2, tables: int = 1, similarity: float | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``fingerprint`` (hexadecimal) and ``component_id``, the smallest id reachable over links.
+
+    With more than one table, documents also link if any further fingerprint of
+    theirs, from the same shingles by another hash, is within the budget.  With
+    ``similarity``, links are confirmed by their five-word shingles.
+    """
+    marks, named = _marked(docs, width, budget, tables, similarity, limit, id_col, text_col, Scratch(docs.sparkSession, "simhash"))
     out = join_counted(marks, named, "class", "n", marks.count())
-    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
+
 
+def one_of_each(docs: DataFrame, *, width: int = 2, budget: int = 3, tables: int = 16, similarity: float | None = 0.8, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row of the smallest id stays, and no other.
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component; rows without an id stay."""
-    found = near_duplicates(docs, id_col=id_col, **how)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    Of several texts of that id the one with the smallest hash stays, of equal
+    rows one.  A component without any id keeps one row too.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marks, named = _marked(docs, width, budget, tables, similarity, limit, id_col, text_col, scratch)
+    rows = join_counted(marks.select("doc_id", "tid", "class"), named, "class", "n", marks.count())
+    rows = scratch.cut(rows.groupBy("root", "doc_id", "tid").agg(F.count("*").alias("n")))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("best"), F.count("*").alias("rows"))
+    rows = join_counted(rows, scratch.cut(best), "root", "rows", rows.count())
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tid") == F.col("best.tid"))
+    gone = rows.where(~first).select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"))
+    tid = F.xxhash64(text_col)
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (tid == F.col("__tid")), "left_anti")
+    twice = scratch.cut(rows.where(first & (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")))
+    if not twice.limit(1).count():
+        return left
+    # equal rows of one id: those of a partition first, so that no key has more rows than there are partitions
+    again = docs.join(twice, F.col(id_col).eqNullSafe(F.col("__id")) & (tid == F.col("__tid")), "left_semi")
+    at = [docs.columns.index(id_col), docs.columns.index(text_col)]
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in slices(batches):
+            keys = list(zip(*(batch.column(i).to_pylist() for i in at)))
+            fresh = []
+            for k in keys:
+                k = (k[0], None if k[1] is None else xxhash.xxh3_128_digest(k[1]))
+                fresh.append(k not in seen)
+                seen.add(k)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    again = again.mapInArrow(once, docs.schema)
+    number = F.row_number().over(Window.partitionBy(F.col(id_col), tid).orderBy(F.lit(0)))
+    again = again.withColumn("__number", number).where("__number = 1").drop("__number")
+    none = docs.join(twice, F.col(id_col).eqNullSafe(F.col("__id")) & (tid == F.col("__tid")), "left_anti")
+    return none.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (tid == F.col("__tid")), "left_anti").unionByName(again)
