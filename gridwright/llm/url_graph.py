@@ -4,26 +4,38 @@
 longest wins.  For urls without a rule the host decides.  A host is a trusted
 seed by the share of its pages that rules allow, a blocked seed by the share
 that rules block.  Personalised PageRank carries trust from hosts to those they
-link to; reversed, it carries distrust from hosts to those that link to them:
+link to; reversed, it carries distrust from hosts to those that link to them.
+Both are held against the rank of a walk from all hosts, whose start is 1 where
+rules judge pages and ``PRIOR`` where none does:
 
-    trust    = seed    + damping * (trust of each host that links here, shared by its links)
-    distrust = blocked + damping * (distrust of each host that is linked to, shared by its links)
+    t = (1 - d) * seed  + d * (t of each host that links here, shared by its links)
+    r = (1 - d) * start + d * (r of each host that links here, shared by its links)
+    trust = t / r, and distrust the same on the reversed links from blocked seeds
 
-This is PageRank without division by the seeds' total, so a score doesn't fall
-as the corpus grows.  Unruled urls are blocked if their host's distrust is
-``least`` or more and above its trust.
+so a score is the share of a host's rank that comes from seeds: 0 to 1, whatever
+the number of its links or the size of the corpus; without links it is the share
+of its pages.  Unruled urls are blocked if
+their host's distrust is ``least`` or more and above its trust.  Host edges are
+the links of pages to other hosts, and an edge of weight 1 in each direction
+between a host and the host it is a direct subdomain of, if pages have both.
+
+Rounds go on until no score can be off by ``close``: a round shrinks the error by
+``damping``, so they are bounded by the logarithm of ``close``.
 
 Built-in functions only.  Edges are summed by host pair before any shuffle; the
-scores stay in tables and each round's is written, so nothing grows with lost
-executors or rounds.  Null urls, and those without ``://``, have empty host and
-path, which no rule fits and no link reaches.  Null html has no links; links of
-a host to itself don't count.  Repeated rows are judged each and count each as
-pages; ties between rules of equal length go to ``block``.  An empty table gives
-an empty result; other columns play no part.
+scores stay in tables and those of every few rounds are written, so nothing grows
+with lost executors or rounds.  Sums by host are partial first; the edges of a
+host with very many of them are a skewed side of a plain join, which adaptive
+execution splits.  Null urls, and those without ``://``, have empty
+host and path, which no rule fits and no link reaches.  Null html has no links;
+links of a host to itself don't count; very long html is searched whole.  Repeated
+rows are judged each and count each as pages; ties between rules of equal length
+go to ``block``.  An empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -34,8 +46,11 @@ from gridwright.llm.scratch import Scratch
 from gridwright.llm.skew import join_counted
 
 DAMPING = 0.85
-ROUNDS = 30
-CLOSE = 1e-6
+CLOSE = 0.01
+ROUNDS = 4
+"""Rounds between two written tables."""
+PRIOR = 0.1
+"""What a host without judged pages starts with: the less, the further scores reach along links."""
 LEAST = 0.5
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -85,35 +100,48 @@ def with_rule(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``src, dst, w``: links from pages of one host to another."""
+    """``src, dst, w``: links from pages of one host to another, and those between hosts and their direct subdomains."""
     rows = with_host(pages.select(url_col, html_col), url_col).where("host <> ''")
     links = rows.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(html_col, F.lit(LINK), F.lit(1))).alias("dst"))
-    return links.select("src", lower_ascii("dst").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    links = links.select("src", lower_ascii("dst").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    hosts = rows.select("host").distinct()
+    above = hosts.select("host", F.regexp_replace("host", r"^[^.]*\.", "").alias("over")).where("instr(over, '.') > 0 and over <> host")
+    pairs = above.join(hosts.select(F.col("host").alias("over")), "over")
+    own = pairs.select(F.col("host").alias("src"), F.col("over").alias("dst"), F.lit(1.0).alias("w"))
+    return links.unionByName(own).unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, *, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, *, damping: float = DAMPING, close: float = CLOSE) -> DataFrame:
     """``host, trust, distrust`` from ``seeds(host, good, bad)``; hosts that only links name are included."""
-    out, into = edges.groupBy("src").agg(F.sum("w").alias("o")), edges.groupBy("dst").agg(F.sum("w").alias("i"))
-    shares = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("w") / F.col("o")).alias("down"), (F.col("w") / F.col("i")).alias("up"))
-    shares = scratch.cut(shares)
-    names = shares.select(F.col("src").alias("host")).unionByName(shares.select(F.col("dst").alias("host"))).distinct()
-    base = scratch.cut(seeds.join(names, "host", "full").select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")))
-    now = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    if not shares.limit(1).count():
-        return now
+    edges = scratch.cut(edges)
+    zero = F.lit(0.0)
+    out, into = (edges.groupBy(F.col(x).alias("host")).agg(F.sum("w").alias(f"{x}_w")) for x in ("src", "dst"))
+    base = out.join(into, "host", "full").join(seeds, "host", "full").select("host", F.coalesce("good", zero).alias("good"), F.coalesce("bad", zero).alias("bad"), "src_w", "dst_w")
+    base = scratch.cut(base.withColumn("start", F.when(F.col("good") + F.col("bad") > 0, 1.0).otherwise(PRIOR)))
+    now = base.select("*", F.col("good").alias("t"), F.col("start").alias("r"), F.col("bad").alias("d"), F.col("start").alias("q"))
+    if not edges.limit(1).count():
+        return now.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    start = {"t": F.col("good"), "r": F.col("start"), "d": F.col("bad"), "q": F.col("start")}
+    scores = [F.col(x) for x in ("host", *start)]
     now = scratch.cut(now)
-    for _ in range(rounds):
-        down = shares.join(now, shares.src == now.host).select(F.col("dst").alias("host"), (F.col("trust") * F.col("down")).alias("t"), F.lit(0.0).alias("d"))
-        up = shares.join(now, shares.dst == now.host).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("up")).alias("d"))
-        come = down.unionByName(up).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        then = base.join(come, "host", "left").select("host", (F.col("good") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"), (F.col("bad") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"))
+    # what a round moves shrinks by the damping: after these the rest is below `close` of any score
+    for _ in range(math.ceil(math.log(close) / math.log(damping) / ROUNDS)):
+        then = now
+        for _ in range(ROUNDS):
+            down = edges.join(then.select(F.col("host").alias("src"), "src_w", "t", "r"), "src")
+            down = down.select(F.col("dst").alias("host"), *((F.col(x) * F.col("w") / F.col("src_w")).alias(x) for x in ("t", "r")), zero.alias("d"), zero.alias("q"))
+            up = edges.join(then.select(F.col("host").alias("dst"), "dst_w", "d", "q"), "dst")
+            up = up.select(F.col("src").alias("host"), zero.alias("t"), zero.alias("r"), *((F.col(x) * F.col("w") / F.col("dst_w")).alias(x) for x in ("d", "q")))
+            come = down.unionByName(up).groupBy("host").agg(*(F.sum(x).alias(f"{x}_in") for x in start))
+            then = base.join(come, "host", "left").select(*base.columns, *(((1 - damping) * s + damping * F.coalesce(f"{x}_in", zero)).alias(x) for x, s in start.items()))
         then = scratch.cut(then)
-        step = then.alias("a").join(now.alias("b"), "host").agg(F.max(F.greatest(F.abs(F.col("a.trust") - F.col("b.trust")), F.abs(F.col("a.distrust") - F.col("b.distrust")))).alias("x")).first().x
+        moved = [F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")) / F.col(f"a.{y}") for x, y in ("tr", "rr", "dq", "qq")]
+        step = then.select(*scores).alias("a").join(now.select(*scores).alias("b"), "host").agg(F.max(F.greatest(*moved)).alias("x")).first().x
         scratch.drop(now)
         now = then
-        if step is None or step < close:
+        if step is None or step * damping**ROUNDS / (1 - damping**ROUNDS) < close:
             break
-    return now
+    return now.select("host", (F.col("t") / F.col("r")).alias("trust"), (F.col("d") / F.col("q")).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, least: float = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **how) -> DataFrame:
