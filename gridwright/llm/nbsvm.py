@@ -9,12 +9,15 @@ linear hinge-loss model is fitted by dual coordinate descent.  A logistic curve
 fitted on rows that the model has not seen turns margins into scores.
 
 The model is fitted on ``SAMPLE`` labelled rows at most, those of the smallest
-hashes of their ids: that bound, not the corpus, is what the driver holds.
-Every text is scored whole.
+hashes of their ids, one row for an id, and on ``MOST_FEATURES`` features of them
+together: these bounds, not the corpus, are what the driver holds.  Every text is
+scored whole.
 
 Nulls and empty texts have no features and get the score of the constant alone,
 within 0 and 1.  Repeated labels of an id count once (the largest), labels
-without a value not at all; with one class only, or none, the score is the
+without a value not at all; of several rows of a labelled id the one with the
+least features' bytes is learnt from; a very long text is held whole, as its
+tokens; with one class only, or none, the score is the
 smoothed share of label 1.  An empty table gives an empty result; other columns
 (label columns too) are no inputs.
 """
@@ -28,14 +31,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.llm.scratch import Scratch
 from gridwright.llm.texts import binary_texts, record_batch, slices
 
 BUCKETS = 1 << 18
 SAMPLE = 12_000
 """Labelled rows that the model is fitted on, at most."""
+MOST_FEATURES = 40_000_000
+"""Features of all rows of the sample together, at most; rows of the largest hashes go first."""
 LEAST_ROWS = 4
 """Rows of the sample that a feature must be in."""
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
@@ -134,7 +140,10 @@ def fit(rows: list[np.ndarray], good: np.ndarray, smooth: float = 1.0, cost: flo
     share = (good.sum() + 1) / (len(good) + 2)
     if good.all() or not good.any():
         return Model(nothing, nothing, 0.0, 1.0, float(np.log(share / (1 - share))))
-    counts = [np.bincount(np.concatenate([r for r, g in zip(rows, good) if g == side]), minlength=BUCKETS).astype(float) for side in (True, False)]
+    late = np.arange(len(rows)) % 5 == 4
+    if not (good[late].any() and (~good[late]).any()) or not (good[~late].any() and (~good[~late]).any()):
+        late = np.zeros(len(rows), bool)
+    counts = [np.bincount(np.concatenate([r for r, g, x in zip(rows, good, late) if g == side and not x]), minlength=BUCKETS).astype(float) for side in (True, False)]
     p, q = (c + smooth for c in counts)
     ratio = np.where(counts[0] + counts[1] >= LEAST_ROWS, np.log(p / p.sum() * q.sum() / q), 0.0)
     values = []
@@ -142,9 +151,6 @@ def fit(rows: list[np.ndarray], good: np.ndarray, smooth: float = 1.0, cost: flo
         v = ratio[r]
         values.append(v / (np.sqrt((v * v).sum()) or 1.0))
     y = np.where(good, 1.0, -1.0)
-    late = np.arange(len(rows)) % 5 == 4
-    if not (good[late].any() and (~good[late]).any()) or not (good[~late].any() and (~good[~late]).any()):
-        late = np.zeros(len(rows), bool)
     learn = np.flatnonzero(~late)
     w, bias = descend([rows[i] for i in learn], [values[i] for i in learn], y[learn], np.full(len(learn), cost))
     judge = np.flatnonzero(late) if late.any() else learn
@@ -170,7 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, *, sample: int = S
             yield record_batch([batch.column(0), batch.column(1), found], schema)
 
     rows = binary_texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", F.col("label").cast("bigint").alias("label"), "text")
-    got = rows.mapInArrow(apply, "doc_id bigint, label bigint, found binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    rows = rows.mapInArrow(apply, "doc_id bigint, label bigint, found binary").groupBy("doc_id", "label").agg(F.min("found").alias("found"))
+    rows = Scratch(docs.sparkSession, "labelled").cut(rows)
+    upto = F.sum("n").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over `sample` small rows
+    within = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), (F.length("found") / 4).alias("n")).withColumn("upto", upto).where(F.col("upto") <= MOST_FEATURES)
+    got = rows.join(F.broadcast(within.select("doc_id")), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
     return fit([np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()], got.column("label").to_numpy() > 0)
 
 
