@@ -13,10 +13,16 @@ runs shorter than ``RUN`` bytes (a line or two that many documents share) don't
 count.  Of each digest one copy stays, the first by a hash of id and text and by
 place; chunks of runs that aren't that copy are redundant.
 
-Nulls and empty texts have no chunks.  Repeated rows are copies of each other.
-Digests with very many rows are found in partial counts and their rows never
-meet in one task.  An empty table gives an empty result; other columns play no
-part.  Documents without a run have no row in the result.
+Spark sorts the chunks by digest, hash and place over all partitions, so the rows
+of a very common chunk are split like any others, and neighbours are compared in
+one scan.  What the first and last digest of a batch have in other batches is
+settled by a row for each of them.
+
+Nulls and empty texts have no chunks; a very long text is cut alone.  Repeated
+rows are copies of each other, and as they can't be told apart, what stays of one
+counts for all of them; otherwise ties don't occur.  An empty table gives an empty
+result; other columns play no part.  Documents without a run have no row in the
+result.
 """
 
 from __future__ import annotations
@@ -30,7 +36,6 @@ from pyspark.sql import functions as F
 
 from gridwright.llm import rolling
 from gridwright.llm.scratch import Scratch
-from gridwright.llm.skew import MOST_HOT
 from gridwright.llm.texts import record_batch, runs, slices
 
 BITS = 5
@@ -40,8 +45,6 @@ QUIET = 128
 WEAK = 2
 RUN = 150
 PIECE = 2 << 20
-CHUNK = 200_000
-HOT = 200_000
 GEAR = (rolling.TABLE >> np.uint64(31)).astype(np.uint32)
 
 
@@ -97,57 +100,46 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(apply, "digest bigint, rid bigint, place bigint")
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose digest has another, and whether each is the copy that stays; a digest's rows come together."""
-    schema = pa.schema([("rid", pa.int64()), ("place", pa.int64()), ("stays", pa.bool_())])
-
-    def pick(t: pa.Table) -> pa.RecordBatch:
-        digest, rid, place = (t.column(i).to_numpy() for i in range(3))
-        new = np.concatenate([[True], digest[1:] != digest[:-1]])
-        more = ~new | np.concatenate([~new[1:], [False]])
-        return record_batch([rid[more], place[more], new[more]], schema)
+def _repeated(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rid``, ``place`` and ``stays`` (it is the copy that stays) of rows whose digest has another."""
+    kind = "digest bigint, rid bigint, place bigint, n int"
+    schema = pa.schema([("digest", pa.int64()), ("rid", pa.int64()), ("place", pa.int64()), ("n", pa.int32())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= CHUNK:
-                t = pa.Table.from_batches(held)
-                digest = t.column(0).to_numpy()
-                other = np.flatnonzero(digest != digest[-1])
-                cut = int(other[-1]) + 1 if len(other) else 0
-                if cut:
-                    yield pick(t.slice(0, cut))
-                held = t.slice(cut).to_batches()
-        if held and sum(x.num_rows for x in held):
-            yield pick(pa.Table.from_batches(held))
-
-    dealt = rows.select("digest", "rid", "place").repartition("digest").sortWithinPartitions("digest", "rid", "place")
-    return dealt.mapInArrow(apply, "rid bigint, place bigint, stays boolean")
-
-
-def repeats(docs: DataFrame, *, run: int = RUN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy() for i in range(3)]
+            first = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            number = np.diff(np.append(first, len(cols[0])))
+            n = np.repeat(np.where(number > 1, 0, -1), number)  # 0: a later copy, -1: alone
+            n[first[number > 1]] = -2  # the first of several
+            n[first[[0, -1]]] = np.minimum(number[[0, -1]], 2)  # rows of a digest that other batches may have too
+            pick = n != -1
+            yield record_batch([*(c[pick] for c in cols), n[pick].astype(np.int32)], schema)
+
+    found = rows.repartitionByRange("digest", "rid", "place").sortWithinPartitions("digest", "rid", "place").mapInArrow(apply, kind)
+    found = scratch.cut(found)
+    edges = found.where("n > 0")  # two for each batch at most
+    whole = edges.groupBy("digest").agg(F.sum("n").alias("all"), F.min(F.struct("rid", "place")).alias("low")).where("all > 1")
+    settled = edges.join(whole, "digest").select("rid", "place", (F.struct("rid", "place") == F.col("low")).alias("stays"))
+    return found.where("n <= 0").select("rid", "place", (F.col("n") == -2).alias("stays")).unionByName(settled)
+
+
+def repeats(docs: DataFrame, *, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_runs``, ``n_repeated``, ``n_redundant`` and ``runs`` of documents with repeated runs."""
     scratch = Scratch(docs.sparkSession, "chunks")
-    rows = scratch.cut(_rows(docs, id_col, text_col))
-    total = rows.count()
-    most = max(hot, total // MOST_HOT)
-    sample = rows.where(F.pmod("rid", F.lit(8)) == 0)  # only decides where rows are counted
-    heavy = scratch.cut(sample.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > most // 8).select("digest").limit(8 * MOST_HOT))
-    known = _repeated(rows.join(F.broadcast(heavy), "digest", "left_anti"))
-    if heavy.count():
-        some = rows.join(F.broadcast(heavy), "digest")
-        low = some.groupBy("digest").agg(F.min(F.struct("rid", "place")).alias("low"), F.count("*").alias("n")).where("n > 1")  # a row per hot digest
-        hot_rows = some.join(F.broadcast(low.drop("n")), "digest")
-        known = known.unionByName(hot_rows.select("rid", "place", (F.struct("rid", "place") == F.col("low")).alias("stays")))
-    grouped = known.groupBy("rid").agg(F.collect_list(F.struct("place", "stays")).alias("found"))
+    known = _repeated(_rows(docs, id_col, text_col), scratch)
+    grouped = known.groupBy("rid").agg(F.collect_set(F.struct("place", "stays")).alias("found"))
     schema = pa.schema([("rid", pa.int64()), ("n_runs", pa.int64()), ("n_repeated", pa.int64()), ("n_redundant", pa.int64()), ("runs", pa.list_(pa.list_(pa.int64())))])
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
             for rid, found in zip(*(c.to_pylist() for c in batch.columns)):
-                place = {f["place"]: f["stays"] for f in found}
+                place: dict[int, bool] = {}
+                for f in found:
+                    place[f["place"]] = place.get(f["place"], False) or f["stays"]
                 made: list[list[int]] = []
                 for p in sorted(place):
                     a, b = p >> 10, (p >> 10) + (p & 1023)
