@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.quality_rules import facts
+from gridwright.llm.quality_rules import Facts
 from gridwright.llm.scratch import Scratch
 from gridwright.llm.texts import record_batch, slices
 
@@ -54,7 +54,7 @@ LEAST_WEIGHT = 0.05
 
 def weighed(text: bytes | None) -> tuple[int, float]:
     """A text's words and its weight."""
-    f = facts(text)
+    f = Facts(text)
     share = lambda part, of: 1.0 - min(1.0, part / max(1, of))
     return f.n_words, max(LEAST_WEIGHT, share(f.n_symbols, f.n_words) * share(f.n_repeat_words, f.n_words) * share(f.n_dup_lines, f.n_lines))
 

@@ -4,11 +4,15 @@ Every rule rejects or passes one text.  A document is kept if no rule rejects
 it, so the order of the rules can't change a verdict, only its price: the cost
 and the selectivity of each rule are estimated on a sample and the rules run in
 descending order of rejections per second.  A document leaves the cascade at
-its first rejection.
+its first rejection, and what a rule reads of it is counted when the first rule
+asks.  :func:`keep` runs the base rule's halves in the same cascade, so a text of
+few words is never searched for repeats; :func:`judge` reports all counts and
+saves only the rules behind the first rejection.
 
 Nulls and empty texts have no words: all counts are 0 and the base rule rejects
 them.  Rows are judged one by one, so repeated rows get equal verdicts; a null
-id passes through; an empty table gives an empty result.  Other columns of the
+id passes through; an empty table gives an empty result.  Ties have no part in a
+result; a very long text is held whole, with its words.  Other columns of the
 input play no part, whatever their names.
 """
 
@@ -17,7 +21,8 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import islice
 
 import pyarrow as pa
@@ -30,22 +35,47 @@ BLANKS = b" \t\n\x0b\x0c\r"
 WINDOW = 5
 
 
-@dataclass
 class Facts:
-    """Counts of one text, and its words for the rules that read them."""
+    """Counts of one text (null: as an empty one), each made when it is first asked for."""
 
-    text: bytes
-    words: list[bytes] = field(repr=False)
-    n_words: int = 0
-    word_chars: int = 0
-    n_symbols: int = 0
-    n_lines: int = 0
-    n_dup_lines: int = 0
-    n_repeat_words: int = 0
+    def __init__(self, text: bytes | None):
+        self.text = text or b""
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.split()
+
+    @property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(b"".join(self.words).decode())
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.text) - len(self.text.translate(None, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [x for x in self.text.split(b"\n") if x.strip(BLANKS)]
+
+    @property
+    def n_lines(self) -> int:
+        return len(self.lines)
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words(self.words)
 
     @property
     def base_failed(self) -> bool:
-        return self.n_words < 10 or 100 * self.n_repeat_words > 20 * self.n_words
+        return too_short(self) or repetitive(self)
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
@@ -62,18 +92,14 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return covered
 
 
-def facts(text: bytes | None) -> Facts:
-    """The base counts of one text (null: as an empty one)."""
-    text = text or b""
-    words = text.split()
-    out = Facts(text, words, len(words))
-    out.word_chars = len(b"".join(words).decode())
-    out.n_symbols = len(text) - len(text.translate(None, SYMBOLS))
-    lines = [x for x in text.split(b"\n") if x.strip(BLANKS)]
-    out.n_lines = len(lines)
-    out.n_dup_lines = len(lines) - len(set(lines))
-    out.n_repeat_words = repeated_words(words)
-    return out
+def too_short(f: Facts) -> bool:
+    """Under ten words."""
+    return f.n_words < 10
+
+
+def repetitive(f: Facts) -> bool:
+    """Over a fifth of the words in repeated windows."""
+    return 100 * f.n_repeat_words > 20 * f.n_words
 
 
 def symbol_heavy(f: Facts) -> bool:
@@ -101,6 +127,7 @@ def cut_lines(f: Facts) -> bool:
     return 2 * sum(x.rstrip(BLANKS).endswith(b"...") for x in f.text.split(b"\n")) > f.n_lines
 
 
+BASE: dict[str, Callable[[Facts], bool]] = {"too_short": too_short, "repetitive": repetitive}
 RULES: dict[str, Callable[[Facts], bool]] = {
     "symbol_heavy": symbol_heavy,
     "line_copies": line_copies,
@@ -138,9 +165,10 @@ def estimate(docs: DataFrame, rules: dict[str, Callable[[Facts], bool]] = RULES,
     def measure(part: Iterator) -> Iterator[tuple[str, float, int, int]]:
         spent, rejected, seen_rows = Counter(), Counter(), 0
         for row in islice(part, most):
-            seen = facts(None if row.text is None else bytes(row.text))
+            text = None if row.text is None else bytes(row.text)
             seen_rows += 1
             for name, rule in rules.items():
+                seen = Facts(text)  # a rule's price has what it counts
                 began = time.perf_counter()
                 rejected[name] += bool(rule(seen))
                 spent[name] += time.perf_counter() - began
@@ -179,7 +207,7 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Facts], bool]] = RULES, *,
         for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                f = facts(text)
+                f = Facts(text)
                 rows.append((f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, verdict(f, cascade)))
             yield record_batch([batch.column(0), *(list(x) for x in zip(*rows))], schema)
 
@@ -188,6 +216,7 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Facts], bool]] = RULES, *,
 
 def keep(docs: DataFrame, rules: dict[str, Callable[[Facts], bool]] = RULES, *, text_col: str = "text", **sampling) -> DataFrame:
     """The rows of ``docs``, all columns, that the cascade keeps; no join and no shuffle."""
+    rules = BASE | rules
     names = order(estimate(docs, rules, id_col=text_col, text_col=text_col, **sampling))
     at = docs.columns.index(text_col)
 
@@ -195,6 +224,6 @@ def keep(docs: DataFrame, rules: dict[str, Callable[[Facts], bool]] = RULES, *,
         cascade = [rules[x] for x in names]
         for batch in slices(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array([verdict(facts(x), cascade) for x in texts], pa.bool_()))
+            yield batch.filter(pa.array([not any(rule(f) for rule in cascade) for f in map(Facts, texts)], pa.bool_()))
 
     return docs.mapInArrow(apply, docs.schema)
