@@ -203,10 +203,14 @@ def _scan(rows: DataFrame) -> DataFrame:
 SPAN = f"{KEY}, start bigint, end bigint"
 
 
-def _indexed(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+def _indexed(texts: DataFrame, asked: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """``tid, size, start, end`` of the windows of single rows that the index finds twice; ``texts`` are distinct."""
-    many = asked.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST_KINDS)
-    asked = asked.join(many, "h", "left").select("h", "tid", "size", "at", "n", "weight", (F.coalesce("kinds", F.lit(0)) / F.lit(MOST_KINDS)).cast("int").alias("parts"))
+    many = scratch.cut(asked.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST_KINDS))
+    parts = F.lit(0)
+    if many.limit(1).count():
+        asked = asked.join(many, "h", "left")
+        parts = (F.coalesce("kinds", F.lit(0)) / F.lit(MOST_KINDS)).cast("int")
+    asked = asked.select("h", "tid", "size", "at", "n", "weight", parts.alias("parts"))
     asked = asked.groupBy("tid", "size").agg(F.collect_list(F.struct("h", "at", "n", "weight", "parts")).alias("asked"))
     kind = f"part int, h bigint, {KEY}, at bigint, n int, weight int, places binary, content binary"
     schema, found = _schema(kind), _schema(SPAN)
@@ -289,7 +293,7 @@ def _spans(texts: DataFrame, distinct: DataFrame, length: int, scratch: Scratch)
     known = scratch.cut(_scan(rows))
     scratch.drop(rows)
     full = known.where("full").select("tid", "size", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
-    found = full.unionByName(_indexed(distinct, known.where("not full"), length))
+    found = full.unionByName(_indexed(distinct, known.where("not full"), length, scratch))
     found = scratch.cut(found.groupBy("tid", "size").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     scratch.drop(known)
     return found
