@@ -57,6 +57,20 @@ def test_classifier_on_held_out_rows(spark):
     assert np.array_equal(nbsvm.train(docs, changed, "quality").weight, model.weight)  # held-out labels teach nothing
 
 
+def test_sample_is_bounded_in_rows_and_features(spark, monkeypatch):
+    rows = [(1, f"word{i} more words") for i in range(2000)] + [(i, f"text {i} of some words {i % 3}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(nbsvm, "fit", lambda found, good: seen.append(found))
+    nbsvm.train(docs, labels, "quality")
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen[0]) == len(ids)
+    monkeypatch.setattr(nbsvm, "MOST_FEATURES", 100)
+    nbsvm.train(docs, labels, "quality")
+    assert 0 < sum(map(len, seen[1])) <= 100
+
+
 def test_dual_descent_separates():
     x = [np.array([0]), np.array([1]), np.array([0, 2]), np.array([1, 2])]
     v = [np.ones(len(r)) for r in x]
@@ -377,19 +391,49 @@ def test_chunks_cover_texts_and_resist_insertions():
     assert len(first & moved) >= len(first) - 3
 
 
-@pytest.mark.parametrize("hot", [200_000, 8])
-def test_repeats_equal_brute_force(spark, hot):
+def brute_chunks(text):
+    """Ends by the definition, byte by byte."""
+    c, h, strong, ends = chunk_dedup, 0, -1, []
+    mask = lambda bits: ((1 << bits) - 1) << (c.REACH - bits)
+    for i, b in enumerate(text):
+        h = (h * 2 + int(c.GEAR[b])) & 0xFFFF
+        if not h & mask(c.BITS) or i == len(text) - 1:
+            strong = i
+            ends.append(i + 1)
+        elif i - strong > c.QUIET and not h & mask(c.WEAK):
+            ends.append(i + 1)
+    out, start = [], 0
+    for e in ends:
+        for s in range(start, e, c.LONGEST):
+            out.append((s, min(s + c.LONGEST, e)))
+        start = e
+    return out
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeats_equal_brute_force(spark, small, request):
+    if small:
+        request.getfixturevalue("small_batches")
     rng = random.Random(2)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     shared = [make(400), make(260)]
     texts = [make(300) + shared[i % 2] + make(200) for i in range(12)] + [make(500) for _ in range(8)] + [None, "", "a" * 3000]
+    texts += [texts[0], make(700) * 2]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    own, start, end, digest = chunk_dedup.chunks([(t or "").encode() for t in texts])
-    count, want = Counter(digest.tolist()), {}
-    for d in range(len(texts)):
+    cuts = [[(s, e, (t or "")[s:e]) for s, e in brute_chunks((t or "").encode())] for t in texts]
+    count = Counter(x for c in cuts for _, _, x in c)
+    want, stays = {}, set()
+    for d, c in enumerate(cuts):
         made = []
-        for s, e, g in zip(start[own == d].tolist(), end[own == d].tolist(), digest[own == d].tolist()):
-            if count[g] > 1:
+        for s, e, x in c:
+            if count[x] > 1:
                 if made and made[-1][1] == s:
                     made[-1][1] = e
                 else:
@@ -397,11 +441,20 @@ def test_repeats_equal_brute_force(spark, hot):
         made = [m for m in made if m[1] - m[0] >= chunk_dedup.RUN]
         if made:
             want[d] = made
-    got = {r.doc_id: r for r in chunk_dedup.repeats(docs, hot=hot).collect()}
+    got = {r.doc_id: r for r in chunk_dedup.repeats(docs).collect()}
     assert {d: [list(x) for x in r.runs] for d, r in got.items()} == want
     assert set(range(12)) <= set(got) and not set(range(12, 20)) & set(got)
-    kept = sum(n for g, n in Counter({g: e - s for s, e, g in zip(start.tolist(), end.tolist(), digest.tolist()) if count[g] > 1}).items())
-    assert sum(r.n_repeated - r.n_redundant for r in got.values()) <= kept
+    inside = lambda d, s, e: any(a <= s and e <= b for a, b in want.get(d, []))
+    lone = {x for d, c in enumerate(cuts) for s, e, x in c if count[x] > 1 and not inside(d, s, e)}  # copies that stay may stand outside of runs
+    kept, within = sum(r.n_repeated - r.n_redundant for r in got.values()), {x for d, c in enumerate(cuts) for s, e, x in c if inside(d, s, e)}
+    assert sum(len(x) for x in within - lone) <= kept <= sum(len(x) for x in within)
+
+
+def test_repeated_rows_have_one_list_of_runs(spark):
+    text = " ".join(words_of(300, 3))
+    docs = spark.createDataFrame([(1, text)] * 60 + [(2, text), (3, " ".join(words_of(300, 4)))], "doc_id bigint, text string").repartition(4)
+    got = chunk_dedup.repeats(docs).collect()
+    assert len(got) == 61 and {(r.doc_id, r.n_repeated, len(r.runs)) for r in got} == {(1, len(text), 1), (2, len(text), 1)}
 
 
 def test_repeats_awkward(awkward, nothing):
@@ -417,7 +470,7 @@ def test_counts_by_definition():
     for _ in range(300):
         lines = [" ".join(rng.choice(["a", "b", "cé", "#$", ""]) for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(0, 5))]
         text = "\n".join(lines)
-        w, f = text.split(), quality_rules.facts(text.encode())
+        w, f = text.split(), quality_rules.Facts(text.encode())
         windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         covered = {i + j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(5)}
         full = [x for x in lines if x.strip()]
@@ -430,7 +483,15 @@ def test_order_follows_rejections_per_cost_and_verdicts_dont(spark):
     texts = ["plain words in a line that are quite fine here", "### $$$ %%% a b c d e f g h i j", "TO BE OR NOT TO BE THAT IS THE QUESTION HERE"]
     for names in (list(quality_rules.RULES), list(reversed(quality_rules.RULES))):
         rules = [quality_rules.RULES[x] for x in names]
-        assert [quality_rules.verdict(quality_rules.facts(t.encode()), rules) for t in texts] == [True, False, False]
+        assert [quality_rules.verdict(quality_rules.Facts(t.encode()), rules) for t in texts] == [True, False, False]
+
+
+def test_keep_counts_only_what_it_asks_for(monkeypatch):
+    asked = []
+    monkeypatch.setattr(quality_rules, "repeated_words", lambda words, width=5: asked.append(len(words)) or 0)
+    cascade = [quality_rules.BASE["too_short"], quality_rules.RULES["symbol_heavy"], quality_rules.BASE["repetitive"]]
+    verdicts = [not any(rule(f) for rule in cascade) for f in map(quality_rules.Facts, [b"few", b"# # # # a b c d e f g h", b"these are ten plain words and so they are all kept"])]
+    assert verdicts == [False, False, True] and asked == [11]
 
 
 def test_rules_awkward(awkward, nothing):
@@ -708,7 +769,9 @@ def brute_suffixes(texts, length):
 
 
 @pytest.mark.parametrize(("length", "shared", "batch", "kinds"), [(40, 20, 30_000, 1_000), (40, 30, 20, 1_000), (40, 40, 10, 3), (100, 20, 50, 2)])
-def test_dedup_equals_brute_force(spark, monkeypatch, length, shared, batch, kinds):
+def test_dedup_equals_brute_force(spark, monkeypatch, request, length, shared, batch, kinds):
+    if batch < 50:
+        request.getfixturevalue("small_batches")
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     monkeypatch.setattr(suffix_dedup, "MOST_KINDS", kinds)
     rng = random.Random(3)
