@@ -11,7 +11,7 @@ Of real input the first transformed axis keeps ``n // 2 + 1`` frequencies.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import prod
+from math import isqrt, pi, prod
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +66,43 @@ def _pass(g: Grid, axis: int, length: int, f, ready: DataFrame | None = None) ->
     return Grid(df, [length if d == axis else s for d, s in enumerate(g.size)])
 
 
+LONG_LINE = 4096
+"""Cells of a one-dimensional grid beyond which its transform is split into two of shorter lines."""
+
+
+def _factor(n: int) -> int:
+    """The largest divisor of ``n`` that isn't above its root."""
+    return max(d for d in range(1, isqrt(n) + 1) if n % d == 0)
+
+
+def _split(g: Grid, turn: int) -> Grid:
+    """The transform of a long one-dimensional complex grid by those of its columns and rows, a shuffle between.
+
+    Cell ``a + p * b`` is at column ``a`` and row ``b``: lines along ``b``, a
+    twist by ``turn * a * k``, then lines along ``a``.  ``turn``: -1 forward, 1 back.
+    """
+    n = g.size[0]
+    p = _factor(n)
+    q = n // p
+    line = (lambda a: np.fft.fft(a, axis=1)) if turn < 0 else (lambda a: np.fft.ifft(a, axis=1, norm="forward"))
+    table = Grid(g.settled().df.select((F.col("x") % p).alias("x"), F.expr(f"x div {p}").alias("y"), "v"), (p, q))
+    table = _pass(table, 1, q, line)
+    angle = F.lit(turn * 2 * pi / n) * F.col("x") * F.col("y")
+    twisted = complexes.product(table.value, complexes.make(F.cos(angle), F.sin(angle)))
+    table = _pass(table.with_value(twisted).settled(), 0, p, line)
+    return Grid(table.df.select((F.col("y") + q * F.col("x")).alias("x"), "v"), (n,))
+
+
+def _is_long(g: Grid, n: int) -> bool:
+    return g.dimension == 1 and n > LONG_LINE and _factor(n) > 1
+
+
 def forward(g: Grid, stack: Sequence[int] = ()) -> Grid:
     """Real to complex."""
+    if _is_long(g, g.size[0]):
+        n = g.size[0]
+        whole = _split(g.with_value(complexes.make(g.value.cast("double"), F.lit(0.0))), -1)
+        return Grid(whole.df.where(F.col("x") <= n // 2), (n // 2 + 1,))
     axes = [d for d in range(g.dimension) if d not in stack]
     out = g.with_value(complexes.make(g.value, F.lit(0.0)))
     whole = None
@@ -81,6 +116,11 @@ def forward(g: Grid, stack: Sequence[int] = ()) -> Grid:
 
 def inverse(g: Grid, width: int, stack: Sequence[int] = ()) -> Grid:
     """Complex to real, of a signal ``width`` wide along the halved axis."""
+    if _is_long(g, width):
+        half = g.settled().df
+        rest = half.where((F.col("x") > 0) & (F.col("x") < (width + 1) // 2)).select((width - F.col("x")).alias("x"), complexes.make(F.col("v.re"), -F.col("v.im")).alias("v"))
+        whole = _split(Grid(half.select("x", "v").unionByName(rest), (width,)), 1)
+        return whole.with_value(complexes.re(whole.value))
     axes = [d for d in range(g.dimension) if d not in stack]
     out = g
     for d in reversed(axes[1:]):

@@ -7,10 +7,13 @@ grid is written every few rounds into the shared folder that the session's
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from gridwright.errors import GridError
 from gridwright.functions import kernels
 from gridwright.functions.kernels import Kernel
 from gridwright.operators.grid import Grid, ieee_div, n_ary
@@ -23,9 +26,9 @@ def checkpointed(g: Grid) -> Grid:
     """Evaluate and cut the lineage; the copy lies in the checkpoint folder."""
     spark = g.df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise GridError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridwright-"))
     return Grid(g.cells.checkpoint(), g.size)
 

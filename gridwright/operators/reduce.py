@@ -56,8 +56,8 @@ def reduce_by(g: Grid, partial: Callable, final: Callable, kind: str) -> DataFra
         if found:
             yield pd.DataFrame({"v": [final(pd.Series(found))]})
 
-    # one value per task reaches the last task
-    return g.df.select(g.value.alias("v")).mapInPandas(some, f"v {kind}").coalesce(1).mapInPandas(all_, f"v {kind}")
+    # a shuffle: `some` runs in as many tasks as the grid has, and one value of each reaches the last task
+    return g.df.select(g.value.alias("v")).mapInPandas(some, f"v {kind}").repartition(1).mapInPandas(all_, f"v {kind}")
 
 
 def total(g: Grid, initial=0) -> DataFrame:

@@ -21,7 +21,7 @@ from gridwright.operators.grid import Grid
 from gridwright.operators.quaternion import Quaternion, rotate_columns
 from gridwright.plans import inputs as i
 from gridwright.plans.inputs import COUNT, DOUBLES, HOURS, IMAGE, PAIRS, SHIPPED, VECTORS
-from gridwright.sources import procedural, tables
+from gridwright.sources import procedural, raw, tables
 
 FLAGSHIP = "emb_sobel_energy"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,8 @@ def oracle_sql() -> dict[str, str]:
 # --- sources -------------------------------------------------------------------------------------------------------
 
 _add("s4_rows_as_image", i.embq, _img("v"))
+_add("s1_s2_slab_round_trip", lambda s, d: raw.from_slabs(raw.slabs(i.embq(s, d), "32S", 10_000), "32S", (64, i.height(s, d)), 10_000), _img("v"))
+_add("s12_volume_slab_round_trip", lambda s, d: raw.from_slabs(raw.slabs(i.shipped(s, d), "64D", 50), "64D", (7, 12, 7), 50).with_value(F.col("v").cast("bigint")), f"WITH {SHIPPED} SELECT x, y, z, v FROM img")
 _add("s5_sparse_made_dense", i.hours, f"WITH {HOURS} SELECT x, y, z, v FROM img")
 _add("s5_lineitem_volume", i.shipped, f"WITH {SHIPPED} SELECT x, y, z, v FROM img")
 _add("s8_max_range", lambda s, d: r.max_range_converted(i.emb(s, d), 0, 255), f"WITH {DOUBLES}, m AS (SELECT min(v) lo, max(v) hi FROM img) SELECT x, y, CAST(trunc((v - lo) * (255.0 / (hi - lo)) + 0) AS BIGINT) AS v FROM img, m")
@@ -209,7 +211,15 @@ _NINE = [(x, y, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)]
 _add("m7_median", lambda s, d: stencil.median(i.embq(s, d), (1, 1)), _conv_sql(_NINE, what="CAST(quantile_disc(b.v, 0.5) AS BIGINT)"))
 _add("m7_erosion", lambda s, d: stencil.eroded(i.embq(s, d), (1, 1)), _conv_sql(_NINE, what="min(b.v)"))
 _add("m7_dilation", lambda s, d: stencil.dilated(i.embq(s, d), (2, 0), "mirror"), _conv_sql([(x, 0, 1) for x in range(-2, 3)], "mirror", what="max(b.v)"))
-_add("m6_transform_locator", lambda s, d: stencil.transform_locator(i.embq(s, d), (1, 1), (1, 1), lambda at: F.greatest(at(1, 0) - at(-1, 0), at(0, 1) - at(0, -1)), "zero"), f"WITH {IMAGE}, {COUNT} SELECT a.x, a.y, greatest(coalesce(r.v, 0) - coalesce(l.v, 0), coalesce(u.v, 0) - coalesce(o.v, 0)) AS v FROM img a LEFT JOIN img l ON l.x = a.x - 1 AND l.y = a.y LEFT JOIN img r ON r.x = a.x + 1 AND r.y = a.y LEFT JOIN img o ON o.x = a.x AND o.y = a.y - 1 LEFT JOIN img u ON u.x = a.x AND u.y = a.y + 1")
+_add(
+    "m6_transform_locator",
+    lambda s, d: stencil.transform_locator(i.embq(s, d), (1, 1), (1, 1), lambda at: F.greatest(at(1, 0) - at(-1, 0), at(0, 1) - at(0, -1)), "zero"),
+    f"""WITH {IMAGE}
+    SELECT x, y, greatest(
+      lead(v, 1, 0) OVER (PARTITION BY y ORDER BY x) - lag(v, 1, 0) OVER (PARTITION BY y ORDER BY x),
+      lead(v, 1, 0) OVER (PARTITION BY x ORDER BY y) - lag(v, 1, 0) OVER (PARTITION BY x ORDER BY y)) AS v
+    FROM img""",
+)
 _add("i2_bordered_subview", lambda s, d: stencil.bordered(i.embq(s, d), Region((10, 50), (20, 30)), (1, 1), (1, 1), lambda g: stencil.convolve(g, _FULL)), _conv_sql(_taps(_FULL)).replace("SELECT a.x, a.y,", "SELECT a.x - 10 AS x, a.y - 50 AS y,").replace(" GROUP BY", " WHERE a.x BETWEEN 10 AND 29 AND a.y BETWEEN 50 AND 79 GROUP BY"))
 _SOBEL = "WITH {image}, {count}, t(dx, dy, wx, wy) AS (VALUES (-1,-1,1,1), (0,-1,0,2), (1,-1,-1,1), (-1,0,2,0), (1,0,-2,0), (-1,1,1,-1), (0,1,0,-2), (1,1,-1,-1)), g AS (SELECT a.x, a.y, sum(b.v * t.wx) AS gx, sum(b.v * t.wy) AS gy FROM img a CROSS JOIN t JOIN img b ON b.x = {bx} AND b.y = {by} GROUP BY a.x, a.y)".format(image=IMAGE, count=COUNT, bx=_place("a.x", "t.dx", "64", "repeat"), by=_place("a.y", "t.dy", "(SELECT n FROM n)", "repeat"))
 
@@ -319,7 +329,20 @@ _add("x8_rotate_quarter", lambda s, d: (lambda g: g.with_value(F.round(g.value *
 _STEPS = render.table_transfer((0.113, 0.317, 0.631, 0.977), (0.0, 0.131, 0.317, 0.523), 0.0, 4000.0)
 _ENTRY = "greatest(0, least(3, CAST(floor(v / 4000.0 * 4) AS BIGINT))) + 1"
 _add("x12_composited_rays", lambda s, d: millionths(render.composited((lambda g: g.with_value(F.struct(*(c.alias(n) for c, n in zip(_STEPS(g.value), "ca")))))(i.shipped(s, d)))), f"WITH {SHIPPED}, p AS (SELECT x, y, z, [0.113e0, 0.317e0, 0.631e0, 0.977e0][{_ENTRY}] AS c, [0.0e0, 0.131e0, 0.317e0, 0.523e0][{_ENTRY}] AS a FROM img), q AS (SELECT x, y, c * a * exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS w FROM p) SELECT x, y, {_mq('sum(w)')} AS v FROM q GROUP BY x, y")
-_add("x12_ray_cast", lambda s, d: millionths(render.ray_cast(i.shipped(s, d), _STEPS)))
+_add(
+    "x12_ray_cast",
+    lambda s, d: millionths(render.ray_cast(i.shipped(s, d), _STEPS)),
+    f"""WITH {SHIPPED},
+    g AS (SELECT x, y, z, v,
+      0.5e0 * (lead(v, 1, v) OVER (PARTITION BY y, z ORDER BY x) - lag(v, 1, v) OVER (PARTITION BY y, z ORDER BY x)) AS gx,
+      0.5e0 * (lead(v, 1, v) OVER (PARTITION BY x, z ORDER BY y) - lag(v, 1, v) OVER (PARTITION BY x, z ORDER BY y)) AS gy,
+      0.5e0 * (lead(v, 1, v) OVER (PARTITION BY x, y ORDER BY z) - lag(v, 1, v) OVER (PARTITION BY x, y ORDER BY z)) AS gz
+      FROM img),
+    n AS (SELECT x, y, z, v, greatest(-gz / CASE WHEN sqrt(gx*gx + gy*gy + gz*gz) < 1e-9 THEN 1e0 ELSE sqrt(gx*gx + gy*gy + gz*gz) END, 0e0) AS t FROM g),
+    p AS (SELECT x, y, z, [0.113e0, 0.317e0, 0.631e0, 0.977e0][{_ENTRY}] * (0.3e0 + 0.7e0 * t) + 0.2e0 * pow(t, 8) AS c, [0.0e0, 0.131e0, 0.317e0, 0.523e0][{_ENTRY}] AS a FROM n),
+    q AS (SELECT x, y, c * a * exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS w FROM p)
+    SELECT x, y, {_mq('sum(w)')} AS v FROM q GROUP BY x, y""",
+)
 
 # --- frequency domain ----------------------------------------------------------------------------------------------
 
@@ -335,8 +358,17 @@ def _tq(x: str) -> str:
     return f"CAST(floor(({x}) * 1e4 + 0.5) AS BIGINT)"
 
 
+def _long_round_trip(s, d):
+    """The image's rows as one signal, through a split transform and back."""
+    g, n = i.emb(s, d), 64 * i.height(s, d)
+    signal = Grid(g.settled().df.select((F.col("x") + 64 * F.col("y")).alias("x"), "v"), (n,))
+    back = millionths(fourier.inverse_normalized(fourier.forward(signal), n))
+    return back.settled().df.select((F.col("x") % 64).alias("x"), F.expr("x div 64").alias("y"), "v")
+
+
 _add("f1_row_transform", lambda s, d: _parts(fourier.forward(i.emb(s, d), stack=(1,))), f"{_DFT} SELECT x, y, {_tq('re')} AS re, {_tq('im')} AS im FROM f")
 _add("f1_round_trip", lambda s, d: (lambda g: millionths(fourier.inverse_normalized(fourier.forward(g), g.size[0])))(i.emb(s, d)), _img(_mq("v"), DOUBLES))
+_add("f1_long_signal_round_trip", _long_round_trip, _img(_mq("v"), DOUBLES))
 _add("f3_stack_normalized", lambda s, d: _parts(fourier.forward_normalized(i.emb(s, d), stack=(1,))), f"{_DFT} SELECT x, y, {_tq('re / 64')} AS re, {_tq('im / 64')} AS im FROM f")
 _add("u17_power_spectrum", lambda s, d: (lambda g: g.with_value(F.floor(g.value * 1e3 + 0.5).cast("bigint")))(complexes.amplitude(fourier.forward(i.emb(s, d), stack=(1,)))), f"{_DFT} SELECT x, y, CAST(floor((re*re + im*im) * 1e3 + 0.5) AS BIGINT) AS v FROM f")
 _add("i8_half_spectrum", lambda s, d: _parts(index_space.centred_half(fourier.forward(i.emb(s, d), stack=(1,)))), f"{_DFT}, {COUNT} SELECT x, CASE WHEN y >= n.n - (n.n - 1) // 2 THEN y - n.n ELSE y END AS y, {_tq('re')} AS re, {_tq('im')} AS im FROM f, n")
@@ -393,6 +425,22 @@ _vec("v9_swizzle", lambda a, b: (lambda c: c[0] * 100 + c[1] * 10 + c[2])(vector
 _turn = Quaternion.rotation(0.5, (1, 2, 3))
 _rot = _turn.matrix()
 _vec("v10_rotate", lambda a, b: F.floor(sum(c * (j + 1) for j, c in enumerate(rotate_columns(_turn, [a[0].cast("double"), a[1].cast("double"), a[2].cast("double")])))).cast("bigint"), "CAST(floor(" + " + ".join(f"(a[1] * CAST('{_rot[q][0]!r}' AS DOUBLE) + a[2] * CAST('{_rot[q][1]!r}' AS DOUBLE) + a[3] * CAST('{_rot[q][2]!r}' AS DOUBLE)) * {q + 1}" for q in range(3)) + ") AS BIGINT)")
+_euler = {"zxz": Quaternion.euler_zxz(0.7, 0.4, -0.3), "zyz": Quaternion.euler_zyz(0.7, 0.4, -0.3)}
+_steps = {
+    "zxz": "y * cos(0.4e0) - z * sin(0.4e0) AS y, y * sin(0.4e0) + z * cos(0.4e0) AS z, x",
+    "zyz": "x * cos(0.4e0) + z * sin(0.4e0) AS x, z * cos(0.4e0) - x * sin(0.4e0) AS z, y",
+}
+for _name, _q in _euler.items():
+    _add(
+        f"v11_euler_{_name}",
+        lambda s, d, q=_q: i.vectors(s, d).select("vec_id", *(F.floor(c * 1e6 + 0.5).cast("bigint").alias(n) for n, c in zip("xyz", rotate_columns(q, [F.col("a")[j].cast("double") for j in range(3)])))),
+        f"""WITH {VECTORS},
+        o AS (SELECT vec_id, CAST(a[1] AS DOUBLE) AS x, CAST(a[2] AS DOUBLE) AS y, CAST(a[3] AS DOUBLE) AS z FROM vec),
+        p AS (SELECT vec_id, x * cos(-0.3e0) - y * sin(-0.3e0) AS x, x * sin(-0.3e0) + y * cos(-0.3e0) AS y, z FROM o),
+        q AS (SELECT vec_id, {_steps[_name]} FROM p),
+        r AS (SELECT vec_id, x * cos(0.7e0) - y * sin(0.7e0) AS x, x * sin(0.7e0) + y * cos(0.7e0) AS y, z FROM q)
+        SELECT vec_id, {_mq("x")} AS x, {_mq("y")} AS y, {_mq("z")} AS z FROM r""",
+    )
 _mat = lambda a: F.array(F.slice(a, 1, 3), F.slice(a, 4, 3), F.slice(a, 7, 3))
 _vec("v12_matrix_vector", lambda a, b: vectors.total(vectors.matrix_vector(_mat(a), F.slice(b, 1, 3))), "CAST(" + " + ".join(f"a[{3 * p + q + 1}] * b[{q + 1}]" for p in range(3) for q in range(3)) + " AS BIGINT)")
 _vec("v12_trace_of_product", lambda a, b: vectors.trace(vectors.matrix_product(_mat(a), _mat(b), 3), 3), "CAST(" + " + ".join(f"a[{3 * p + q + 1}] * b[{3 * q + p + 1}]" for p in range(3) for q in range(3)) + " AS BIGINT)")

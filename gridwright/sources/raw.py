@@ -87,6 +87,30 @@ def slabs(g: Grid, kind: str, cells_per_slab: int = 1 << 20) -> DataFrame:
     return rows.groupBy("slab").applyInPandas(pack, "slab bigint, bytes binary")
 
 
+def from_slabs(rows: DataFrame, kind: str, size: Sequence[int], cells_per_slab: int = 1 << 20) -> Grid:
+    """The grid again from ``slab, bytes``; a slab is one task's work."""
+    size, dtype = tuple(size), np.dtype(KINDS[kind])
+    element = "struct<re:double,im:double>" if dtype.kind == "c" else "double" if dtype.kind == "f" else "bigint"
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for slab, content in zip(b["slab"], b["bytes"]):
+                a = np.frombuffer(content, dtype)
+                v = [{"re": float(x.real), "im": float(x.imag)} for x in a] if dtype.kind == "c" else a.astype("f8" if dtype.kind == "f" else "i8")
+                out, left = {}, np.arange(slab * cells_per_slab, slab * cells_per_slab + len(a))
+                for d, s in zip(AXES, size):
+                    out[d], left = left % s, left // s
+                yield pd.DataFrame({**out, "v": v})
+
+    schema = ", ".join([*(f"{d} bigint" for d in AXES[: len(size)]), f"v {element}"])
+    return Grid(rows.select("slab", "bytes").mapInPandas(cells, schema), size)
+
+
+def dump_slabs(g: Grid, path: str, kind: str, cells_per_slab: int = 1 << 20) -> None:
+    """Write a grid as a Parquet table of slabs, each by its own executor; nothing passes through the driver."""
+    slabs(g, kind, cells_per_slab).write.mode("overwrite").parquet(path)
+
+
 def dump(g: Grid, prefix: str, kind: str) -> str:
     """Write a raw file on the driver's machine, slab by slab; its path."""
     kind_v = g.kind

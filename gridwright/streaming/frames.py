@@ -18,13 +18,16 @@ from gridwright.operators.grid import Grid
 
 
 def per_slice(cells: DataFrame, size: Sequence[int], f: Callable[[Grid], Grid], out: str, checkpoint: str) -> StreamingQuery:
-    """Apply ``f`` (which must keep slices apart) to arriving slices, and append the cells to Parquet at ``out``."""
+    """Apply ``f`` (which must keep slices apart) to arriving slices; the cells go to Parquet at ``out``, partitioned by ``batch``.
+
+    A batch that is tried again overwrites its own folder, so no cell comes twice.
+    """
     last = "xyz"[len(size) - 1]
 
     def work(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
         g = Grid(batch, (*size[:-1], size[-1]))
-        f(g).cells.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        f(g).cells.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return cells.select(*"xyz"[: len(size)], "v").where(F.col(last).isNotNull()).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -15,7 +15,6 @@ from gridwright.operators import elementwise as e
 from gridwright.operators import reduce as r
 from gridwright.operators.grid import Grid
 from gridwright.operators.quaternion import Quaternion
-from gridwright.plans.jobs import Scheduler
 from gridwright.sources import procedural as p
 from gridwright.sources import raw, tables
 
@@ -490,17 +489,34 @@ def test_text_tables(spark, tmp_path):
     assert tables.read_kernel(spark, str(tmp_path / "k.txt")).tolist() == [[1, 2, 3], [4, 5, 6]]
 
 
-# --- jobs
+# --- streams
 
 
-def test_scheduler(spark):
-    with Scheduler(spark) as s:
-        parts = s.add_problem([lambda n=n: one(r.total(ids(spark, (n, n)))) for n in (2, 3, 4)], group="a")
-        double = parts[0].then(lambda v: v * 2)
-        assert s.run_until_finished() == [6, 36, 120] and double.value() == 12
-        bad = s.submit(lambda: 1 // 0).then(lambda v: v + 1)
-        with pytest.raises(ZeroDivisionError):
-            bad.value()
+def test_custom_reduction_runs_in_many_tasks(spark):
+    from gridwright.operators import reduce as r
+
+    g = p.unique_id(spark, (1000,))
+    out = r.reduce_by(g, lambda v: int(v.max()), lambda v: int(v.max()), "bigint")
+    assert out.first().v == 999 and "Exchange SinglePartition" in out._jdf.queryExecution().toString() or "RoundRobinPartitioning(1)" in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("n", [5000, 4099 * 2, 1 << 13])
+def test_long_signals_are_split(spark, n, monkeypatch):
+    monkeypatch.setattr(fourier, "LONG_LINE", 100)
+    x = np.random.default_rng(n).random(n)
+    g = Grid(spark.createDataFrame(list(enumerate(x.tolist())), "x bigint, v double"), (n,))
+    got = {r.x: complex(r.v.re, r.v.im) for r in fourier.forward(g).cells.collect()}
+    want = np.fft.rfft(x)
+    assert len(got) == len(want) and np.allclose([got[i] for i in range(len(want))], want)
+    back = {r.x: r.v for r in fourier.inverse_normalized(fourier.forward(g), n).cells.collect()}
+    assert np.allclose([back[i] for i in range(n)], x)
+
+
+def test_slabs_are_written_by_executors(spark, tmp_path):
+    g = p.unique_id(spark, (7, 5, 3))
+    raw.dump_slabs(g, str(tmp_path / "slabs"), "32S", 20)
+    again = raw.from_slabs(spark.read.parquet(str(tmp_path / "slabs")), "32S", (7, 5, 3), 20)
+    assert sorted(map(tuple, again.cells.collect())) == sorted(map(tuple, g.cells.collect()))
 
 
 def test_stream_of_slices(spark, tmp_path):
