@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridwright.llm import chunk_dedup, decontaminate, html_template, mixing, nbsvm, quality_rules, simhash, suffix_dedup, token_counts, url_graph
+from gridwright.llm.scratch import Scratch
 from gridwright.llm.texts import spread
 
 
@@ -68,13 +70,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op8's mix, by source, to the thousandth of a word."""
+    sizes = Scratch(spark, "mixing").cut(mixing.measured(table(spark, sf_dir, "documents")))
+    return mixing.plan(sizes).select("source", "source_size", F.round(F.col("target") * 1000).cast("bigint").alias("target"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every url, as op9 has them."""
+    return url_graph.with_rule(url_graph.with_host(table(spark, sf_dir, "pages"))).select("page_id", "host", "path", "rule", "ruled")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality_classifier, op2_simhash_near_dedup, op3_token_counts, op4_decontamination, op5_chunk_dedup, op6_quality_rules, op7_html_template, op8_mixing, op9_url_graph, op10_suffix_dedup)
-    return {f.__name__: f for f in own}
+    parts = (mix_targets, url_rules)  # of op8 and op9, what SQL can tell
+    return {f.__name__: f for f in (*own, *parts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6}
+    return {"op6_quality_rules": OP6, "op10_suffix_dedup": OP10, "mix_targets": TARGETS, "url_rules": URLS}
 
 
 OP6 = r"""
@@ -105,3 +119,50 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     AND 10 * n_upper <= 3 * n_words AND 2 * n_dots <= n_lines AS kept
 FROM b
 """
+
+
+def _repeats(length: int, name: str) -> str:
+    """``{name}_spans(r, a, b)``: the maximal runs of bytes under strings of ``length`` that occur twice."""
+    return f"""
+{name}_windows AS (SELECT r, i, hash(substr(h, 2 * i + 1, {2 * length})) AS k FROM d, range(0, n - {length - 1}) t(i)),
+{name}_found AS (SELECT r, i FROM {name}_windows WHERE k IN (SELECT k FROM {name}_windows GROUP BY k HAVING count(*) > 1)),
+{name}_gaps AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {length} THEN 0 ELSE 1 END AS s FROM {name}_found),
+{name}_runs AS (SELECT r, i, sum(s) OVER (PARTITION BY r ORDER BY i) AS run FROM {name}_gaps),
+{name}_spans AS (SELECT r, min(i) AS a, max(i) + {length} AS b FROM {name}_runs GROUP BY r, run)"""
+
+
+OP10 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+{_repeats(400, "long")},
+{_repeats(200, "short")},
+pieces AS (
+  SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS s, a AS e FROM long_spans
+  UNION ALL SELECT r, max(b), n FROM long_spans JOIN d USING (r) GROUP BY r, n),
+kept AS (SELECT r, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS kept FROM pieces JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM long_spans GROUP BY r),
+also AS (SELECT r, sum(b - a) AS n_shared FROM short_spans GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256, CAST(coalesce(n_shared, 0) AS BIGINT) AS n_shared
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r) LEFT JOIN also USING (r)
+"""
+
+TARGETS = r"""
+WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS size FROM documents GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 2.0 * size / weight, source NULLS LAST) AS k FROM w),
+-- with the k - 1 sources of the least size to weight at twice their size, each other source gets `level` times its weight
+l AS (SELECT *, (1.5 * sum(size) OVER () - coalesce(sum(2.0 * size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+c AS (SELECT min(k) AS k FROM l WHERE level * weight <= 2.0 * size)
+SELECT source, size AS source_size, CAST(round(CASE WHEN l.k < c.k THEN 2.0 * size ELSE (SELECT level FROM l x WHERE x.k = c.k) * weight END * 1000) AS BIGINT) AS target FROM l, c
+"""
+
+URLS = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+r(rule, ruled) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+m AS (SELECT page_id, host, path, rule, ruled, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM p LEFT JOIN r
+  ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))))
+SELECT page_id, host, path, rule, ruled FROM m WHERE k = 1
+"""
