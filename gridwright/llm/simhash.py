@@ -53,8 +53,8 @@ LEVELS = 4
 """Levels by which a subtrie that is too large is cut."""
 SEED = 42
 CHECK_WIDTH, CHECKS = 5, 16
-SLACK = 0.025
-"""What the estimate of a similarity may be too low by: about its standard error at 0.8 over ``CHECKS`` fingerprints."""
+SLACK = 0.05
+"""What the estimate of a similarity may be too low by: about twice its standard error at 0.8 over ``CHECKS`` fingerprints."""
 
 
 def _majority(hashes: np.ndarray) -> np.uint64:
