@@ -305,24 +305,33 @@ def _linear_sql(px: str, py: str, size: tuple[str, str], border: str = "repeat")
     )
 
 
-_add("x2_nearest", lambda s, d: interpolate.resampled(i.embq(s, d), (100, 200), lambda at: [at[0] * 0.6 + 0.2, at[1] * 1.7 + 0.4], "nearest"), f"WITH {IMAGE}, {COUNT}, g AS (SELECT a.x, b.y, CAST(round(a.x * 0.6e0 + 0.2e0 - 0.499999e0) AS BIGINT) AS sx, CAST(round(b.y * 1.7e0 + 0.4e0 - 0.499999e0) AS BIGINT) AS sy FROM range(100) a(x) CROSS JOIN range(200) b(y)) SELECT g.x, g.y, i.v FROM g, n JOIN img i ON i.x = greatest(0, least(63, g.sx)) AND i.y = greatest(0, least(n.n - 1, g.sy))")
-_add("x3_linear", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, 200), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125])), _linear_sql("x * 0.625e0 + 0.25e0", "y * 1.5e0 + 0.125e0", ("100", "200")))
+_add("x2_nearest", lambda s, d: interpolate.resampled(i.embq(s, d), (100, i.height(s, d)), lambda at: [at[0] * 0.6 + 0.2, at[1] * 1.7 + 0.4], "nearest"), f"WITH {IMAGE}, {COUNT}, g AS (SELECT a.x, b.y, CAST(round(a.x * 0.6e0 + 0.2e0 - 0.499999e0) AS BIGINT) AS sx, CAST(round(b.y * 1.7e0 + 0.4e0 - 0.499999e0) AS BIGINT) AS sy FROM range(100) a(x) CROSS JOIN (SELECT unnest(range(n)) AS y FROM n) b) SELECT g.x, g.y, i.v FROM g, n JOIN img i ON i.x = greatest(0, least(63, g.sx)) AND i.y = greatest(0, least(n.n - 1, g.sy))")
+_add("x3_linear", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, i.height(s, d)), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125])), _linear_sql("x * 0.625e0 + 0.25e0", "y * 1.5e0 + 0.125e0", ("100", "n")))
 
 
-def _cubic_axis(name: str, p: str, n: int, limit: str) -> str:
+def _cubic_axis(name: str, p: str, size: str, limit: str) -> str:
     """Taps of one axis: four of every target, by the two-read form."""
     return (
-        f"{name}p AS (SELECT i, {p} AS p FROM range({n}) r(i)), {name}w AS (SELECT i, floor(p) AS low, p - floor(p) AS t FROM {name}p), "
+        f"{name}p AS (SELECT i, {p} AS p FROM (SELECT unnest(range({size})) AS i FROM n)), {name}w AS (SELECT i, floor(p) AS low, p - floor(p) AS t FROM {name}p), "
         f"{name}g AS (SELECT i, low, -0.5e0*t + t*t - 0.5e0*t*t*t AS w0, 1 - 2.5e0*t*t + 1.5e0*t*t*t AS w1, 0.5e0*t + 2e0*t*t - 1.5e0*t*t*t AS w2, -0.5e0*t*t + 0.5e0*t*t*t AS w3 FROM {name}w), "
         f"{name}r AS (SELECT i, w0 + w1 AS g, low - 1 + w1 / (w0 + w1) AS pos FROM {name}g UNION ALL SELECT i, w2 + w3, low + 1 + CASE WHEN w2 + w3 = 0 THEN 0 ELSE w3 / (w2 + w3) END FROM {name}g), "
         f"{name}t AS (SELECT i, greatest(0, least({limit} - 1, CAST(floor(pos) AS BIGINT) + o)) AS c, g * CASE WHEN o = 1 THEN pos - floor(pos) ELSE 1 - (pos - floor(pos)) END AS w FROM {name}r, (VALUES (0), (1)) o(o))"
     )
 
 
-_add("x4_cubic", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, 100), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125], "cubic")), f"WITH {DOUBLES}, {COUNT}, {_cubic_axis('x', 'i * 0.625e0 + 0.25e0', 100, '64')}, {_cubic_axis('y', 'i * 1.5e0 + 0.125e0', 100, '(SELECT n FROM n)')} SELECT xt.i AS x, yt.i AS y, {_mq('sum(img.v * xt.w * yt.w)')} AS v FROM xt CROSS JOIN yt JOIN img ON img.x = xt.c AND img.y = yt.c GROUP BY xt.i, yt.i")
-_add("x7_texture", lambda s, d: millionths(interpolate.texture(i.emb(s, d), (80, 100), lambda at: [at[0] - 4.5, at[1] - 3.25])), _linear_sql("x - 4.5e0", "y - 3.25e0", ("80", "100"), "outside"))
-_add("x10_geometry_identity", lambda s, d: millionths(interpolate.geometry_transformation(i.emb(s, d), (64, 100), lambda at: at)), _linear_sql("x + 0.5e0", "y + 0.5e0", ("64", "100")))
-_add("x10_geometry_centred", lambda s, d: millionths(interpolate.geometry_transformation(i.emb(s, d), (64, 100), lambda at: at, centred=True)), _img(_mq("v"), DOUBLES, "WHERE y < 100"))
+_add("x4_cubic", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, i.height(s, d)), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125], "cubic")), f"WITH {DOUBLES}, {COUNT}, {_cubic_axis('x', 'i * 0.625e0 + 0.25e0', '100', '64')}, {_cubic_axis('y', 'i * 1.5e0 + 0.125e0', 'n', '(SELECT n FROM n)')} SELECT xt.i AS x, yt.i AS y, {_mq('sum(img.v * xt.w * yt.w)')} AS v FROM xt CROSS JOIN yt JOIN img ON img.x = xt.c AND img.y = yt.c GROUP BY xt.i, yt.i")
+_add(
+    "m10_user_border_and_taps",
+    lambda s, d: interpolate.resampled(
+        i.embq(s, d), (70, i.height(s, d)), lambda at: [at[0] - 3, at[1]],
+        lambda q: [(F.floor(q).cast("bigint"), F.lit(2.0))], lambda c, n: F.when(c < 0, n - 1).when(c < n, c),
+    ),
+    f"""WITH {IMAGE}, {COUNT}, g AS (SELECT a.x, b.y, CASE WHEN a.x < 3 THEN 63 ELSE a.x - 3 END AS sx FROM range(70) a(x) CROSS JOIN (SELECT unnest(range(n)) AS y FROM n) b)
+    SELECT g.x, g.y, CAST(4 * coalesce(img.v, 0) AS BIGINT) AS v FROM g LEFT JOIN img ON img.x = g.sx AND img.y = g.y""",
+)
+_add("x7_texture", lambda s, d: millionths(interpolate.texture(i.emb(s, d), (80, i.height(s, d)), lambda at: [at[0] - 4.5, at[1] - 3.25])), _linear_sql("x - 4.5e0", "y - 3.25e0", ("80", "n"), "outside"))
+_add("x10_geometry_identity", lambda s, d: millionths(interpolate.geometry_transformation(i.emb(s, d), (64, i.height(s, d)), lambda at: at)), _linear_sql("x + 0.5e0", "y + 0.5e0", ("64", "n")))
+_add("x10_geometry_centred", lambda s, d: millionths(interpolate.geometry_transformation(i.emb(s, d), (64, i.height(s, d)), lambda at: at, centred=True)), _img(_mq("v"), DOUBLES))
 _add("x11_scale", lambda s, d: millionths(interpolate.scaled(i.emb(s, d), (2.0, 0.5), (128, i.height(s, d) // 2), (8.0, 4.0))), _linear_sql("8 + (x + 0.5e0 - 8) / 2", "4 + (y + 0.5e0 - 4) / 0.5e0", ("128", "n // 2")))
 _add("x8_rotate_quarter", lambda s, d: (lambda g: g.with_value(F.round(g.value * 4).cast("bigint")))(interpolate.rotated((lambda v: v.with_value(v.value.cast("double")))(i.shipped(s, d)), interpolate.rotation_about((0, 0, 1), interpolate.degrees(90)), (3.5, 6.0, 3.5))), f"WITH {SHIPPED} SELECT t.x, t.y, t.z, CAST(sum(coalesce(s.v, 0)) AS BIGINT) AS v FROM img t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(ox, oy) LEFT JOIN img s ON s.x = CAST(floor(t.y + 0.5 - 6 + 3.5 - 0.5) AS BIGINT) + o.ox AND s.y = CAST(floor(-(t.x + 0.5 - 3.5) + 6 - 0.5) AS BIGINT) + o.oy AND s.z = t.z GROUP BY ALL")
 
@@ -372,12 +381,22 @@ _add("f1_long_signal_round_trip", _long_round_trip, _img(_mq("v"), DOUBLES))
 _add("f3_stack_normalized", lambda s, d: _parts(fourier.forward_normalized(i.emb(s, d), stack=(1,))), f"{_DFT} SELECT x, y, {_tq('re / 64')} AS re, {_tq('im / 64')} AS im FROM f")
 _add("u17_power_spectrum", lambda s, d: (lambda g: g.with_value(F.floor(g.value * 1e3 + 0.5).cast("bigint")))(complexes.amplitude(fourier.forward(i.emb(s, d), stack=(1,)))), f"{_DFT} SELECT x, y, CAST(floor((re*re + im*im) * 1e3 + 0.5) AS BIGINT) AS v FROM f")
 _add("i8_half_spectrum", lambda s, d: _parts(index_space.centred_half(fourier.forward(i.emb(s, d), stack=(1,)))), f"{_DFT}, {COUNT} SELECT x, CASE WHEN y >= n.n - (n.n - 1) // 2 THEN y - n.n ELSE y END AS y, {_tq('re')} AS re, {_tq('im')} AS im FROM f, n")
-_add("i9_full_spectrum", lambda s, d: _parts(index_space.full_spectrum(index_space.sliced(fourier.forward(i.emb(s, d), stack=(1,)), 1, 3))), f"{_DFT}, h AS (SELECT x, re, im FROM f WHERE y = 3) SELECT x + 32 AS x, {_tq('re')} AS re, {_tq('im')} AS im FROM h UNION ALL SELECT 32 - x AS x, {_tq('re')} AS re, {_tq('-im')} AS im FROM h WHERE x > 0")
+_add(
+    "i9_full_spectrum",
+    lambda s, d: _parts(index_space.full_spectrum(fourier.forward(i.emb(s, d)))),
+    f"""{_DFT}, {COUNT},
+    h AS (SELECT f.x, k.y, sum(f.re * cos(2 * pi() * k.y * f.y / n) + f.im * sin(2 * pi() * k.y * f.y / n)) AS re,
+      sum(f.im * cos(2 * pi() * k.y * f.y / n) - f.re * sin(2 * pi() * k.y * f.y / n)) AS im
+      FROM f, n, (SELECT unnest(range(n)) AS y FROM n) k GROUP BY f.x, k.y),
+    e AS (SELECT x, y, re, im FROM h, n WHERE y <= n // 2 UNION ALL SELECT x, y - n AS y, re, im FROM h, n WHERE y - n >= -(n // 2))
+    SELECT x + 32 AS x, y + n // 2 AS y, {_tq('re')} AS re, {_tq('im')} AS im FROM e, n
+    UNION ALL SELECT 32 - x AS x, n // 2 - y AS y, {_tq('re')} AS re, {_tq('-im')} AS im FROM e, n WHERE x > 0""",
+)
 
 
 def _correlation(s, d):
-    g = index_space.subview(i.emb(s, d), (0, 0), (64, 64)).settled()
-    moved = index_space.padded(g, (64, 64), (5, 9), 0.0)
+    g = i.emb(s, d).settled()
+    moved = index_space.padded(g, g.size, (5, 9), 0.0)
     peak = r.arg_max(fourier.phase_correlation(moved, g))
     return peak.select("x", "y")
 
@@ -386,13 +405,13 @@ _add("f4_phase_correlation_peak", _correlation, "SELECT CAST(5 AS BIGINT) AS x,
 
 
 def _wiener(s, d):
-    g = index_space.subview(i.emb(s, d), (0, 0), (32, 32)).settled()
-    spread = index_space.padded(tables.from_array(s, k.gaussian_nd(0.6, 0.6).weights.tolist()), (32, 32), (-1, -1), 0.0)
+    g = i.emb(s, d).settled()
+    spread = index_space.padded(tables.from_array(s, k.gaussian_nd(0.6, 0.6).weights.tolist()), g.size, (-1, -1), 0.0)
     blurred = fourier.convolved_by_spectrum(g, spread).settled()
     return millionths(fourier.wiener_deconvolution(blurred, spread, 1e-12).settled().with_value(F.round(F.col("v"), 4)))
 
 
-_add("f5_wiener", _wiener, _img(_mq("round(v, 4)"), DOUBLES, "WHERE x < 32 AND y < 32"))
+_add("f5_wiener", _wiener, _img(_mq("round(v, 4)"), DOUBLES))
 
 # --- vectors, complex numbers, quaternions, matrices ---------------------------------------------------------------
 
