@@ -1,4 +1,4 @@
-"""Raw array files, PGM and PPM images, and grids of them.
+"""Raw array files, PGM, PPM, PAM and PFM images, and grids of them.
 
 A raw file has no header: its name ends in the element's kind and the size,
 ``prefix_32F_12x16.raw``.  Files are read by Spark (``binaryFile``), so they may
@@ -124,31 +124,58 @@ def dump(g: Grid, prefix: str, kind: str) -> str:
     return path
 
 
+def _image_header(head: bytes) -> tuple[int, tuple[int, int], int, str, bool]:
+    """Channels, size, where the cells begin, their type, and whether rows go from the bottom up."""
+    if m := re.match(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", head):
+        return (1 if m[1] == b"5" else 3), (int(m[2]), int(m[3])), m.end(), "<u1" if int(m[4]) < 256 else ">u2", False
+    if m := re.match(rb"P7\n(.*?)ENDHDR\n", head, re.S):
+        field = {x.split()[0]: x.split()[1] for x in m[1].split(b"\n") if len(x.split()) > 1 and x[:1] != b"#"}
+        width, height, depth, most = (int(field[x]) for x in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"))
+        return depth, (width, height), m.end(), "<u1" if most < 256 else ">u2", False
+    if m := re.match(rb"P([Ff])\s+(\d+)\s+(\d+)\s+(-?[\d.]+)\s", head):
+        return (3 if m[1] == b"F" else 1), (int(m[2]), int(m[3])), m.end(), "<f4" if float(m[4]) < 0 else ">f4", True
+    raise GridError("no binary PGM, PPM, PAM or PFM file")
+
+
 def read_image(spark: SparkSession, path: str) -> Grid:
-    """A binary PGM or PPM file; its channels as an array if there are three."""
-    head = spark.read.format("binaryFile").load(path).select(F.expr("substring(content, 1, 256)").alias("h")).first().h
-    m = re.match(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", bytes(head))
-    if not m:
-        raise GridError("no binary PGM or PPM file")
-    channels, size, begin = (1 if m[1] == b"5" else 3), (int(m[2]), int(m[3])), m.end()
-    dtype = "<u1" if int(m[4]) < 256 else ">u2"
+    """A binary PGM, PPM, PAM (any channels, as RGBA or CMYK) or PFM (floats) file; several channels are an array."""
+    head = spark.read.format("binaryFile").load(path).select(F.expr("substring(content, 1, 1024)").alias("h")).first().h
+    channels, size, begin, dtype, upward = _image_header(bytes(head))
+    wide = "f8" if dtype[1] == "f" else "i8"
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                a = np.frombuffer(content, dtype, offset=begin, count=size[0] * size[1] * channels).astype("i8")
+                a = np.frombuffer(content, dtype, offset=begin, count=size[0] * size[1] * channels).astype(wide)
                 i = np.arange(size[0] * size[1])
+                y = i // size[0]
                 v = list(a.reshape(-1, channels)) if channels > 1 else a
-                yield pd.DataFrame({"x": i % size[0], "y": i // size[0], "v": v})
-
-    kind = "array<bigint>" if channels > 1 else "bigint"
-    return Grid(spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, f"x bigint, y bigint, v {kind}"), size)
-
-
-def write_image(g: Grid, path: str) -> None:
-    """A grid of values 0..255 (or arrays of three) as a PGM or PPM file on the driver's machine."""
-    channels = 3 if g.kind.typeName() == "array" else 1
+                yield pd.DataFrame({"x": i % size[0], "y": size[1] - 1 - y if upward else y, "v": v})
+
+    kind = "double" if dtype[1] == "f" else "bigint"
+    return Grid(spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, f"x bigint, y bigint, v {f'array<{kind}>' if channels > 1 else kind}"), size)
+
+
+def write_image(g: Grid, path: str, most: int = 255) -> None:
+    """A grid of whole values 0..``most`` (or arrays) as a PGM, PPM or PAM file on the driver's machine; of fractions as a PFM file.
+
+    An image is written slab by slab; for grids beyond one machine there is :func:`dump_slabs`.
+    """
+    channels, kind = 1, g.kind
+    if kind.typeName() == "array":
+        channels, kind = len(g.settled().df.select("v").first().v), kind.elementType
+    if kind.typeName() in ("float", "double"):
+        if channels not in (1, 3):
+            raise GridError("PFM files have one channel or three")
+        up = Grid(g.settled().df.withColumn("y", F.lit(g.size[1] - 1) - F.col("y")), g.size)
+        head, rows = b"P%b\n%d %d\n-1.0\n" % (b"F" if channels == 3 else b"f", *g.size), slabs(up, "32F")
+    else:
+        rows = slabs(g, "8U" if most < 256 else "16U")
+        if channels in (1, 3):
+            head = b"P%d\n%d %d\n%d\n" % (6 if channels == 3 else 5, *g.size, most)
+        else:
+            head = b"P7\nWIDTH %d\nHEIGHT %d\nDEPTH %d\nMAXVAL %d\nENDHDR\n" % (*g.size, channels, most)
     with open(path, "wb") as f:
-        f.write(b"P%d\n%d %d\n255\n" % (6 if channels == 3 else 5, *g.size))
-        for r in slabs(g, "8U").orderBy("slab").toLocalIterator():
-            f.write(r["bytes"])
+        f.write(head)
+        for r in rows.orderBy("slab").toLocalIterator():
+            f.write(r["bytes"] if most < 256 or kind.typeName() in ("float", "double") else np.frombuffer(r["bytes"], "<u2").astype(">u2").tobytes())

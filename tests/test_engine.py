@@ -484,6 +484,19 @@ def test_images(spark, tmp_path):
     assert (arr(raw.read_image(spark, path)) == arr(g)).all()
 
 
+@pytest.mark.parametrize(("channels", "most"), [(1, 255), (3, 65535), (4, 255), (4, 65535), (1, None), (3, None)])
+def test_image_layouts(spark, tmp_path, channels, most):
+    rng = np.random.default_rng(channels)
+    a = rng.random((3, 5, channels)).astype("f4").astype("f8") if most is None else rng.integers(0, most + 1, (3, 5, channels))
+    kind = "double" if most is None else "bigint"
+    rows = [(x, y, a[y, x].tolist() if channels > 1 else a[y, x, 0].item()) for y in range(3) for x in range(5)]
+    g = Grid(spark.createDataFrame(rows, f"x bigint, y bigint, v {f'array<{kind}>' if channels > 1 else kind}"), (5, 3))
+    path = str(tmp_path / "image")
+    raw.write_image(g, path, most or 255)
+    again = raw.read_image(spark, path)
+    assert again.size == (5, 3) and sorted(map(tuple, again.cells.collect())) == sorted(rows)
+
+
 def test_text_tables(spark, tmp_path):
     (tmp_path / "k.txt").write_text("1 2  3\n4 5 6\n")
     assert tables.read_kernel(spark, str(tmp_path / "k.txt")).tolist() == [[1, 2, 3], [4, 5, 6]]
