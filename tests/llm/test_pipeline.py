@@ -55,6 +55,23 @@ def test_run_is_the_stages(spark, folder):
     assert first == again and first
 
 
+def test_stages_on_awkward_rows(spark, folder, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, ties, columns named like the operators' own, and no rows."""
+    path, *_ = folder
+    long = prose(20_000, "long")
+    rows = [(1, None, "en", "a"), (None, prose(40, 1), None, None), (2, "", "en", "b"), (3, long, "en", "a"), (4, prose(30, 4), "de", "b"), (4, prose(30, 4), "de", "b"), (5, prose(30, 4), None, "a"), (6, prose(30, 6), "en", None), (6, prose(30, 7), "en", "b")]
+    docs = spark.createDataFrame([(i, t, l, s, None if t is None else len(t), 7, "x") for i, t, l, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, copy bigint, tid string")
+    for name, stage in corpus_pipeline.STAGES:
+        docs.write.parquet(f"{tmp_path}/{name}")
+        before = spark.read.parquet(f"{tmp_path}/{name}")
+        docs = stage(spark, before, path)
+        assert docs.columns[: len(before.columns)] == before.columns
+        if name == "simhash_near_dedup":
+            assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([(None, rows[1][1]), (3, long), (4, rows[4][1]), (6, rows[7][1]), (6, rows[8][1])], key=str)
+        assert stage(spark, before.limit(0), path).count() == 0
+    assert {r.doc_id for r in docs.collect()} <= {None, 3, 4, 6} and "copy_" in docs.columns
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.queries() if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
