@@ -14,8 +14,8 @@ pairs become keys of their own, four levels at a time, until none is too large.
 One fingerprint within a few bits finds near copies of very few edits only.  For
 more, :func:`near_duplicates` takes ``tables`` fingerprints of the same shingles
 by other hashes, each with its own tries, and confirms what they find: of what a
-task finds connected, a minimum spanning forest of pairs by differing bits is
-held against ``CHECKS`` fingerprints of ``CHECK_WIDTH``-word shingles, whose
+task finds connected, ``FORESTS`` minimum spanning forests of pairs by differing
+bits, one after the other of the pairs that are left, are held against ``CHECKS`` fingerprints of ``CHECK_WIDTH``-word shingles, whose
 differing bits tell the similarity of the two texts.
 
 Links are between fingerprints, not ids.  Nulls and texts without words have
@@ -53,6 +53,7 @@ LEVELS = 4
 """Levels by which a subtrie that is too large is cut."""
 SEED = 42
 CHECK_WIDTH, CHECKS = 5, 16
+FORESTS = 6
 SLACK = 0.05
 """What the estimate of a similarity may be too low by: about twice its standard error at 0.8 over ``CHECKS`` fingerprints."""
 
@@ -174,8 +175,8 @@ def forest(n: int, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> n
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
-def _pairs_within(keys: DataFrame, group: list[str], budget: int) -> DataFrame:
-    """Links ``(a, b)``, a forest of them, between the nodes that own the turned fingerprints of each group."""
+def _pairs_within(keys: DataFrame, group: list[str], budget: int, forests: int) -> DataFrame:
+    """Links ``(a, b)``, so many forests of them, between the nodes that own the turned fingerprints of each group."""
     turns = blocks(budget)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -183,8 +184,15 @@ def _pairs_within(keys: DataFrame, group: list[str], budget: int) -> DataFrame:
         key, first = np.unique(key.view(np.uint64), return_index=True)
         node = node[first]
         left, right = walk(key, turns[r % len(turns)][1], budget)
-        at = forest(len(key), left, right, np.bitwise_count(key[left] ^ key[right]))
-        return record_batch([node[left[at]], node[right[at]]], schema) if len(at) else None
+        length, found = np.bitwise_count(key[left] ^ key[right]), []
+        for _ in range(forests):
+            at = forest(len(key), left, right, length)
+            found.append(np.stack([node[left[at]], node[right[at]]]))
+            left, right, length = (np.delete(x, at) for x in (left, right, length))
+            if not len(left):
+                break
+        a, b = np.concatenate(found, 1)
+        return record_batch([a, b], schema) if len(a) else None
 
     def by_turn(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         turn, key, node = (rows.column(x).to_numpy() for x in ("r", "key", "node"))
@@ -217,21 +225,21 @@ def _whole_groups(rows: pa.Table, width: int) -> tuple[pa.Table, pa.Table]:
     return rows.slice(0, cut), rows.slice(cut)
 
 
-def links(leaves: DataFrame, budget: int, scratch: Scratch, limit: int = LIMIT) -> DataFrame:
+def links(leaves: DataFrame, budget: int, scratch: Scratch, limit: int = LIMIT, forests: int = 1) -> DataFrame:
     """Edges ``(a, b)`` that connect what the links within the budget connect.
 
     ``leaves`` has a table number ``t``, a fingerprint ``fp`` and the ``node``
     that owns it; ``fp`` is distinct within its table.  The edges are links
-    within the budget: a minimum spanning forest of what a task found connected,
-    so there are fewer than leaves in each block.
+    within the budget: minimum spanning ``forests`` of what a task found connected,
+    so there are fewer than that many times the leaves in each block.
     """
     turns = blocks(budget)
     kinds = [F.struct((F.col("t") * len(turns) + r).alias("r"), F.shiftrightunsigned(_turn(F.col("fp"), by), BITS - w).alias("block"), _turn(F.col("fp"), by).alias("key"), "node") for r, (by, w) in enumerate(turns)]
     keys = leaves.select(F.inline(F.array(*kinds)))
     large = scratch.cut(keys.groupBy("r", "block").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("r", "block"))
     if not large.count():
-        return _pairs_within(keys, ["r", "block"], budget)
-    found = _pairs_within(keys.join(large, ["r", "block"], "left_anti"), ["r", "block"], budget)
+        return _pairs_within(keys, ["r", "block"], budget, forests)
+    found = _pairs_within(keys.join(large, ["r", "block"], "left_anti"), ["r", "block"], budget, forests)
     width = F.element_at(F.array(*(F.lit(w) for _, w in turns)), F.col("r") % len(turns) + 1)
     rows = keys.join(large, ["r", "block"]).select("r", "key", "node", F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"), width.alias("depth"))
     while True:
@@ -239,7 +247,7 @@ def links(leaves: DataFrame, budget: int, scratch: Scratch, limit: int = LIMIT)
         size = rows.groupBy("r", "lo", "hi").agg(F.sum("side").alias("ones"), F.count("*").alias("n"))
         size = size.where(F.when(F.col("lo") == F.col("hi"), F.col("n") > 1).otherwise((F.col("ones") > 0) & (F.col("ones") < F.col("n"))))
         rows = scratch.cut(rows.join(size.select("r", "lo", "hi", "n"), ["r", "lo", "hi"]))
-        found = found.unionByName(_pairs_within(rows.where(F.col("n") <= limit), ["r", "lo", "hi"], budget))
+        found = found.unionByName(_pairs_within(rows.where(F.col("n") <= limit), ["r", "lo", "hi"], budget, forests))
         rows = rows.where(F.col("n") > limit)
         if not rows.limit(1).count():
             return found
@@ -287,7 +295,7 @@ def _marked(docs: DataFrame, width: int, budget: int, tables: int, similarity: f
         twice = shared.where("n > 1").select("tf", "first", "n")
         edges = join_counted(leaves.select("node", F.struct("t", "fp").alias("tf")), twice, "tf", "n", leaves.count()).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
         leaves = shared.select("t", "fp", F.col("first").alias("node"))
-    found = links(leaves, budget, scratch, limit)
+    found = links(leaves, budget, scratch, limit, FORESTS if similarity else 1)
     found = found if edges is None else found.unionByName(edges)
     if similarity:
         found = _confirmed(found, classes, tables, similarity)
@@ -310,7 +318,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2, tables:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, width: int = 2, budget: int = 3, tables: int = 16, similarity: float | None = 0.8, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, width: int = 2, budget: int = 4, tables: int = 14, similarity: float | None = 0.8, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of the smallest id stays, and no other.
 
     Of several texts of that id the one with the smallest hash stays, of equal
