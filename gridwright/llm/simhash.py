@@ -30,7 +30,7 @@ other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ LIMIT = 50_000
 """Leaves that one task walks at once."""
 FRONTIER = 1_000_000
 """Node pairs that are held at once."""
+PAIRS = 2_000_000
+"""Linked pairs of a task that are held before they are thinned to forests."""
 LEVELS = 4
 """Levels by which a subtrie that is too large is cut."""
 SEED = 42
@@ -109,13 +111,14 @@ def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, checks: int =
     return rows.mapInArrow(apply, "doc_id bigint, tid bigint, fps array<bigint>")
 
 
-def walk(keys: np.ndarray, exact: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(keys: np.ndarray, exact: int, budget: int, thin: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sorted distinct ``keys`` that agree on the top ``exact`` bits and differ in ``budget`` bits at most.
 
     A node is a range of ``keys``; a frontier holds the ranges of the two nodes
-    of each pair and the bits in which their paths differ.
+    of each pair and the bits in which their paths differ.  ``thin`` makes fewer
+    of over ``PAIRS`` pairs.
     """
-    left, right = [], []
+    left, right, held = [], [], 0
     zero = np.zeros(1, np.int64)
     work = [(BITS - 1, zero, zero + len(keys), zero, zero + len(keys), zero)]
     while work:
@@ -131,6 +134,10 @@ def walk(keys: np.ndarray, exact: int, budget: int) -> tuple[np.ndarray, np.ndar
             near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
             left.append(i[near])
             right.append(j[near])
+            held += len(left[-1])
+            if thin and held > PAIRS:
+                left, right = ([x] for x in thin(np.concatenate(left), np.concatenate(right)))
+                held = len(left[0])
         alo, ahi, blo, bhi, diff, own = (x[~single] for x in (alo, ahi, blo, bhi, diff, own))
         if not len(alo) or bit < 0:
             continue
@@ -183,16 +190,22 @@ def _pairs_within(keys: DataFrame, group: list[str], budget: int, forests: int)
     def links(r: int, key: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
         key, first = np.unique(key.view(np.uint64), return_index=True)
         node = node[first]
-        left, right = walk(key, turns[r % len(turns)][1], budget)
-        length, found = np.bitwise_count(key[left] ^ key[right]), []
-        for _ in range(forests):
-            at = forest(len(key), left, right, length)
-            found.append(np.stack([node[left[at]], node[right[at]]]))
-            left, right, length = (np.delete(x, at) for x in (left, right, length))
-            if not len(left):
-                break
-        a, b = np.concatenate(found, 1)
-        return record_batch([a, b], schema) if len(a) else None
+
+        def thin(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """So many forests of the pairs; those of a part of all pairs hold all that forests of all of them need."""
+            rest, chosen = np.arange(len(left)), []
+            length = np.bitwise_count(key[left] ^ key[right])
+            for _ in range(forests):
+                at = forest(len(key), left[rest], right[rest], length[rest])
+                chosen.append(rest[at])
+                rest = np.delete(rest, at)
+                if not len(rest):
+                    break
+            at = np.concatenate(chosen)
+            return left[at], right[at]
+
+        left, right = thin(*walk(key, turns[r % len(turns)][1], budget, thin))
+        return record_batch([node[left], node[right]], schema) if len(left) else None
 
     def by_turn(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         turn, key, node = (rows.column(x).to_numpy() for x in ("r", "key", "node"))

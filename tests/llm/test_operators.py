@@ -106,6 +106,26 @@ def test_walk_is_exact():
         assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
 
 
+def test_walk_thins_to_what_all_pairs_need(monkeypatch):
+    rng = np.random.default_rng(5)
+    keys = np.full(400, np.uint64(0x0123456789ABCDEF))
+    for _ in range(3):
+        keys = keys ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    keys = np.unique(keys)
+    length = lambda left, right: np.bitwise_count(keys[left] ^ keys[right])
+
+    def thin(left, right):
+        at = simhash.forest(len(keys), left, right, length(left, right))
+        return left[at], right[at]
+
+    everything = simhash.walk(keys, 0, 4)
+    monkeypatch.setattr(simhash, "PAIRS", 500)
+    few = simhash.walk(keys, 0, 4, thin)
+    assert len(few[0]) < len(everything[0]) / 2
+    want, got = thin(*everything), thin(*few)
+    assert len(got[0]) == len(want[0]) and length(*got).sum() == length(*want).sum()
+
+
 @pytest.mark.parametrize("limit", [50_000, 12])
 def test_links_connect_what_brute_force_does(spark, limit):
     rng = np.random.default_rng(2)
