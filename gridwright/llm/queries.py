@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import chunk_dedup, decontaminate, html_template, mixing, nbsvm, quality_rules, simhash, suffix_dedup, token_counts, url_graph
+from gridwright.llm import chunk_dedup, decontaminate, html_template, lexical_search, mixing, nbsvm, packing, quality_rules, resampling, simhash, suffix_dedup, token_counts, url_graph
 from gridwright.llm.scratch import Scratch
 from gridwright.llm.texts import spread
 
@@ -70,6 +71,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return lexical_search.ranked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document by the benchmark's words, and the rank of those drawn."""
+    return resampling.resampled(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """The pieces of every document in sequences of 2048 tokens (``vocabulary``: another one's path)."""
+    import public_tokenizers
+
+    content = Path(vocabulary or public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    return packing.packed(spread(table(spark, sf_dir, "documents")), content)
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and targets of op8's mix, by source, to the thousandth of a word."""
     sizes = Scratch(spark, "mixing").cut(mixing.measured(table(spark, sf_dir, "documents")))
@@ -82,13 +101,13 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_classifier, op2_simhash_near_dedup, op3_token_counts, op4_decontamination, op5_chunk_dedup, op6_quality_rules, op7_html_template, op8_mixing, op9_url_graph, op10_suffix_dedup)
+    own = (op1_quality_classifier, op2_simhash_near_dedup, op3_token_counts, op4_decontamination, op5_chunk_dedup, op6_quality_rules, op7_html_template, op8_mixing, op9_url_graph, op10_suffix_dedup, op11_lexical_search, op12_importance_resampling, op13_packing)
     parts = (mix_targets, url_rules)  # of op8 and op9, what SQL can tell
     return {f.__name__: f for f in (*own, *parts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6, "op10_suffix_dedup": OP10, "mix_targets": TARGETS, "url_rules": URLS}
+    return {"op6_quality_rules": OP6, "op10_suffix_dedup": OP10, "op11_lexical_search": OP11, "op12_importance_resampling": OP12, "mix_targets": TARGETS, "url_rules": URLS}
 
 
 OP6 = r"""
@@ -146,6 +165,42 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r) LEFT JOIN also USING (r)
 """
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT r, doc_id, ws, len(ws) AS n FROM words WHERE len(ws) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts FROM benchmark),
+qt AS (SELECT q, item_id, unnest(ts) AS term FROM q),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+m AS (SELECT r, doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM d, totals),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM qt JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY q, item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50
+"""
+
+OP12 = rf"""
+WITH steps AS (SELECT list(CAST(c AS UBIGINT) ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(CAST(i AS UBIGINT), [CAST(0 AS UBIGINT) FOR x IN range(8)]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+wanted AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+own AS (SELECT r, unnest(ws) AS w FROM words), other AS (SELECT unnest(ws) AS w FROM wanted),
+bytes AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM own UNION SELECT w FROM other)),
+crc AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST('0x' || substr(h, 2 * i + 1, 2) AS UBIGINT) FOR i IN range(length(h) // 2)]),
+  lambda c, b: xor(t[CAST(xor(c & 255, b) AS BIGINT) + 1], c >> 8)), CAST(4294967295 AS UBIGINT)) % 10000 AS b FROM bytes, steps),
+s AS (SELECT b, count(*) AS s FROM own JOIN crc USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM other JOIN crc USING (w) GROUP BY b),
+a AS (SELECT (SELECT count(*) FROM own) AS s_all, (SELECT count(*) FROM other) AS t_all),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1e0) * (s_all + 10000) / ((s + 1e0) * (t_all + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b), a),
+sums AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM own JOIN crc USING (w) JOIN gain USING (b) GROUP BY r),
+weighed AS (SELECT r, doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM words LEFT JOIN sums USING (r)),
+scored AS (SELECT r, doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296))) AS BIGINT) AS score FROM weighed),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
 TARGETS = r"""
 WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS size FROM documents GROUP BY source),
 w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),

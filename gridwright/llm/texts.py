@@ -49,3 +49,28 @@ def runs(texts: list[bytes | None], most: int = SLICE_BYTES) -> Iterator[tuple[i
 def record_batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     """A batch of ``columns`` (lists, numpy or Arrow arrays) in the order of ``schema``."""
     return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+
+TERM_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
+"""ASCII letters in lower case, digits and all bytes beyond ASCII as they are; any other byte as a space."""
+PIECE = 1 << 20
+
+
+def words(text: bytes) -> list[bytes]:
+    """Maximal runs of ASCII letters and digits and of characters beyond ASCII; A-Z in lower case."""
+    return text.translate(TERM_BYTES).split()
+
+
+def words_in_pieces(text: bytes, most: int = PIECE) -> Iterator[list[bytes]]:
+    """The same in lists of about ``most`` bytes of text each, cut between words."""
+    if len(text) <= most:
+        if found := words(text):
+            yield found
+        return
+    text, at = text.translate(TERM_BYTES), 0
+    while at < len(text):
+        end = text.find(b" ", at + most)
+        end = len(text) if end < 0 else end
+        if found := text[at:end].split():
+            yield found
+        at = end
