@@ -31,6 +31,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,19 +48,14 @@ GRAIN = 32
 GROUP_TOKENS = 500_000
 GROUP_DOCS = 8_192
 """Tokens of parts, and documents, that are divided among windows at once."""
-REMEMBERED = 24 << 20
-"""Bytes of words whose tokens a worker remembers; then it forgets all."""
 TEXT_PIECE = 1 << 20
 
 
 class Tokens:
     """Token ids of texts by a byte-level byte-pair vocabulary, as the ``tokenizers`` library gives them.
 
-    Words (what a space and all up to the next one make) are looked up; new ones
-    go through the library.  No token crosses the place in front of a space that
-    a character other than white space follows, so the words' ids make the text's.
-    Words of Latin letters go through ``tiktoken``, which merges by the same ranks
-    several times as fast, if the vocabulary numbers its merges in their order.
+    Latin texts go through ``tiktoken``, which merges by the same ranks several
+    times as fast, if the vocabulary numbers its merges in their order.
     """
 
     def __init__(self, content: str):
@@ -70,16 +66,19 @@ class Tokens:
         self.library = Tokenizer.from_str(content)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.size = 0
         self.fast = _by_ranks(json.loads(content))
 
+    def ids(self, text: str) -> bytes:
+        """The ids of a text without special strings."""
+        quick = self.fast and _LATIN.fullmatch(text)
+        return array("I", self.fast.encode_ordinary(text) if quick else self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each, lowest first."""
-        return [b"".join([self._piece(x) for x in self._pieces(text)]) for text in texts]
+        return [b"".join([array("I", [self.special[x]]).tobytes() if x in self.special else self.ids(x) for x in self._pieces(text)]) for text in texts]
 
     def _pieces(self, text: str) -> Iterator[str]:
-        """Special strings, and what is between them in pieces that end in front of a space and a character."""
+        """Special strings, and what is between them, in pieces that end in front of a space and a character: no token crosses that place."""
         for part in self.special_at.split(text) if self.special_at else [text]:
             at = 0
             while len(part) - at > TEXT_PIECE:
@@ -91,32 +90,9 @@ class Tokens:
             if at < len(part):
                 yield part[at:]
 
-    def _piece(self, text: str) -> bytes:
-        if text in self.special:
-            return np.array([self.special[text]], "<u4").tobytes()
-        if _UNEVEN.search(text):
-            parts = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *(" " + x for x in rest)]
-        known = self.known
-        new = [x for x in set(parts) if x not in known]
-        if new:
-            if self.size > REMEMBERED:
-                known.clear()
-                self.size, new = 0, list(set(parts))
-            self.size += sum(map(len, new))
-            quick = [x for x in new if self.fast and _LATIN.fullmatch(x)]
-            known.update((x, np.array(self.fast.encode_ordinary(x), "<u4").tobytes()) for x in quick)
-            slow = [x for x in new if x not in known]
-            if slow:
-                known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(slow, self.library.encode_batch(slow, add_special_tokens=False)))
-        return b"".join([known[x] for x in parts])
-
 
 _CUT = re.compile(r"(?= \S)")
-_UNEVEN = re.compile(r" (?:\s|\Z)")
-_LATIN = re.compile("[\x00-\x1b\x20-\x7e¡-ɏ]*")
+_LATIN = re.compile("[\x00-\x1b\x20-\x7e\u00a1-\u024f\u2010-\u2027\u2030-\u205e]*")  # characters that any two libraries tell letters, digits, spaces and others of alike
 
 
 def _by_ranks(model: dict):
