@@ -63,7 +63,8 @@ _BLOCKS = "ids array<bigint>, terms array<binary>, counts array<bigint>, docs ar
 class _Shard:
     """Postings of documents as they come."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.ids: list[int | None] = []
         self.n, self.term, self.doc, self.tf = (array("q") for _ in range(4))
         self.number: dict[bytes, int] = {}
@@ -87,7 +88,7 @@ class _Shard:
             self.n.append(n)
 
     def full(self) -> bool:
-        return len(self.term) >= SHARD or len(self.ids) >= SHARD_DOCS
+        return len(self.term) >= SHARD or len(self.ids) >= self.most
 
     def batch(self) -> pa.RecordBatch:
         term, doc, tf, n = (np.array(x, np.int64) for x in (self.term, self.doc, self.tf, self.n))
@@ -100,18 +101,18 @@ class _Shard:
         return record_batch([[[self.ids[i] for i in by_id]], [n[by_id]], [list(self.number)], [counts], [doc[order]], [tf[order]], [self.n_docs], [self.n_terms]], SHARDS)
 
 
-def postings(docs: DataFrame, only: frozenset[bytes] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def postings(docs: DataFrame, only: frozenset[bytes] | None = None, *, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shards of all documents, with the lists of all terms or of those in ``only``; a map without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(only)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, shard = sent.value, _Shard()
+        wanted, shard = sent.value, _Shard(shard_docs)
         for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard.add(doc_id, text.as_py() or b"", wanted)
                 if shard.full():
                     yield shard.batch()
-                    shard = _Shard()
+                    shard = _Shard(shard_docs)
         if shard.n_docs:
             yield shard.batch()
 
@@ -182,10 +183,10 @@ def impacts(tf: np.ndarray, n: np.ndarray, n_docs: int, n_terms: int) -> np.ndar
     return 1_000_000_000 * tf // (1000 * tf + 20 * m)
 
 
-def build(docs: DataFrame, only: frozenset[bytes] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build(docs: DataFrame, only: frozenset[bytes] | None = None, *, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Index every document; ``only``: lists of these terms alone, for items that are known."""
     scratch = Scratch(docs.sparkSession, "search")
-    raw = scratch.cut(postings(docs, only, id_col=id_col, text_col=text_col))
+    raw = scratch.cut(postings(docs, only, shard_docs=shard_docs, id_col=id_col, text_col=text_col))
     sums = raw.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("d"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("t")).first()
     n_docs, n_terms = int(sums.d), int(sums.t)
     each = raw.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("df"))
