@@ -57,6 +57,21 @@ class Kernel:
             return [w[i, :], w[:, j] // w[i, j]]
         return None
 
+    def low_rank(self, tolerance: float = 1e-14) -> list[list[np.ndarray]]:
+        """Products of lines (x first) whose sum is the weights, as few as singular values allow."""
+        return _products(np.asarray(self.weights, float), tolerance * float(np.abs(self.weights).sum()))
+
+
+def _products(w: np.ndarray, least: float) -> list[list[np.ndarray]]:
+    if w.ndim == 1:
+        return [[w]]
+    u, s, v = np.linalg.svd(w.reshape(len(w), -1), full_matrices=False)
+    out = []
+    for k in range(len(s)):
+        if s[k] > least or not k:
+            out += [[*inner, u[:, k] * s[k]] for inner in _products(v[k].reshape(w.shape[1:]), least)]
+    return out
+
 
 def constant(value, size: Sequence[int], centre: Sequence[int] | None = None) -> Kernel:
     return Kernel.of(np.full(tuple(reversed(size)), value), centre)

@@ -2,7 +2,8 @@
 
 Plans of many rounds grow without bound and are lost with one executor, so a
 grid is written every few rounds into the shared folder that the session's
-``spark.checkpoint.dir`` names.
+``spark.checkpoint.dir`` names.  Rounds that are functions of arrays run several at
+a time on tiles that carry enough cells around them.
 """
 
 from __future__ import annotations
@@ -11,15 +12,18 @@ import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import functions as F
+import numpy as np
 
 from gridwright.errors import GridError
 from gridwright.functions import kernels
 from gridwright.functions.kernels import Kernel
+from gridwright.operators import tiles
 from gridwright.operators.grid import Grid, ieee_div, n_ary
-from gridwright.operators.stencil import convolve, transform_locator
+from gridwright.operators.stencil import convolve
 
 EVERY = 3
+AT_ONCE = 8
+"""Rounds that a tile goes through between shuffles."""
 
 
 def checkpointed(g: Grid) -> Grid:
@@ -42,26 +46,52 @@ def repeated(g: Grid, step: Callable[[Grid], Grid], rounds: int, every: int = EV
     return g
 
 
+def in_blocks(g: Grid, step: Callable[[np.ndarray], np.ndarray], times: int, reach: int = 1, border: str = "repeat", at_once: int = AT_ONCE) -> Grid:
+    """``step`` of the whole grid ``times`` times, ``at_once`` rounds for each shuffle.
+
+    ``step`` makes of an array one that lacks ``reach`` cells at every side.  A tile
+    carries as many cells around it as its rounds use up.
+    """
+    while times:
+        now = min(at_once, times)
+        halo = [now * reach] * g.dimension
+        g = tiles.by_tiles(g, halo, halo, lambda block, tile, now=now: tiles.rounds(block, tile, step, now, reach, border), "zero" if border in ("repeat", "mirror") else border)
+        times -= now
+        if times:
+            g = checkpointed(g)
+    return g
+
+
+def _within(a: np.ndarray, by: int) -> np.ndarray:
+    """The array, if its whole numbers stay such when they grow ``by`` times."""
+    if a.dtype.kind == "i" and a.size and max(-int(a.min()), int(a.max())) > np.iinfo(np.int64).max // by:
+        raise GridError("values leave the range of whole numbers")
+    return a
+
+
 def laplace_iteration(g: Grid, rounds: int, border: str = "repeat") -> Grid:
-    """The Laplacian of the Laplacian and so on."""
-    return repeated(g, lambda x: convolve(x, kernels.laplacian(), border), rounds)
+    """The Laplacian of the Laplacian and so on, of an image."""
+    if border == "none" or g.dimension != 2:
+        return repeated(g, lambda x: convolve(x, kernels.laplacian(), border), rounds)
+
+    def step(a: np.ndarray) -> np.ndarray:
+        _within(a, 8)
+        return a[:-2, 1:-1] + a[1:-1, :-2] - 4 * a[1:-1, 1:-1] + a[1:-1, 2:] + a[2:, 1:-1]
+
+    return in_blocks(g, step, rounds, border=border)
 
 
 def anisotropic_diffusion(g: Grid, rounds: int, kappa: float, gamma: float, border: str = "repeat") -> Grid:
     """Each cell takes from its four neighbours, less across edges: ``sum(exp(-(d / kappa)^2) * d) * gamma``."""
 
-    def step(x: Grid) -> Grid:
-        def flow(at):
-            here = at(0, 0)
-            out = here
-            for dx, dy in ((0, -1), (-1, 0), (1, 0), (0, 1)):
-                d = at(dx, dy) - here
-                out = out + F.exp(-(d / kappa) * (d / kappa)) * d * gamma
-            return out
-
-        return transform_locator(x.with_value(x.value.cast("double")), (1, 1), (1, 1), flow, border).settled()
+    def step(a: np.ndarray) -> np.ndarray:
+        here = out = a[1:-1, 1:-1]
+        for near in (a[:-2, 1:-1], a[1:-1, :-2], a[1:-1, 2:], a[2:, 1:-1]):
+            d = near - here
+            out = out + np.exp(-(d / kappa) * (d / kappa)) * d * gamma
+        return out
 
-    return repeated(g, step, rounds)
+    return in_blocks(g.with_value(g.value.cast("double")), step, rounds, border=border)
 
 
 def richardson_lucy(g: Grid, point_spread: Kernel, rounds: int, border: str = "repeat") -> Grid:

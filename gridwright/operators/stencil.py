@@ -15,17 +15,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from itertools import product
+from math import prod
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.errors import BorderTooWide, GridError
 from gridwright.functions.kernels import Kernel
 from gridwright.functions.shapes import Region
+from gridwright.operators import tiles
 from gridwright.operators.grid import Grid, wide
 from gridwright.operators.index_space import subview
 
 BAND = 4096
+MANY = 64
+"""Weights beyond which a kernel isn't a term for each of them."""
 BORDERS = ("repeat", "mirror", "periodic", "zero", "none")
 
 
@@ -129,7 +134,8 @@ def line_pass(g: Grid, low: int, high: int, border: str, makes: Callable[[Callab
         return F.struct(*(v.alias(k) for k, v in makes(at).items()))
 
     rows = g.lines.select("y", whole.alias("_line")).select("y", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell).alias("_cells"))
-    return rows.select("y", F.posexplode("_cells").alias("x", "_c")).select(F.col("x").cast("bigint").alias("x"), "y", "_c.*")
+    # the outer form: for the inner one a filter of the array's size is inferred, which computes the whole line once for every tap
+    return rows.select("y", F.posexplode_outer("_cells").alias("x", "_c")).select(F.col("x").cast("bigint").alias("x"), "y", "_c.*")
 
 
 def _pass(g: Grid, df: DataFrame, axis: int, low: int, high: int, border: str, makes: Callable) -> DataFrame:
@@ -183,8 +189,21 @@ def convolve_all(g: Grid, kernels: Sequence[Kernel], border: str = "repeat") ->
     return [Grid(df, g.size, F.col(state[i, ()]) if (i, ()) in state else zero) for i in range(len(kernels))]
 
 
+def _times(g: Grid, factor: int) -> Grid:
+    return g.with_value(g.value * F.lit(factor).cast("bigint"))
+
+
 def convolve(g: Grid, kernel: Kernel, border: str = "repeat") -> Grid:
-    """Correlation with a kernel; one that is a product of lines runs line by line."""
+    """Correlation with a kernel; one that is a product of lines runs line by line.
+
+    Beyond :data:`MANY` weights constant ones of whole numbers run by prefix sums, and fractions as :func:`dense` has them.
+    """
+    if border != "none" and kernel.weights.size > MANY:
+        w = kernel.weights
+        if g.is_whole and (w == w.flat[0]).all() and np.issubdtype(w.dtype, np.integer):
+            return _times(boxed(g, kernel.centre, [e - 1 for e in kernel.end], border), w.flat[0].item()) if all(0 <= c < n for c, n in zip(kernel.centre, kernel.size)) else convolve_all(g, [kernel], border)[0]
+        if not (g.is_whole and np.issubdtype(w.dtype, np.integer)):
+            return dense(g, kernel, border)
     factors = kernel.separated() if border != "none" else None
     if factors and all(len(f) > 1 for f in factors):
         return separable(g, [Kernel(f, (c,)) for f, c in zip(factors, kernel.centre)], border)
@@ -248,15 +267,44 @@ def filtered(g: Grid, radius: Sequence[int], f: Callable[[F.Column], F.Column],
 
 def median(g: Grid, radius: Sequence[int], border: str = "repeat") -> Grid:
     """The middle value (surroundings have an odd count)."""
-    return filtered(g, radius, lambda a: F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int")), border)
+    widths = [2 * r + 1 for r in radius]
+    return tiles.by_tiles(g, radius, radius, lambda block, tile: tiles.sliding_rank(block, widths, prod(widths) // 2), border, cells=tiles.CELLS // 2)
 
 
 def eroded(g: Grid, radius: Sequence[int], border: str = "repeat") -> Grid:
-    return filtered(g, radius, F.array_min, border)
+    """The least value around each cell, at a price that doesn't depend on the radius."""
+    return tiles.by_tiles(g, radius, radius, lambda block, tile: tiles.sliding_extreme(block, [2 * r + 1 for r in radius], False), border)
 
 
 def dilated(g: Grid, radius: Sequence[int], border: str = "repeat") -> Grid:
-    return filtered(g, radius, F.array_max, border)
+    """The largest value around each cell."""
+    return tiles.by_tiles(g, radius, radius, lambda block, tile: tiles.sliding_extreme(block, [2 * r + 1 for r in radius], True), border)
+
+
+def boxed(g: Grid, low: Sequence[int], high: Sequence[int], border: str = "repeat") -> Grid:
+    """Sums from ``-low`` to ``high`` around each cell, by prefix sums (of fractions they round as sums of a tile do)."""
+    return tiles.by_tiles(g, low, high, lambda block, tile: tiles.box_sums(block, [a + b + 1 for a, b in zip(low, high)]), border)
+
+
+def dense(g: Grid, kernel: Kernel, border: str = "repeat", lines: int = 64) -> Grid:
+    """Correlation with many weights, as fractions.
+
+    Weights that are a sum of few products of lines (by their singular values) go
+    line by line, up to ``lines`` weights a cell in all; others by the product of
+    spectra of each tile and the weights.
+    """
+    low, high = [max(0, -s) for s in kernel.start], [max(0, e - 1) for e in kernel.end]
+    weights = np.asarray(kernel.weights, float)
+    terms = kernel.low_rank()
+
+    def f(block: np.ndarray, tile: tiles.Tile) -> np.ndarray:
+        # a centre outside of the weights leaves a reach on one side only
+        block = block[tuple(slice(a + s, block.shape[-1 - d] - (b + 1 - e)) for d, (a, b, s, e) in enumerate(zip(low, high, kernel.start, kernel.end)))[::-1]]
+        if sum(len(w) for term in terms for w in term) <= lines:
+            return tiles.correlated(block, terms)
+        return tiles.correlated_by_spectrum(block, weights)
+
+    return tiles.by_tiles(g.with_value(g.value.cast("double")), low, high, f, border)
 
 
 def bordered(g: Grid, region: Region, low: Sequence[int], high: Sequence[int], f: Callable[[Grid], Grid]) -> Grid:

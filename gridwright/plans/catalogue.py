@@ -7,7 +7,8 @@ two engines may round apart are compared as whole millionths (``v`` by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,17 +74,22 @@ _add("s13_clear", lambda s, d: tables.cleared(i.embq(s, d)), _img("0"))
 
 # --- generators ----------------------------------------------------------------------------------------------------
 
-_GRID = "g AS (SELECT a.x, b.y FROM range(40) a(x) CROSS JOIN range(30) b(y))"
-_SIZE = (40, 30)
-_add("g1_constant", lambda s, d: procedural.constant(s, 5, _SIZE), f"WITH {_GRID} SELECT x, y, 5 AS v FROM g")
-_add("g2_unique_id", lambda s, d: procedural.unique_id(s, _SIZE, 100), f"WITH {_GRID} SELECT x, y, 100 + x + 40 * y AS v FROM g")
-_add("g3_checkerboard", lambda s, d: procedural.checkerboard(s, 1, 0, (2, 3), _SIZE), f"WITH {_GRID} SELECT x, y, CASE WHEN (x // 2 + y // 3) % 2 = 1 THEN 1 ELSE 0 END AS v FROM g")
-_add("g3_checkerboard_sum", lambda s, d: r.total(procedural.checkerboard(s, 1, 0, (2, 2), (16, 16))), "SELECT CAST(128 AS BIGINT) AS v")
-_add("g4_sinus", lambda s, d: millionths(procedural.sinus(s, (1.5, 2.0), (2.0, 3.0), (0.1, 0.7), _SIZE)), f"WITH {_GRID} SELECT x, y, {_mq('1.5 * sin(2 * pi() * 2 * x / 40.0 + 0.1) + 2.0 * sin(2 * pi() * 3 * y / 30.0 + 0.7)')} AS v FROM g")
-_add("g5_mesh_grid", lambda s, d: combine.zipped(*procedural.mesh_grid(s, (5, 10), (45, -20))).with_value(F.col("v0") * 1000 + F.col("v1")), f"WITH {_GRID} SELECT x, y, (5 + x) * 1000 + (10 - y) AS v FROM g")
-_add("g6_index", lambda s, d: procedural.index_view(s, _SIZE).with_value(vectors.total(F.array("x", "y"))), f"WITH {_GRID} SELECT x, y, x + y AS v FROM g")
-_add("g7_mandelbrot", lambda s, d: procedural.mandelbrot(s, (60, 40)), "WITH RECURSIVE g AS (SELECT a.x, b.y, -2.0e0 + a.x * (3.0e0 / 60) AS cr, -1.0e0 + b.y * (2.0e0 / 40) AS ci FROM range(60) a(x) CROSS JOIN range(40) b(y)), m AS (SELECT x, y, cr, ci, 0.0e0 AS zr, 0.0e0 AS zi, 0 AS k FROM g UNION ALL SELECT x, y, cr, ci, zr * zr - zi * zi + cr, 2 * zr * zi + ci, k + 1 FROM m WHERE k < 500 AND zr * zr + zi * zi <= 4) SELECT x, y, CAST(max(k) FILTER (WHERE zr * zr + zi * zi <= 4) AS INTEGER) AS v FROM m GROUP BY x, y")
-_add("g8_superposed_boards", lambda s, d: procedural.superposed_boards(s, (81, 81), 4), f"WITH g AS (SELECT a.x, b.y FROM range(81) a(x) CROSS JOIN range(81) b(y)) SELECT x, y, CAST({' + '.join(f'(x // {3**p} + y // {3**p}) % 2' for p in range(4))} AS INTEGER) AS v FROM g")
+
+
+def _shape(s, d) -> tuple[int, int]:
+    """The image's size; what is generated is as large as the table and meets its cells."""
+    return i.WIDTH, i.height(s, d)
+
+
+_add("g1_constant", lambda s, d: i.embq(s, d) * procedural.constant(s, 5, _shape(s, d)), _img("v * 5"))
+_add("g2_unique_id", lambda s, d: i.embq(s, d) + procedural.unique_id(s, _shape(s, d), 100), _img("v + 100 + x + 64 * y"))
+_add("g3_checkerboard", lambda s, d: i.embq(s, d) * procedural.checkerboard(s, 1, 0, (2, 3), _shape(s, d)), _img("v * CASE WHEN (x // 2 + y // 3) % 2 = 1 THEN 1 ELSE 0 END"))
+_add("g3_checkerboard_sum", lambda s, d: r.total(i.embq(s, d) * procedural.checkerboard(s, 1, 0, (2, 2), _shape(s, d))), f"WITH {IMAGE} SELECT CAST(sum(v * ((x // 2 + y // 2) % 2)) AS BIGINT) AS v FROM img")
+_add("g4_sinus", lambda s, d: millionths(i.emb(s, d) + procedural.sinus(s, (1.5, 2.0), (2.0, 3.0), (0.1, 0.7), _shape(s, d))), _img(_mq("v + 1.5 * sin(2 * pi() * 2 * x / 64.0 + 0.1) + 2.0 * sin(2 * pi() * 3 * y / n.n + 0.7)"), DOUBLES))
+_add("g5_mesh_grid", lambda s, d: (lambda n: combine.n_ary(lambda a, b, v: a * 1000 + b - v, *procedural.mesh_grid(s, (5, 10), (69, 10 - n)), i.embq(s, d)))(i.height(s, d)), _img("(5 + x) * 1000 + (10 - y) - v"))
+_add("g6_index", lambda s, d: combine.n_ary(lambda at, v: vectors.total(at) * v, procedural.index_view(s, _shape(s, d)), i.embq(s, d)), _img("(x + y) * v"))
+_add("g7_mandelbrot", lambda s, d: i.embq(s, d) + procedural.mandelbrot(s, _shape(s, d), most=60), f"WITH RECURSIVE {IMAGE}, {COUNT}, g AS (SELECT x, y, -2.0e0 + x * (3.0e0 / 64) AS cr, -1.0e0 + y * (2.0e0 / n) AS ci FROM img, n), m AS (SELECT x, y, cr, ci, 0.0e0 AS zr, 0.0e0 AS zi, 0 AS k FROM g UNION ALL SELECT x, y, cr, ci, zr * zr - zi * zi + cr, 2 * zr * zi + ci, k + 1 FROM m WHERE k < 60 AND zr * zr + zi * zi <= 4), c AS (SELECT x, y, max(k) FILTER (WHERE zr * zr + zi * zi <= 4) AS k FROM m GROUP BY x, y) SELECT x, y, CAST(v + k AS BIGINT) AS v FROM img JOIN c USING (x, y)")
+_add("g8_superposed_boards", lambda s, d: i.embq(s, d) + procedural.superposed_boards(s, _shape(s, d), 4), _img(f"CAST(v + {' + '.join(f'(x // {3**p} + y // {3**p}) % 2' for p in range(4))} AS BIGINT)"))
 
 # --- element-wise --------------------------------------------------------------------------------------------------
 
@@ -139,12 +145,12 @@ _add("b10_cross_power_spectrum", lambda s, d: (lambda g: (lambda p: millionths(p
 # --- index space ---------------------------------------------------------------------------------------------------
 
 _add("i1_subview", lambda s, d: index_space.subview(i.embq(s, d), (10, 100), (20, 300)), _img("v", tail="WHERE x BETWEEN 10 AND 29 AND y BETWEEN 100 AND 399").replace("SELECT x, y, v AS v", "SELECT x - 10 AS x, y - 100 AS y, v"))
-_add("i1_subview_computed", lambda s, d: index_space.subview(procedural.unique_id(s, (1 << 20, 1 << 20)), (1000, 2000), (8, 4)), "SELECT a.x, b.y, (1000 + a.x) + 1048576 * (2000 + b.y) AS v FROM range(8) a(x) CROSS JOIN range(4) b(y)")
+_add("i1_subview_computed", lambda s, d: i.embq(s, d) + index_space.subview(procedural.unique_id(s, (1 << 20, 1 << 20)), (1000, 2000), _shape(s, d)), _img("v + (1000 + x) + 1048576 * (2000 + y)"))
 _add("i3_slice_y", lambda s, d: index_space.sliced(i.embq(s, d), 1, 7), f"WITH {IMAGE} SELECT x, v FROM img WHERE y = 7")
 _add("i3_slice_volume", lambda s, d: index_space.sliced(i.shipped(s, d), 0, 3), f"WITH {SHIPPED} SELECT y AS x, z AS y, v FROM img WHERE x = 3")
 _add("i4_array_subview", lambda s, d: index_space.array_subview(index_space.sliced(i.embq(s, d), 0, 5), 50, 90), f"WITH {IMAGE} SELECT y - 50 AS x, v FROM img WHERE x = 5 AND y >= 50 AND y < 90")
 _add("i5_mirror", lambda s, d: index_space.mirrored(i.embq(s, d), (True, True)), _img("v").replace("SELECT x, y, v AS v", "SELECT 63 - x AS x, n.n - 1 - y AS y, v"))
-_add("i5_mirror_pair_sum", lambda s, d: (lambda b: combine.add(b, index_space.mirrored(b, (True, False))))(procedural.checkerboard(s, 4, 0, (2, 2), (16, 16))), "SELECT a.x, b.y, CAST(4 AS BIGINT) AS v FROM range(16) a(x) CROSS JOIN range(16) b(y)")
+_add("i5_mirror_pair_sum", lambda s, d: (lambda b: combine.add(b, index_space.mirrored(b, (True, False))))(combine.multiply(i.embq(s, d), procedural.checkerboard(s, 4, 0, (2, 2), _shape(s, d)))), _img("4 * (a.v * ((a.x // 2 + a.y // 2) % 2) + b.v * ((b.x // 2 + b.y // 2) % 2))").replace("SELECT x, y,", "SELECT a.x, a.y,").replace("FROM img, n", "FROM img a JOIN img b ON b.y = a.y AND b.x = 63 - a.x"))
 _add("i6_padded", lambda s, d: index_space.padded(i.embq(s, d), (100, i.height(s, d) + 50), (-30, 20), -1), f"WITH {IMAGE}, {COUNT}, g AS (SELECT a.x, b.y FROM range(100) a(x) CROSS JOIN (SELECT unnest(range(n + 50)) AS y FROM n) b) SELECT g.x, g.y, coalesce(img.v, -1) AS v FROM g CROSS JOIN n LEFT JOIN img ON img.x = (g.x + 30) % 100 AND img.y = (g.y - 20 + n.n + 50) % (n.n + 50)")
 _add("i7_swizzle", lambda s, d: index_space.swizzled(i.shipped(s, d), (2, 0, 1)), f"WITH {SHIPPED} SELECT z AS x, x AS y, y AS z, v FROM img")
 _add("i11_stack", lambda s, d: index_space.stack_slice(i.shipped(s, d), 2), f"WITH {SHIPPED} SELECT x, y, v FROM img WHERE z = 2")
@@ -211,6 +217,31 @@ _NINE = [(x, y, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)]
 _add("m7_median", lambda s, d: stencil.median(i.embq(s, d), (1, 1)), _conv_sql(_NINE, what="CAST(quantile_disc(b.v, 0.5) AS BIGINT)"))
 _add("m7_erosion", lambda s, d: stencil.eroded(i.embq(s, d), (1, 1)), _conv_sql(_NINE, what="min(b.v)"))
 _add("m7_dilation", lambda s, d: stencil.dilated(i.embq(s, d), (2, 0), "mirror"), _conv_sql([(x, 0, 1) for x in range(-2, 3)], "mirror", what="max(b.v)"))
+
+
+
+def _edged(v: str, axis: str, other: str, low: int, high: int, n: str, f: str) -> str:
+    """A window function over cells along an axis; sums count the outermost cells for those that lie outside."""
+    frame = f"OVER (PARTITION BY {other} ORDER BY {axis} ROWS BETWEEN {low} PRECEDING AND {high} FOLLOWING)"
+    if f != "sum":
+        return f"{f}({v}) {frame}"
+    line = f"OVER (PARTITION BY {other} ORDER BY {axis} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"sum({v}) {frame} + greatest(0, {low} - {axis}) * first_value({v}) {line} + greatest(0, {axis} + {high} - {n} + 1) * last_value({v}) {line}"
+
+
+def _window_sql(f: str, low: tuple[int, int], high: tuple[int, int], factor: int = 1) -> str:
+    return f"WITH {IMAGE}, {COUNT}, p AS (SELECT x, y, {_edged('v', 'x', 'y', low[0], high[0], '64', f)} AS v FROM img) SELECT x, y, CAST({factor} * ({_edged('v', 'y', 'x', low[1], high[1], '(SELECT n FROM n)', f)}) AS BIGINT) AS v FROM p"
+
+
+_add("m7_erosion_wide", lambda s, d: stencil.eroded(i.embq(s, d), (25, 25)), _window_sql("min", (25, 25), (25, 25)))
+_add("m7_dilation_wide", lambda s, d: stencil.dilated(i.embq(s, d), (25, 40)), _window_sql("max", (25, 40), (25, 40)))
+_add("m7_median_wide", lambda s, d: stencil.median(i.embq(s, d), (4, 4), "mirror"), _conv_sql([(x, y, 1) for x in range(-4, 5) for y in range(-4, 5)], "mirror", what="CAST(quantile_disc(b.v, 0.5) AS BIGINT)"))
+_add("n6_box_wide", lambda s, d: stencil.convolve(i.embq(s, d), k.constant(3, (101, 102), (50, 60))), _window_sql("sum", (50, 60), (50, 41), 3))
+_DENSE = k.Kernel.of([[math.exp(-(x * x + 2 * y * y) / 90) * (1 + 0.1 * x * y) for x in range(-7, 8)] for y in range(-7, 8)])
+_ROUGH = k.Kernel.of([[((x * 7 + y * 13 + x * y) % 17 - 8) / 16 for x in range(11)] for y in range(9)], (3, 4))
+_WEIGHED = "CAST(floor(sum(b.v * CAST(t.w AS DOUBLE)) * 1e6 + 0.5) AS BIGINT)"
+_add("n3_dense_low_rank", lambda s, d: millionths(stencil.convolve(i.emb(s, d), _DENSE, "zero")), _conv_sql([(x, y, repr(w)) for x, y, w in _taps(_DENSE)], "zero", DOUBLES, _WEIGHED))
+_add("n3_dense_by_spectrum", lambda s, d: millionths(stencil.convolve(i.emb(s, d), _ROUGH, "zero")), _conv_sql([(x, y, repr(w)) for x, y, w in _taps(_ROUGH)], "zero", DOUBLES, _WEIGHED))
 _add(
     "m6_transform_locator",
     lambda s, d: stencil.transform_locator(i.embq(s, d), (1, 1), (1, 1), lambda at: F.greatest(at(1, 0) - at(-1, 0), at(0, 1) - at(0, -1)), "zero"),
@@ -244,6 +275,7 @@ def _laplace_sql(rounds: int) -> str:
     return out + f" SELECT x, y, v FROM {last}"
 
 
+_add("n19_laplace_many_rounds", lambda s, d: iterative.laplace_iteration(i.embq(s, d), 12), _laplace_sql(12))
 _add("n19_laplace_iteration", lambda s, d: iterative.laplace_iteration(i.embq(s, d), 3), _laplace_sql(3))
 
 
@@ -353,6 +385,42 @@ _add(
     SELECT x, y, {_mq('sum(w)')} AS v FROM q GROUP BY x, y""",
 )
 
+_VIEW = render.Camera(corner=(-3.0, -2.0, -4.0), across=(0.5, 0.0, 0.25), down=(0.0, 0.75, 0.0), direction=(0.5, 0.25, 1.0))
+_RAYS = (24, 20, 80)
+
+
+def _colours(v):
+    return [v / 4000, 1 - v / 4000, F.sqrt(F.abs(v)) / 100], F.least(v / 40000, F.lit(0.9))
+
+
+def _eyed(camera: render.Camera, channels: Sequence[str] = ("v / 4000", "1 - v / 4000", "sqrt(abs(v)) / 100"), opacity: str = "least(v / 40000, 0.9e0)") -> str:
+    """Samples of all rays, eight cells each, blended by running products of what each lets through."""
+    at = [f"({c}e0 + x * {a}e0 + y * {b}e0)" for c, a, b in zip(camera.corner, camera.across, camera.down)]
+    away = [f"({p} - {e}e0)" for p, e in zip(at, camera.eye)] if camera.eye else [f"{d}e0" for d in camera.direction]
+    size = "sqrt(" + " + ".join(f"{a} * {a}" for a in away) + ")"
+    position = ", ".join(f"{p} + z * 0.25e0 * ({a} / {size}) AS p{c}" for p, a, c in zip(at, away, "xyz"))
+    inside = " AND ".join(f"p{c} >= 0 AND p{c} <= {n - 1}" for c, n in zip("xyz", (7, 12, 7)))
+    weight = " * ".join(f"CASE WHEN o{c} = 1 THEN p{c} - floor(p{c}) ELSE 1 - (p{c} - floor(p{c})) END" for c in "xyz")
+    cells = " AND ".join(f"g.{c} = CAST(floor(p.p{c}) AS BIGINT) + o{c}" for c in "xyz")
+    names = [f"c{i}" for i in range(len(channels))]
+    return f"""WITH {SHIPPED}, r AS (SELECT a.x, b.y, c.z FROM range({_RAYS[0]}) a(x) CROSS JOIN range({_RAYS[1]}) b(y) CROSS JOIN range({_RAYS[2]}) c(z)),
+    p AS (SELECT * FROM (SELECT x, y, z, {position} FROM r) WHERE {inside}),
+    s AS (SELECT p.x, p.y, p.z, sum(coalesce(g.v, 0) * {weight}) AS v FROM p CROSS JOIN (SELECT a.o AS ox, b.o AS oy, c.o AS oz FROM range(2) a(o) CROSS JOIN range(2) b(o) CROSS JOIN range(2) c(o)) LEFT JOIN img g ON {cells} GROUP BY p.x, p.y, p.z),
+    t AS (SELECT x, y, {', '.join(f'{c} AS {n}' for c, n in zip(channels, names))}, {opacity} AS a, exp(coalesce(sum(ln(1 - {opacity})) OVER (PARTITION BY x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS l FROM s),
+    u AS (SELECT x, y, {', '.join(f'sum({n} * a * l) AS {n}' for n in names)}, exp(sum(ln(1 - a))) AS light FROM t GROUP BY x, y)
+    SELECT q.x, q.y, {', '.join(f"{_mq(f'coalesce({n}, 0)')} AS {n}" for n in names)}, {_mq('coalesce(light, 1)')} AS light FROM (SELECT DISTINCT x, y FROM r) q LEFT JOIN u USING (x, y)"""
+
+
+def _seen(s, d, camera):
+    img = render.viewed(i.shipped(s, d), camera, _RAYS[:2], _RAYS[2], 0.25, _colours)
+    whole = lambda c: F.floor(F.col(c) * 1e6 + 0.5).cast("bigint")
+    return img.select("x", "y", *(whole(c).alias(c) for c in ("c0", "c1", "c2")), whole("left").alias("light"))
+
+
+_EYE = render.Camera(corner=(-2.0, 1.0, -3.0), across=(0.5, 0.0, 0.0), down=(0.0, 0.5, 0.125), eye=(3.25, 5.5, -14.0))
+_add("x12_view_along_a_slant", lambda s, d: _seen(s, d, _VIEW), _eyed(_VIEW))
+_add("x12_view_from_a_point", lambda s, d: _seen(s, d, _EYE), _eyed(_EYE))
+
 # --- frequency domain ----------------------------------------------------------------------------------------------
 
 _DFT = f"WITH {DOUBLES}, f AS (SELECT k.x AS x, img.y AS y, sum(img.v * cos(2 * pi() * k.x * img.x / 64)) AS re, -sum(img.v * sin(2 * pi() * k.x * img.x / 64)) AS im FROM img CROSS JOIN range(33) k(x) GROUP BY k.x, img.y)"
@@ -375,6 +443,45 @@ def _long_round_trip(s, d):
     return back.settled().df.select((F.col("x") % 64).alias("x"), F.expr("x div 64").alias("y"), "v")
 
 
+
+
+def _padded_signal(s, d, n):
+    """The image's rows as one signal, with zeros up to ``n`` cells."""
+    g = i.emb(s, d)
+    held = g.settled().df.select((F.col("x") + 64 * F.col("y")).alias("x"), "v")
+    rest = s.range(64 * g.size[1], n).select(F.col("id").alias("x"), F.lit(0.0).alias("v"))
+    return Grid(held.unionByName(rest), (n,))
+
+
+def _prime(n: int) -> int:
+    while any(n % p == 0 for p in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def _prime_round_trip(s, d):
+    """A signal of a prime number of cells through a transform by chirps and back."""
+    n = _prime(64 * i.height(s, d))
+    back = millionths(fourier.inverse_normalized(fourier.forward(_padded_signal(s, d, n)), n)).settled().df
+    return back.select((F.col("x") % 64).alias("x"), F.expr("x div 64").alias("y"), "v")
+
+
+def _tall_round_trip(s, d):
+    """The image in eight columns through a transform of both axes, the tall one split, and back."""
+    n = 8 * i.height(s, d)
+    g = millionths(fourier.inverse_normalized(fourier.forward(index_space.reshaped(i.emb(s, d), (8, n))), 8))
+    at = F.col("x") + 8 * F.col("y")
+    return g.settled().df.select((at % 64).alias("x"), F.expr("(x + 8 * y) div 64").alias("y"), "v")
+
+
+_add("f1_tall_round_trip", _tall_round_trip, _img(_mq("v"), DOUBLES))
+_add("f1_prime_length_round_trip", _prime_round_trip, f"WITH {DOUBLES}, {COUNT} SELECT x, y, {_mq('v')} AS v FROM img UNION ALL SELECT k % 64 AS x, k // 64 AS y, CAST(0 AS BIGINT) AS v FROM (SELECT unnest(range(64 * n, p)) AS k FROM (SELECT n, (SELECT min(64 * n + c) FROM range(1000) r(c) WHERE NOT EXISTS (SELECT 1 FROM range(2, 100000) q(f) WHERE f * f <= 64 * n + c AND (64 * n + c) % f = 0)) AS p FROM n))")
+_add(
+    "f1_column_transform",
+    lambda s, d: _parts(fourier.forward(i.emb(s, d), stack=(0,))),
+    f"""WITH {DOUBLES}, {COUNT} SELECT img.x, k.y, {_tq('sum(img.v * cos(2 * pi() * ((k.y * img.y) % n) / n))')} AS re, {_tq('-sum(img.v * sin(2 * pi() * ((k.y * img.y) % n) / n))')} AS im
+    FROM img, n, (SELECT unnest(range(n // 2 + 1)) AS y FROM n) k GROUP BY img.x, k.y""",
+)
 _add("f1_row_transform", lambda s, d: _parts(fourier.forward(i.emb(s, d), stack=(1,))), f"{_DFT} SELECT x, y, {_tq('re')} AS re, {_tq('im')} AS im FROM f")
 _add("f1_round_trip", lambda s, d: (lambda g: millionths(fourier.inverse_normalized(fourier.forward(g), g.size[0])))(i.emb(s, d)), _img(_mq("v"), DOUBLES))
 _add("f1_long_signal_round_trip", _long_round_trip, _img(_mq("v"), DOUBLES))
