@@ -8,8 +8,6 @@ a time on tiles that carry enough cells around them.
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -20,6 +18,7 @@ from gridwright.functions.kernels import Kernel
 from gridwright.operators import tiles
 from gridwright.operators.grid import Grid, ieee_div, n_ary
 from gridwright.operators.stencil import convolve
+from gridwright.sources.shared import shared_folder
 
 EVERY = 3
 AT_ONCE = 8
@@ -28,12 +27,7 @@ AT_ONCE = 8
 
 def checkpointed(g: Grid) -> Grid:
     """Evaluate and cut the lineage; the copy lies in the checkpoint folder."""
-    spark = g.df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
-            raise GridError("spark.checkpoint.dir must name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridwright-"))
+    shared_folder(g.df.sparkSession)
     return Grid(g.cells.checkpoint(), g.size)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
@@ -93,3 +93,53 @@ def product_columns(a: F.Column, b: F.Column) -> F.Column:
     w, x, y, z = (lambda q: [q[k] for k in "wxyz"])(a)
     p, q, r, s = (lambda q: [q[k] for k in "wxyz"])(b)
     return F.struct((w * p - x * q - y * r - z * s).alias("w"), (w * q + x * p + y * s - z * r).alias("x"), (w * r - x * s + y * p + z * q).alias("y"), (w * s + x * r - y * q + z * p).alias("z"))
+
+
+def column(w: F.Column, x: F.Column, y: F.Column, z: F.Column) -> F.Column:
+    """A quaternion column."""
+    return F.struct(*(c.cast("double").alias(k) for c, k in zip((w, x, y, z), "wxyz")))
+
+
+def conjugate_column(q: F.Column) -> F.Column:
+    return column(q["w"], -q["x"], -q["y"], -q["z"])
+
+
+def once(value: F.Column, f: Callable[[F.Column], F.Column]) -> F.Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def inverse_column(q: F.Column) -> F.Column:
+    """The inverse; null of zero, which has none."""
+
+    def over(s: F.Column) -> F.Column:
+        q, n = s["q"], s["n"]
+        return F.when(n > 0, column(*(c / F.when(n > 0, n) for c in (q["w"], -q["x"], -q["y"], -q["z"]))))
+
+    squared = once(q, lambda q: F.struct(q.alias("q"), (q["w"] * q["w"] + q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"]).alias("n")))
+    return once(squared, over)
+
+
+def between_columns(a: Sequence[F.Column], b: Sequence[F.Column]) -> F.Column:
+    """The shortest rotation from three columns to three others; null of opposite and zero vectors, which have none."""
+    dot = lambda v, w: v[0] * w[0] + v[1] * w[1] + v[2] * w[2]
+    cross = (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    parts = F.struct(*(c.alias(k) for c, k in zip(cross, "xyz")), dot(a, b).alias("dot"), F.sqrt(dot(a, a) * dot(b, b)).alias("both"))
+
+    def unit(q: F.Column) -> F.Column:
+        size = F.sqrt(q["w"] * q["w"] + q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
+        return once(F.when(size > 0, size), lambda n: column(*(q[k] / n for k in "wxyz")))
+
+    def whole(p: F.Column) -> F.Column:
+        w = p["dot"] + p["both"]
+        return F.when(w > 1e-12 * p["both"], once(column(w, p["x"], p["y"], p["z"]), unit))
+
+    return once(parts, whole)
+
+
+def rotated_by_column(q: F.Column, v: Sequence[F.Column]) -> F.Column:
+    """``struct<x, y, z>`` of three columns rotated by a quaternion column, of any length."""
+    vector = column(F.lit(0.0), *v)
+    pair = F.struct(q.alias("q"), inverse_column(q).alias("back"))
+    turned = once(pair, lambda s: once(product_columns(s["q"], vector), lambda p: product_columns(p, s["back"])))
+    return once(turned, lambda t: F.struct(*(t[k].alias(k) for k in "xyz")))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.operators import tiles
 from gridwright.operators.grid import Grid, aligned, wide
 
 # name: aggregate of a column, and how the initial value joins its result
@@ -60,6 +63,39 @@ def reduce_by(g: Grid, partial: Callable, final: Callable, kind: str) -> DataFra
     return g.df.select(g.value.alias("v")).mapInPandas(some, f"v {kind}").repartition(1).mapInPandas(all_, f"v {kind}")
 
 
+def reduce_along(g: Grid, axis: int, f: Callable[[np.ndarray, int], np.ndarray], cells: int = tiles.CELLS) -> Grid:
+    """The grid without ``axis``, along which an associative operator has joined the cells in their order.
+
+    ``f`` joins an array's values along a numpy axis (``np.gcd.reduce`` is one); it
+    needn't commute.  Tiles are joined first, then their results, level by level,
+    so no task holds a whole line.  Whole numbers are int64, others float64.
+    """
+    dims, kind = g.dims, "bigint" if g.is_whole else "double"
+    schema = pa.schema([*((d, pa.int64()) for d in dims), ("v", pa.int64() if g.is_whole else pa.float64())])
+    at, none = len(dims) - 1 - axis, [0] * len(dims)
+
+    def joined(size: Sequence[int], side: Sequence[int]) -> Callable[[pa.Table], pa.Table]:
+        def apply(table: pa.Table) -> pa.Table:
+            origin = [int(table.column(f"_t{d}")[0].as_py()) * t for d, t in zip(dims, side)]
+            tile = tiles.Tile(origin, [min(t, n - o) for t, n, o in zip(side, size, origin)], size, none, none)
+            out = np.expand_dims(f(tiles.filled(table, tile, dims), at), at)
+            where = np.indices(out.shape).reshape(len(dims), -1)[::-1]
+            places = [w + (o // t if d == axis else o) for d, (w, o, t) in enumerate(zip(where, origin, side))]
+            return pa.table([*map(pa.array, places), pa.array(out.reshape(-1))], schema=schema)
+
+        return apply
+
+    while True:
+        size, side = g.size, tiles.tile_size(g.size, cells)
+        if side[axis] == 1 < size[axis]:  # narrow tiles would join nothing
+            side = tuple(max(2, min(s, cells)) if d == axis else 1 for d, s in enumerate(size))
+        rows = tiles.spread(g, none, none, side, "none").groupBy(*(f"_t{d}" for d in dims)).applyInArrow(joined(size, side), ", ".join([*(f"{d} bigint" for d in dims), f"v {kind}"]))
+        g = Grid(rows, [-(-s // t) if d == axis else s for d, (s, t) in enumerate(zip(size, side))])
+        if g.size[axis] == 1:
+            rest = [d for i, d in enumerate(dims) if i != axis]
+            return Grid(rows.select(*(F.col(d).alias(n) for d, n in zip(rest, dims)), "v"), [s for i, s in enumerate(size) if i != axis])
+
+
 def total(g: Grid, initial=0) -> DataFrame:
     return reduce(g, "sum", initial)
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from itertools import product
-from math import prod
+from math import floor, prod
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -242,17 +242,24 @@ def _zeroed(g: Grid, low: Sequence[int], high: Sequence[int]) -> Grid:
 
 
 def transform_locator(g: Grid, low: Sequence[int], high: Sequence[int], f: Callable[[Callable[..., F.Column]], F.Column], border: str = "repeat") -> Grid:
-    """``f`` of each cell's locator: ``at(dx[, dy[, dz]])`` is the cell at that offset."""
+    """``f`` of each cell's locator: ``at(dx[, dy[, dz]])`` is the cell at that offset, between cells by linear interpolation."""
     around = neighbourhood(g, low, high, border)
 
-    def at(*offset: int) -> F.Column:
+    def whole(offset: Sequence[int]) -> F.Column:
         i, stride = 0, 1
         for o, a, b in zip(offset, low, high):
             if not -a <= o <= b:
-                raise GridError(f"offset {offset} is beyond the reach")
+                raise GridError(f"offset {tuple(offset)} is beyond the reach")
             i, stride = i + (o + a) * stride, stride * (a + b + 1)
         return around.value[i]
 
+    def at(*offset: float) -> F.Column:
+        if all(o == int(o) for o in offset):
+            return whole([int(o) for o in offset])
+        ends = [[(floor(o), 1 - (o - floor(o))), (floor(o) + 1, o - floor(o))] for o in offset]
+        terms = [(whole([o for o, _ in near]), prod(w for _, w in near)) for near in product(*ends) if all(w for _, w in near)]
+        return _sum([c * F.lit(w) for c, w in terms])
+
     return around.with_value(f(at))
 
 

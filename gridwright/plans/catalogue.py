@@ -8,21 +8,25 @@ two engines may round apart are compared as whole millionths (``v`` by
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions import kernels as k
-from gridwright.functions.shapes import Region
-from gridwright.operators import combine, complexes, fourier, index_space, interpolate, iterative, render, stencil, vectors
+from gridwright.functions.shapes import Region, coordinate_columns, largest_batch
+from gridwright.operators import combine, complexes, fourier, index_space, interpolate, iterative, quaternion, render, stencil, vectors
 from gridwright.operators import elementwise as e
 from gridwright.operators import reduce as r
 from gridwright.operators.grid import Grid
 from gridwright.operators.quaternion import Quaternion, rotate_columns
 from gridwright.plans import inputs as i
 from gridwright.plans.inputs import COUNT, DOUBLES, HOURS, IMAGE, PAIRS, SHIPPED, VECTORS
-from gridwright.sources import procedural, raw, tables
+from gridwright.sources import png, procedural, raw, tables
+from gridwright.sources.shared import shared_folder
 
 FLAGSHIP = "emb_sobel_energy"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +69,61 @@ def oracle_sql() -> dict[str, str]:
 _add("s4_rows_as_image", i.embq, _img("v"))
 _add("s1_s2_slab_round_trip", lambda s, d: raw.from_slabs(raw.slabs(i.embq(s, d), "32S", 10_000), "32S", (64, i.height(s, d)), 10_000), _img("v"))
 _add("s12_volume_slab_round_trip", lambda s, d: raw.from_slabs(raw.slabs(i.shipped(s, d), "64D", 50), "64D", (7, 12, 7), 50).with_value(F.col("v").cast("bigint")), f"WITH {SHIPPED} SELECT x, y, z, v FROM img")
+
+
+def _new_path(s) -> str:
+    """A place for a file of a run, in the folder that all machines share."""
+    return f"{shared_folder(s)}/files-{uuid.uuid4().hex}"
+
+
+def _folder(s) -> str:
+    path = _new_path(s).removeprefix("file:")
+    os.makedirs(path)
+    return path
+
+
+def _raw_file(s, d):
+    """The image as one raw file that tasks write and read by ranges."""
+    return raw.load(s, raw.dump(i.embq(s, d), f"{_folder(s)}/image", "32S", 10_000))
+
+
+def _raw_channels(s, d):
+    """Pairs of elements as a file of two channels, into a given shape."""
+    pairs = i.emb_pairs(s, d)
+    g = pairs.with_value(F.array(*(F.floor(pairs.value[c] * 1000).cast("bigint") for c in ("re", "im"))))
+    path = raw.dump(g, f"{_folder(s)}/pairs", "16S", 7_000)
+    again = raw.load(s, path, "16S", g.size, 2)
+    return again.with_value(again.value[0] * 100_000 + again.value[1])
+
+
+def _png(s, d):
+    path = f"{_folder(s)}/image.png"
+    g = i.embq(s, d)
+    png.write(g.with_value(F.pmod(g.value, F.lit(65536))), path, 16)
+    return png.read(s, path)
+
+
+def _text_rows(s, d):
+    """The image as lines of numbers, read as a table again."""
+    path = _new_path(s)
+    i.table(s, d, "embeddings").select(F.concat_ws("  ", F.lit("").alias("e"), F.col("vec_id").cast("string"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("string"))).alias("t")).write.text(path)
+    rows = tables.read_numbers(s, path).select(F.col("values")[0].cast("bigint").alias("y"), F.posexplode(F.slice("values", 2, 64)).alias("x", "v"))
+    return rows.select(F.col("x").cast("bigint").alias("x"), "y", F.col("v").cast("bigint").alias("v"))
+
+
+def _random_access(s, d):
+    """Of every row the cell under its number, by the written index."""
+    g = i.embq(s, d)
+    index = tables.Indexed.write(g, _new_path(s), 5_000)
+    asked = i.table(s, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("y"), (F.col("vec_id") * 64 + F.col("vec_id") % 64).cast("bigint").alias("i"))
+    return index.of(asked).select("y", "v")
+
+
+_add("s1_raw_file", _raw_file, _img("v"))
+_add("s3_raw_channels", _raw_channels, f"WITH {PAIRS} SELECT x, y, CAST(floor(re * 1000) * 100000 + floor(im * 1000) AS BIGINT) AS v FROM img")
+_add("s9_png", _png, _img("((v % 65536) + 65536) % 65536"))
+_add("s10_text_table", _text_rows, _img("v"))
+_add("i14_random_access", _random_access, f"WITH {IMAGE} SELECT y, v FROM img WHERE x = y % 64")
 _add("s5_sparse_made_dense", i.hours, f"WITH {HOURS} SELECT x, y, z, v FROM img")
 _add("s5_lineitem_volume", i.shipped, f"WITH {SHIPPED} SELECT x, y, z, v FROM img")
 _add("s8_max_range", lambda s, d: r.max_range_converted(i.emb(s, d), 0, 255), f"WITH {DOUBLES}, m AS (SELECT min(v) lo, max(v) hi FROM img) SELECT x, y, CAST(trunc((v - lo) * (255.0 / (hi - lo)) + 0) AS BIGINT) AS v FROM img, m")
@@ -156,6 +215,9 @@ _add("i7_swizzle", lambda s, d: index_space.swizzled(i.shipped(s, d), (2, 0, 1))
 _add("i11_stack", lambda s, d: index_space.stack_slice(i.shipped(s, d), 2), f"WITH {SHIPPED} SELECT x, y, v FROM img WHERE z = 2")
 _add("i12_linear_index", lambda s, d: procedural.linear_ids(i.embq(s, d)), _img("x + 64 * y"))
 _add("i12_reshape", lambda s, d: index_space.reshaped(i.embq(s, d), (32, 2 * i.height(s, d))), _img("v").replace("SELECT x, y, v AS v", "SELECT (x + 64 * y) % 32 AS x, (x + 64 * y) // 32 AS y, v"))
+_add("i13_region_inside", lambda s, d: (lambda g: (lambda q: index_space.subview(g, q.corner, q.size))(Region((40, 3), (20, 10)).grown((1, 9), (30, 2)).clamped(g.size)))(i.embq(s, d)), f"WITH {IMAGE}, {COUNT} SELECT x - 39 AS x, y, v FROM img, n WHERE x >= 39 AND y < 15")
+_add("i15_other_order", lambda s, d: (lambda g: Grid(g.settled().df.select(*(c.alias(q) for c, q in zip(reversed(coordinate_columns("(x + 64 * y)", tuple(reversed(g.size)))), "xy")), "v"), g.size))(i.embq(s, d)), _img("v").replace("SELECT x, y, v AS v", "SELECT (x + 64 * y) // n.n AS x, (x + 64 * y) % n.n AS y, v"))
+_add("e6_largest_batch", lambda s, d: (lambda n: s.createDataFrame([largest_batch(1, n, 300_000, lambda k: fourier.estimated_bytes((64, k), (1,)) * k)], "rows bigint, bytes bigint"))(i.height(s, d)), f"WITH {COUNT} SELECT CAST(least(n, 300000 // 1040) AS BIGINT) AS rows, CAST(least(n, 300000 // 1040) * 1040 AS BIGINT) AS bytes FROM n")
 _add("i10_bounded", lambda s, d: index_space.bounded(i.embq(s, d), (80, 20), (-8, -5), 0), f"WITH {IMAGE}, g AS (SELECT a.x, b.y FROM range(80) a(x) CROSS JOIN range(20) b(y)) SELECT g.x, g.y, coalesce(img.v, 0) AS v FROM g LEFT JOIN img ON img.x = g.x - 8 AND img.y = g.y - 5")
 
 # --- stencils ------------------------------------------------------------------------------------------------------
@@ -251,6 +313,11 @@ _add(
       lead(v, 1, 0) OVER (PARTITION BY x ORDER BY y) - lag(v, 1, 0) OVER (PARTITION BY x ORDER BY y)) AS v
     FROM img""",
 )
+_add(
+    "n1_fractional_locator",
+    lambda s, d: millionths(stencil.transform_locator(i.emb(s, d), (1, 2), (2, 1), lambda at: at(1.25, -1.5) - 2 * at(0, 0.75) + at(-1, 1))),
+    _conv_sql([(1, -2, 0.375), (2, -2, 0.125), (1, -1, 0.375), (2, -1, 0.125), (0, 0, -0.5), (0, 1, -1.5), (-1, 1, 1)], "repeat", DOUBLES, _WEIGHED),
+)
 _add("i2_bordered_subview", lambda s, d: stencil.bordered(i.embq(s, d), Region((10, 50), (20, 30)), (1, 1), (1, 1), lambda g: stencil.convolve(g, _FULL)), _conv_sql(_taps(_FULL)).replace("SELECT a.x, a.y,", "SELECT a.x - 10 AS x, a.y - 50 AS y,").replace(" GROUP BY", " WHERE a.x BETWEEN 10 AND 29 AND a.y BETWEEN 50 AND 79 GROUP BY"))
 _SOBEL = "WITH {image}, {count}, t(dx, dy, wx, wy) AS (VALUES (-1,-1,1,1), (0,-1,0,2), (1,-1,-1,1), (-1,0,2,0), (1,0,-2,0), (-1,1,1,-1), (0,1,0,-2), (1,1,-1,-1)), g AS (SELECT a.x, a.y, sum(b.v * t.wx) AS gx, sum(b.v * t.wy) AS gy FROM img a CROSS JOIN t JOIN img b ON b.x = {bx} AND b.y = {by} GROUP BY a.x, a.y)".format(image=IMAGE, count=COUNT, bx=_place("a.x", "t.dx", "64", "repeat"), by=_place("a.y", "t.dy", "(SELECT n FROM n)", "repeat"))
 
@@ -309,6 +376,16 @@ _add("r1_reduce_max_initial", lambda s, d: r.reduce(i.embq(s, d), "max", 123456)
 _add("r3_reduce_x", lambda s, d: r.dimension_reduce(i.embq(s, d), 0, "sum"), f"WITH {IMAGE} SELECT y AS x, CAST(sum(v) AS BIGINT) AS v FROM img GROUP BY y")
 _add("r3_reduce_y", lambda s, d: r.dimension_reduce(i.embq(s, d), 1, "min"), f"WITH {IMAGE} SELECT x, min(v) AS v FROM img GROUP BY x")
 _add("r3_reduce_volume_y", lambda s, d: r.dimension_reduce(i.shipped(s, d), 1, "sum", 1000), f"WITH {SHIPPED} SELECT x, z AS y, CAST(1000 + sum(v) AS BIGINT) AS v FROM img GROUP BY x, z")
+
+
+def _last_multiple(a: np.ndarray, axis: int) -> np.ndarray:
+    """The last of the cells that isn't zero."""
+    turned = np.moveaxis(a, axis, -1)[..., ::-1]
+    return np.take_along_axis(turned, (turned != 0).argmax(-1)[..., None], -1)[..., 0]
+
+
+_add("r3_reduce_gcd", lambda s, d: (lambda g: r.reduce_along(g.with_value(g.value - F.pmod(g.value, F.lit(6))), 1, np.gcd.reduce))(i.embq(s, d)), f"WITH {IMAGE} SELECT x, CAST(list_reduce(list(v - ((v % 6) + 6) % 6), lambda a, b: gcd(a, b)) AS BIGINT) AS v FROM img GROUP BY x")
+_add("r3_last_multiple", lambda s, d: (lambda g: r.reduce_along(g.with_value(F.when(g.value % 7 == 0, g.value).otherwise(F.lit(0).cast("bigint"))), 1, _last_multiple, 4_000))(i.embq(s, d)), f"WITH {IMAGE} SELECT x, coalesce(max_by(v, y) FILTER (WHERE v % 7 = 0 AND v <> 0), 0) AS v FROM img GROUP BY x")
 _add("r5_sum", lambda s, d: r.total(i.embq(s, d)), f"WITH {IMAGE} SELECT CAST(sum(v) AS BIGINT) AS v FROM img")
 _add("r6_sum_square_differences", lambda s, d: (lambda g: combine.sum_square_differences(g, index_space.mirrored(g, (True, False))))(i.embq(s, d)), f"WITH {IMAGE} SELECT CAST(sum((a.v - b.v) * (a.v - b.v)) AS BIGINT) AS v FROM img a JOIN img b ON b.y = a.y AND b.x = 63 - a.x")
 _add("r7_min_max", lambda s, d: r.min_max(i.embq(s, d)), f"WITH {IMAGE} SELECT min(v) AS min, max(v) AS max FROM img")
@@ -352,6 +429,11 @@ def _cubic_axis(name: str, p: str, size: str, limit: str) -> str:
 
 
 _add("x4_cubic", lambda s, d: millionths(interpolate.resampled(i.emb(s, d), (100, i.height(s, d)), lambda at: [at[0] * 0.625 + 0.25, at[1] * 1.5 + 0.125], "cubic")), f"WITH {DOUBLES}, {COUNT}, {_cubic_axis('x', 'i * 0.625e0 + 0.25e0', '100', '64')}, {_cubic_axis('y', 'i * 1.5e0 + 0.125e0', 'n', '(SELECT n FROM n)')} SELECT xt.i AS x, yt.i AS y, {_mq('sum(img.v * xt.w * yt.w)')} AS v FROM xt CROSS JOIN yt JOIN img ON img.x = xt.c AND img.y = yt.c GROUP BY xt.i, yt.i")
+for _name, (_how, _border) in interpolate.PRESETS.items():
+    if _how != "cubic":
+        _p = ("x * 0.5e0 - 3.25e0", "y * 1.25e0 + 0.5e0")
+        _add(f"x6_{_name}", lambda s, d, h=_how, b=_border: millionths(interpolate.resampled(i.emb(s, d), (90, i.height(s, d)), lambda at: [at[0] * 0.5 - 3.25, at[1] * 1.25 + 0.5], h, b)), _linear_sql(*(_p if _how == "linear" else (f"round({q} - 0.499999e0)" for q in _p)), ("90", "n")))
+_add("x5_lerp", lambda s, d: (lambda g: millionths(combine.n_ary(lambda a, b: interpolate.lerp(a, b, F.lit(0.3)), g, index_space.mirrored(g, (True, False)))))(i.emb(s, d)), f"WITH {DOUBLES} SELECT a.x, a.y, {_mq('0.7e0 * a.v + 0.3e0 * b.v')} AS v FROM img a JOIN img b ON b.y = a.y AND b.x = 63 - a.x")
 _add(
     "m10_user_border_and_taps",
     lambda s, d: interpolate.resampled(
@@ -551,6 +633,26 @@ _vec("v9_swizzle", lambda a, b: (lambda c: c[0] * 100 + c[1] * 10 + c[2])(vector
 _turn = Quaternion.rotation(0.5, (1, 2, 3))
 _rot = _turn.matrix()
 _vec("v10_rotate", lambda a, b: F.floor(sum(c * (j + 1) for j, c in enumerate(rotate_columns(_turn, [a[0].cast("double"), a[1].cast("double"), a[2].cast("double")])))).cast("bigint"), "CAST(floor(" + " + ".join(f"(a[1] * CAST('{_rot[q][0]!r}' AS DOUBLE) + a[2] * CAST('{_rot[q][1]!r}' AS DOUBLE) + a[3] * CAST('{_rot[q][2]!r}' AS DOUBLE)) * {q + 1}" for q in range(3)) + ") AS BIGINT)")
+
+
+def _doubled(c: F.Column) -> list[F.Column]:
+    return [c[j].cast("double") for j in range(3)]
+
+
+def _aligned(a: F.Column, b: F.Column) -> F.Column:
+    """What remains between ``b`` and ``a`` turned to it, to the millionth of their lengths."""
+    v, w = _doubled(a), _doubled(b)
+    size = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    turned = quaternion.rotated_by_column(quaternion.between_columns(v, w), v)
+    return quaternion.once(turned, lambda t: F.floor((t["x"] + 2 * t["y"] + 3 * t["z"]) / size * 1e6 + 0.5).cast("bigint"))
+
+
+_vec("v10_rotation_between", _aligned, _mq("(b[1] + 2 * b[2] + 3 * b[3]) / sqrt(CAST(b[1] * b[1] + b[2] * b[2] + b[3] * b[3] AS DOUBLE))"))
+_vec(
+    "v10_inverse",
+    lambda a, b: (lambda q: F.floor((q["w"] + 2 * q["x"] - 3 * q["z"]) * 1e9 + 0.5).cast("bigint"))(quaternion.inverse_column(quaternion.column(a[0], a[1], a[2], a[3]))),
+    "CAST(floor((a[1] - 2e0 * a[2] + 3e0 * a[4]) / (a[1] * a[1] + a[2] * a[2] + a[3] * a[3] + a[4] * a[4]) * 1e9 + 0.5) AS BIGINT)",
+)
 _euler = {"zxz": Quaternion.euler_zxz(0.7, 0.4, -0.3), "zyz": Quaternion.euler_zyz(0.7, 0.4, -0.3)}
 _steps = {
     "zxz": "y * cos(0.4e0) - z * sin(0.4e0) AS y, y * sin(0.4e0) + z * cos(0.4e0) AS z, x",

@@ -54,6 +54,8 @@ def to_array(g: Grid) -> np.ndarray:
     """A small grid as a numpy array on the driver, x last."""
     from gridwright.functions.shapes import linear_column
 
+    if g.element_count > MOST_ON_DRIVER:
+        raise GridError(f"{g.element_count} cells are too many for the driver")
     rows = g.settled().df.select(linear_column(g.size, g.dims).alias("i"), "v").orderBy("i").collect()
     first = rows[0].v if rows else 0
     if hasattr(first, "re"):
@@ -77,9 +79,15 @@ def read_numbers(spark: SparkSession, path: str) -> DataFrame:
     return text.select("line", F.transform(parts, lambda x: x.cast("double")).alias("values")).where(F.size("values") > 0)
 
 
+MOST_ROWS = 1 << 16
+"""Rows of a text table that is read as an array on the driver."""
+
+
 def read_kernel(spark: SparkSession, path: str) -> np.ndarray:
     """A text table as a small array on the driver (convolution weights, transfer functions)."""
-    rows = [r["values"] for r in read_numbers(spark, path).orderBy("line").collect()]
+    rows = [r["values"] for r in read_numbers(spark, path).orderBy("line").limit(MOST_ROWS + 1).collect()]
+    if len(rows) > MOST_ROWS:
+        raise GridError(f"over {MOST_ROWS} rows of weights")
     if len({len(r) for r in rows}) > 1:
         raise GridError("rows differ in length")
     return np.array(rows)
@@ -96,6 +104,50 @@ def cached(g: Grid) -> Grid:
     return Grid(g.cells.cache(), g.size)
 
 
+INDEX_BLOCK = 1 << 20
+"""Cells of a block of an index."""
+
+
+class Indexed:
+    """A grid written by blocks of its linear index: any cells are read from the blocks that hold them."""
+
+    def __init__(self, spark: SparkSession, path: str, size: Sequence[int], block: int = INDEX_BLOCK):
+        self.df, self.size, self.block = spark.read.parquet(path), tuple(size), block
+
+    @staticmethod
+    def write(g: Grid, path: str, block: int = INDEX_BLOCK) -> Indexed:
+        """A folder for each block; within it cells are sorted, so that a reader skips most of its pages."""
+        from gridwright.functions.shapes import linear_column
+
+        rows = g.settled().df.select(linear_column(g.size, g.dims).alias("i"), "v").withColumn("block", F.expr(f"i div {block}"))
+        rows.repartition("block").sortWithinPartitions("block", "i").write.mode("overwrite").partitionBy("block").parquet(path)
+        return Indexed(g.df.sparkSession, path, g.size, block)
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """``i`` and ``v`` of the cells ``first`` to ``last``, that excluded."""
+        if not 0 <= first <= last <= element_count(self.size):
+            raise GridError(f"{first}..{last} of {element_count(self.size)}")
+        here = self.df.where(F.col("block").between(first // self.block, max(first, last - 1) // self.block))
+        return here.where((F.col("i") >= first) & (F.col("i") < last)).select("i", "v")
+
+    def at(self, *index: int):
+        """The value of one cell."""
+        from gridwright.functions.shapes import linear_index
+
+        i = linear_index(index, self.size)
+        return self.between(i, i + 1).first().v
+
+    def of(self, rows: DataFrame, column: str = "i") -> DataFrame:
+        """``rows`` with ``v`` of the cells whose linear index they hold."""
+        asked = rows.withColumn("_block", F.expr(f"`{column}` div {self.block}"))
+        held = self.df.select(F.col("i").alias("_i"), "v", F.col("block").cast("bigint").alias("_block"))
+        return asked.join(held.withColumnRenamed("_i", "_at"), (F.col("_at") == F.col(column)) & (asked["_block"] == held["_block"])).drop("_block", "_at")
+
+
+MOST_ON_DRIVER = 1 << 24
+"""Cells that may come to the driver as one array."""
+
+
 def filled(g: Grid, value) -> Grid:
     return g.with_value(F.lit(value))
 
