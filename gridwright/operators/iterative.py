@@ -88,8 +88,37 @@ def anisotropic_diffusion(g: Grid, rounds: int, kappa: float, gamma: float, bord
     return in_blocks(g.with_value(g.value.cast("double")), step, rounds, border=border)
 
 
+FAR = 64
+
+
+def _lucy_in_blocks(g: Grid, point_spread: Kernel, rounds: int, border: str) -> Grid:
+    low, high = list(point_spread.centre), [e - 1 for e in point_spread.end]
+    there, back = point_spread.low_rank(), point_spread.flipped().low_rank()
+    halo = [rounds * (a + b) for a, b in zip(low, high)]
+
+    def f(block: np.ndarray, tile: tiles.Tile) -> np.ndarray:
+        way = tiles.Rounds(tile, border)
+        data = estimate = way.begun(block)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for _ in range(rounds):
+                seen = tiles.correlated(way.padded(estimate, low, high), there)
+                data, estimate = (way.lessened(x, low, high) for x in (data, estimate))
+                change = tiles.correlated(way.padded(data / seen, high, low), back)
+                data, estimate = (way.lessened(x, high, low) for x in (data, estimate))
+                estimate = estimate * change
+        return way.ended(estimate)
+
+    return tiles.by_tiles(g.with_value(g.value.cast("double")), halo, halo, f, "zero" if border in ("repeat", "mirror") else border)
+
+
 def richardson_lucy(g: Grid, point_spread: Kernel, rounds: int, border: str = "repeat") -> Grid:
-    """The estimate times the back-projected ratio of data and projected estimate."""
+    """The estimate times the back-projected ratio of data and projected estimate.
+
+    As long as the rounds reach :data:`FAR` cells at most they go through tiles in one shuffle.
+    """
+    own = all(0 <= c < n for c, n in zip(point_spread.centre, point_spread.size))
+    if own and border != "none" and 2 * rounds * max(point_spread.reach) <= FAR:
+        return _lucy_in_blocks(g, point_spread, rounds, border)
     data = g.with_value(g.value.cast("double")).settled()
     back = point_spread.flipped()
 

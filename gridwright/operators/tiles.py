@@ -257,25 +257,46 @@ def correlated_by_spectrum(block: np.ndarray, weights: np.ndarray) -> np.ndarray
     return out[tuple(slice(0, s - w + 1) for s, w in zip(block.shape, weights.shape))]
 
 
-def rounds(block: np.ndarray, tile: Tile, step: Callable[[np.ndarray], np.ndarray], times: int, reach: int, border: str) -> np.ndarray:
-    """``step`` so many times; each makes an array that lacks ``reach`` cells at every side.
+MODES = {"repeat": {"mode": "edge"}, "mirror": {"mode": "reflect"}, "zero": {"mode": "constant"}, "periodic": {"mode": "constant"}}
+
+
+class Rounds:
+    """A block on its way through rounds that each use up some of its halo.
 
-    A side within the grid loses them: its halo was ``times * reach`` cells wide.  A
-    side at the grid's edge gets them anew each time from the border mode, as if the
-    whole grid had gone through the round.  ``periodic`` halos go around, so they
-    are cells like others.
+    A side within the grid loses cells.  A side at the grid's edge gets them anew
+    from the border mode, as if the whole grid had gone through the round.
+    ``periodic`` halos go around, so they are cells like others.
     """
-    cut, edge = [], []
-    for o, c, n, a, b in zip(tile.origin, tile.core, tile.size, tile.low, tile.high):
-        first, last = (o < a, o + c + b > n) if border != "periodic" else (False, False)
-        edge.append((reach if first else 0, reach if last else 0))
-        cut.append(slice(a - o if first else 0, n - o + a if last else None))
-    block = block[tuple(cut[::-1])]
-    mode = {"repeat": {"mode": "edge"}, "mirror": {"mode": "reflect"}, "zero": {"mode": "constant"}, "periodic": {"mode": "constant"}}[border]
+
+    def __init__(self, tile: Tile, border: str):
+        self.tile, self.mode = tile, MODES[border]
+        self.edges = [(o < a, o + c + b > n) if border != "periodic" else (False, False) for o, c, n, a, b in zip(tile.origin, tile.core, tile.size, tile.low, tile.high)]
+
+    def _cut(self, block: np.ndarray, take: list[slice]) -> np.ndarray:
+        return block[tuple(take[::-1])]
+
+    def begun(self, block: np.ndarray) -> np.ndarray:
+        """The block's cells that are cells of the grid."""
+        t = self.tile
+        return self._cut(block, [slice(a - o if first else 0, n - o + a if last else None) for o, n, a, (first, last) in zip(t.origin, t.size, t.low, self.edges)])
+
+    def padded(self, block: np.ndarray, low: Sequence[int], high: Sequence[int]) -> np.ndarray:
+        """The block with cells beyond the grid's edges."""
+        return np.pad(block, [(a if first else 0, b if last else 0) for a, b, (first, last) in zip(low, high, self.edges)][::-1], **self.mode)
+
+    def lessened(self, block: np.ndarray, low: Sequence[int], high: Sequence[int]) -> np.ndarray:
+        """The block without the cells that a round has used up."""
+        return self._cut(block, [slice(0 if first else a, None if last or not b else -b) for a, b, (first, last) in zip(low, high, self.edges)])
+
+    def ended(self, block: np.ndarray) -> np.ndarray:
+        """The tile's own cells, when the halo is used up."""
+        return self._cut(block, [slice(o if first else 0, (o if first else 0) + c) for o, c, (first, _) in zip(self.tile.origin, self.tile.core, self.edges)])
+
+
+def rounds(block: np.ndarray, tile: Tile, step: Callable[[np.ndarray], np.ndarray], times: int, reach: int, border: str) -> np.ndarray:
+    """``step`` so many times; each makes an array that lacks ``reach`` cells at every side.  The halo is ``times * reach`` wide."""
+    way = Rounds(tile, border)
+    block, reaches = way.begun(block), [reach] * block.ndim
     for _ in range(times):
-        block = step(np.pad(block, edge[::-1], **mode))
-    own = []
-    for o, c, a, (first, last) in zip(tile.origin, tile.core, tile.low, edge):
-        start = o if first else 0
-        own.append(slice(start, start + c))
-    return block[tuple(own[::-1])]
+        block = step(way.padded(block, reaches, reaches))
+    return way.ended(block)

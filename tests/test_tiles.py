@@ -188,6 +188,18 @@ def test_rounds_in_blocks(spark, small_tiles, border, at_once):
     assert (arr(iterative.in_blocks(g, step, 6, 1, border, at_once)) == want).all()
 
 
+@pytest.mark.parametrize("border", list(MODES))
+def test_deconvolution_in_blocks(spark, small_tiles, border):
+    g = sample(spark, (19, 16)).with_value(F.col("v") + 1.5)
+    spread = k.Kernel.of([[1, 4, 2, 1], [2, 6, 3, 1], [1, 2, 1, 0]], (1, 2))
+    spread = k.Kernel(spread.weights / spread.weights.sum(), spread.centre)
+    a = want = arr(g)
+    for _ in range(3):
+        want = want * correlate(a / correlate(want, spread, border), spread.flipped(), border)
+    got = iterative.richardson_lucy(g, spread, 3, border)
+    assert np.allclose(arr(got), want) and plan(got).count("Exchange") == 1
+
+
 def test_rounds_share_shuffles(spark):
     g = sample(spark, (40, 40))
     assert plan(iterative.laplace_iteration(g, 8)).count("Exchange") == 1
