@@ -25,7 +25,7 @@ from gridwright.operators.grid import Grid
 from gridwright.operators.quaternion import Quaternion, rotate_columns
 from gridwright.plans import inputs as i
 from gridwright.plans.inputs import COUNT, DOUBLES, HOURS, IMAGE, PAIRS, SHIPPED, VECTORS
-from gridwright.sources import png, procedural, raw, tables
+from gridwright.sources import png, procedural, raw, tables, tiff
 from gridwright.sources.shared import shared_folder
 
 FLAGSHIP = "emb_sobel_energy"
@@ -103,6 +103,17 @@ def _png(s, d):
     return png.read(s, path)
 
 
+def _inks(s, d):
+    """Four elements of a row as the inks of a pixel, through a file and to red, green and blue, as one number."""
+    df = i.table(s, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("y"), F.transform("embedding", lambda v: F.pmod(F.floor(v.cast("double") * 1000).cast("bigint"), F.lit(256))).alias("l"))
+    cells = df.select("y", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: F.slice("l", 4 * x + 1, 4))).alias("x", "v"))
+    path = f"{_folder(s)}/inks.tif"
+    tiff.write(Grid(cells.select(F.col("x").cast("bigint").alias("x"), "y", "v"), (16, i.height(s, d))), path, "32U", "cmyk", 1_000)
+    again, _ = tiff.read(s, path)
+    seen = tiff.cmyk_to_rgb(again)
+    return seen.settled().with_value(F.col("v")[0] * 65536 + F.col("v")[1] * 256 + F.col("v")[2])
+
+
 def _text_rows(s, d):
     """The image as lines of numbers, read as a table again."""
     path = _new_path(s)
@@ -121,6 +132,12 @@ def _random_access(s, d):
 
 _add("s1_raw_file", _raw_file, _img("v"))
 _add("s3_raw_channels", _raw_channels, f"WITH {PAIRS} SELECT x, y, CAST(floor(re * 1000) * 100000 + floor(im * 1000) AS BIGINT) AS v FROM img")
+_add(
+    "s7_inks",
+    _inks,
+    f"""WITH {IMAGE}, p AS (SELECT x // 4 AS x, y, list(((v % 256) + 256) % 256 ORDER BY x) AS q FROM img GROUP BY x // 4, y)
+    SELECT x, y, CAST(((255 - q[1]) * (255 - q[4]) // 255) * 65536 + ((255 - q[2]) * (255 - q[4]) // 255) * 256 + (255 - q[3]) * (255 - q[4]) // 255 AS BIGINT) AS v FROM p""",
+)
 _add("s9_png", _png, _img("((v % 65536) + 65536) % 65536"))
 _add("s10_text_table", _text_rows, _img("v"))
 _add("i14_random_access", _random_access, f"WITH {IMAGE} SELECT y, v FROM img WHERE x = y % 64")

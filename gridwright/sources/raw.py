@@ -141,11 +141,11 @@ def dump(g: Grid, prefix: str, kind: str, cells_per_slab: int = 1 << 20) -> str:
         channels = len(g.settled().df.select("v").first().v)
     path = file_name(prefix, kind, g.size, channels)
     width = np.dtype(KINDS[kind]).itemsize * channels
-    _in_place(slabs(g, kind, cells_per_slab), path, b"", width * cells_per_slab, width * g.element_count)
+    in_place(slabs(g, kind, cells_per_slab), path, b"", width * cells_per_slab, width * g.element_count)
     return path
 
 
-def _in_place(rows: DataFrame, path: str, head: bytes, slab_bytes: int, total: int) -> None:
+def in_place(rows: DataFrame, path: str, head: bytes, slab_bytes: int, total: int) -> None:
     """Write slabs at their places behind ``head``; a task that runs again writes the same bytes again."""
     target = path.removeprefix("file://")
     if "://" in target:
@@ -224,7 +224,7 @@ def write_image(g: Grid, path: str, most: int = 255, cells_per_slab: int = 1 <<
             head = b"P7\nWIDTH %d\nHEIGHT %d\nDEPTH %d\nMAXVAL %d\nENDHDR\n" % (*g.size, channels, most)
         if most > 255:
             rows = rows.mapInPandas(_turned, "slab bigint, bytes binary")
-    _in_place(rows, path, head, width * cells_per_slab, width * g.element_count)
+    in_place(rows, path, head, width * cells_per_slab, width * g.element_count)
 
 
 def _turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ from gridwright.errors import GridError
 from gridwright.operators import quaternion, reduce, stencil
 from gridwright.operators.grid import Grid
 from gridwright.operators.quaternion import Quaternion
-from gridwright.sources import png, raw, tables
+from gridwright.sources import png, raw, tables, tiff
 from gridwright.sources import procedural as p
 
 
@@ -167,6 +167,49 @@ def test_check_sums_join():
         assert png._joined_sum(zlib.adler32(a), zlib.adler32(b), len(b)) == zlib.adler32(a + b)
 
 
+# --- TIFF
+
+
+@pytest.mark.parametrize(("channels", "kind", "meaning"), [(1, "8U", None), (1, "32S", "gray"), (1, "64D", None), (3, "16U", None), (3, "32F", "rgb"), (4, "8S", None), (4, "32U", "cmyk"), (4, "16S", "rgba")])
+def test_tiff_layouts(spark, tmp_path, channels, kind, meaning):
+    rng = np.random.default_rng(channels)
+    dtype = np.dtype(raw.KINDS[kind])
+    a = rng.random((11, 7, channels)).astype(dtype).astype(float) if dtype.kind == "f" else rng.integers(np.iinfo(dtype).min, np.iinfo(dtype).max + 1, (11, 7, channels), dtype=np.int64)
+    element = "double" if dtype.kind == "f" else "bigint"
+    rows = [(x, y, a[y, x].tolist() if channels > 1 else a[y, x, 0].item()) for y in range(11) for x in range(7)]
+    g = Grid(spark.createDataFrame(rows, f"x bigint, y bigint, v {f'array<{element}>' if channels > 1 else element}").repartition(3), (7, 11))
+    path = str(tmp_path / "a.tif")
+    tiff.write(g, path, kind, meaning, 9)
+    again, means = tiff.read(spark, path)
+    assert again.size == (7, 11) and means == (meaning or {1: "gray", 3: "rgb", 4: "rgba"}[channels])
+    assert sorted(tuple(r) for r in again.cells.collect()) == sorted(rows)
+
+
+def test_tiff_of_others(spark, tmp_path):
+    """The high byte first, in two strips, with the tags at the end."""
+    a = np.arange(6 * 5, dtype=">u2").reshape(5, 6)
+    one, two = a[:3].tobytes(), a[3:].tobytes()
+    tags = [(256, 3, 6), (257, 3, 5), (258, 3, 16), (259, 3, 1), (262, 3, 1), (277, 3, 1), (278, 3, 3)]
+    at = 8 + len(one) + len(two)
+    body = b"".join(struct.pack(">HHIHH", t, k, 1, v, 0) for t, k, v in tags[:5]) + struct.pack(">HHII", 273, 4, 2, at) + b"".join(struct.pack(">HHIHH", t, k, 1, v, 0) for t, k, v in tags[5:]) + struct.pack(">HHIHH", 279, 3, 2, len(one), len(two))
+    data = b"MM" + struct.pack(">HI", 42, at + 8) + one + two + struct.pack(">II", 8, 8 + len(one)) + struct.pack(">H", 9) + body + bytes(4)
+    (tmp_path / "b.tif").write_bytes(data)
+    g, means = tiff.read(spark, str(tmp_path / "b.tif"))
+    assert means == "gray" and (arr(g) == a).all()
+    for wrong in (b"GIF8" + bytes(30), data.replace(struct.pack(">HHIHH", 259, 3, 1, 1, 0), struct.pack(">HHIHH", 259, 3, 1, 5, 0))):
+        with pytest.raises(GridError):
+            tiff.decoded(wrong)
+    with pytest.raises(GridError):
+        tiff.write(g, str(tmp_path / "c.tif"), "16U", "cmyk")
+    with pytest.raises(GridError, match="4 GB"):
+        tiff._header((70_000, 70_000), "8U", 1, "gray")
+
+
+def test_inks(spark):
+    g = p.generated(spark, (2, 2), lambda at: F.array(at[0] * 255, at[1] * 100, F.lit(0), at[0] * at[1] * 55))
+    assert arr(tiff.cmyk_to_rgb(g)).tolist() == [[[255, 255, 255], [0, 255, 255]], [[255, 155, 255], [0, 155 * 200 // 255, 200]]]
+
+
 # --- indexed cells
 
 
