@@ -41,7 +41,10 @@ NONE = np.int64(1 << 40)
 LONG = 200
 """Symbols of a sequence beyond which its places are kept by rank."""
 REMEMBERED = 500_000
-"""Pre-tokens whose counts a task remembers; then it forgets all."""
+REMEMBERED_CHARS = 16 << 20
+"""Pre-tokens whose counts a task remembers, and their characters; then it forgets all."""
+LONG_WORD = 50
+"""Characters beyond which a pre-token isn't remembered: such hardly come again."""
 
 
 @dataclass
@@ -200,6 +203,7 @@ class Counter:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.known: dict[str, int] = {}
+        self.size = 0
         self.pattern = re.compile(" *[^ ]+| +")
 
     def split(self, text: str) -> tuple[list[str], int]:
@@ -214,13 +218,20 @@ class Counter:
     def count(self, texts: list[str | None]) -> list[int]:
         split = [self.split(x) if x else ([], 0) for x in texts]
         new = list({w for words, _ in split for w in words} - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED or self.size > REMEMBERED_CHARS:
             self.known.clear()
+            self.size = 0
             new = list({w for words, _ in split for w in words})
         if new:
             self.known.update(zip(new, self.vocabulary.counts([w.replace(" ", SPACE) for w in new]).tolist()))
         get = self.known.__getitem__
-        return [sum(map(get, words)) + ends for words, ends in split]
+        out = [sum(map(get, words)) + ends for words, ends in split]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.known[w]
+            else:
+                self.size += len(w)
+        return out
 
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, *, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -284,6 +284,21 @@ def test_long_words_equal_the_library_and_take_seconds(vocabulary):
     assert time.process_time() - began < 30
 
 
+def test_memory_of_words_is_bounded_in_characters(vocabulary, monkeypatch):
+    """Lines without spaces are words of their own; a task doesn't gather them."""
+    counter = token_counts.Counter(vocabulary)
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcdefgh日本") for _ in range(3000)) for _ in range(30)]
+    once = counter.count(lines + ["a few short words"] * 3)
+    assert max(map(len, counter.known)) <= token_counts.LONG_WORD and counter.size == sum(map(len, counter.known)) < 100
+    assert counter.count(lines + ["a few short words"] * 3) == once
+    monkeypatch.setattr(token_counts, "REMEMBERED_CHARS", 50)
+    fresh = token_counts.Counter(vocabulary)
+    for i in range(0, 30, 3):
+        assert fresh.count([*lines[i : i + 3], f"other{i} words{i}"])[:3] == once[i : i + 3]
+        assert fresh.size < 200
+
+
 def test_token_counts_awkward(awkward, nothing, vocabulary):
     out = {r.doc_id: r for r in token_counts.token_counts(awkward, vocabulary).collect()}
     assert out[0].n_tokens == out[0].n_bytes == out[1].n_tokens == 0
