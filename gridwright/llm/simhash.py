@@ -15,8 +15,14 @@ One fingerprint within a few bits finds near copies of very few edits only.  For
 more, :func:`near_duplicates` takes ``tables`` fingerprints of the same shingles
 by other hashes, each with its own tries, and confirms what they find: of what a
 task finds connected, ``FORESTS`` minimum spanning forests of pairs by differing
-bits, one after the other of the pairs that are left, are held against ``CHECKS`` fingerprints of ``CHECK_WIDTH``-word shingles, whose
-differing bits tell the similarity of the two texts.
+bits, one after the other of the pairs that are left, are held against the least
+hashes of ``CHECK_WIDTH``-word shingles in ``BINS`` bins, of which as large a share
+agrees as the similarity of the two texts is (for short texts nearly exactly).
+
+:func:`one_of_each` drops a text only if its exact similarity to one that stays is
+large enough: each text of a component is compared with the component's first; of
+those unlike it the links among themselves are compared, and a text stays if it is
+the first of its open neighbours, round by round.
 
 Links are between fingerprints, not ids.  Nulls and texts without words have
 fingerprint zero and link like any other.  Repeated rows and ties share a
@@ -39,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.llm import rolling
-from gridwright.llm.components import components, stars
+from gridwright.llm.components import components
 from gridwright.llm.scratch import Scratch
 from gridwright.llm.skew import join_counted
 from gridwright.llm.texts import record_batch, slices
@@ -54,10 +60,14 @@ PAIRS = 2_000_000
 LEVELS = 4
 """Levels by which a subtrie that is too large is cut."""
 SEED = 42
-CHECK_WIDTH, CHECKS = 5, 16
-FORESTS = 6
-SLACK = 0.05
-"""What the estimate of a similarity may be too low by: about twice its standard error at 0.8 over ``CHECKS`` fingerprints."""
+CHECK_WIDTH, BINS = 5, 512
+FORESTS = 2
+SLACK = 0.035
+"""What the estimate of a similarity may be too low by: about twice its standard error at 0.8 over ``BINS`` bins."""
+PART = 1_000
+"""Texts that meet one copy of their component's first text."""
+IN_ORDER = 3
+"""Rounds in which the smallest id of open neighbours stays; later ones go by hashes, so chains of ascending ids end soon."""
 
 
 def _majority(hashes: np.ndarray) -> np.uint64:
@@ -75,40 +85,59 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(_majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)))
 
 
-def sketch(text: bytes | None, wanted: tuple[tuple[int, int], ...]) -> np.ndarray:
-    """SimHash fingerprints by many hashes: for each ``(width, tables)`` so many, of shingles hashed from their words' hashes."""
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """Hashes of the text's shingles, made of their words' hashes, repeats included."""
     words = (text or b"").lower().split()
-    out = np.zeros(sum(n for _, n in wanted), np.uint64)
     if not words:
-        return out
+        return np.zeros(0, np.uint64)
     each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    t = 0
-    for width, tables in wanted:
-        width = min(width, len(words))
-        hashes = np.zeros(len(words) - width + 1, np.uint64)
-        for i in range(width):
-            hashes = hashes * rolling.M + each[i : len(each) - width + 1 + i]
-        for _ in range(tables):
-            out[t] = _majority(rolling.mix(hashes ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-            t += 1
+    width = min(width, len(words))
+    hashes = np.zeros(len(words) - width + 1, np.uint64)
+    for i in range(width):
+        hashes = hashes * rolling.M + each[i : len(each) - width + 1 + i]
+    return hashes
+
+
+def sketch(text: bytes | None, width: int, tables: int) -> np.ndarray:
+    """SimHash fingerprints of the same shingles by so many hashes."""
+    out, hashes = np.zeros(tables, np.uint64), shingles(text, width)
+    for t in range(tables if len(hashes) else 0):
+        out[t] = _majority(rolling.mix(hashes ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, checks: int = 0, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``tid`` (a hash of the text) and ``fps``, its fingerprints as signed bigints; those to check by come last."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("fps", pa.list_(pa.int64()))])
+def binned(text: bytes | None) -> bytes:
+    """For each bin a byte of the least hash of ``CHECK_WIDTH``-word shingles that falls into it; zero if none does."""
+    out, hashes = np.zeros(BINS, np.uint8), np.unique(rolling.mix(shingles(text, CHECK_WIDTH)))
+    own, first = np.unique(hashes // np.uint64((1 << BITS) // BINS), return_index=True)
+    out[own.astype(np.int64)] = hashes[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def estimated(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The similarity of each pair of :func:`binned` texts: the share of equal bins, less those equal by chance."""
+    x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, BINS) for z in (a, b))
+    same, some = ((x == y) & (x > 0)).sum(axis=1), np.maximum(((x | y) > 0).sum(axis=1), 1)
+    return (same / some - 1 / 255) / (1 - 1 / 255)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, checked: bool = False, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``tid`` (a hash of the text) and ``fps``, its fingerprints as signed bigints; if ``checked``, its ``bins`` too."""
+    kinds = [("doc_id", pa.int64()), ("tid", pa.int64()), ("fps", pa.list_(pa.int64()))]
+    schema = pa.schema(kinds + [("bins", pa.binary())] if checked else kinds)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(2).to_pylist()
-            if tables == 1 and not checks:
+            if tables == 1 and not checked:
                 found = np.array([[fingerprint(x, width)] for x in texts], np.uint64)
             else:
-                found = np.array([sketch(x, ((width, tables), (CHECK_WIDTH, checks))) for x in texts])
-            yield record_batch([batch.column(0), batch.column(1), found.view(np.int64).tolist()], schema)
+                found = np.array([sketch(x, width, tables) for x in texts])
+            more = [[binned(x) for x in texts]] if checked else []
+            yield record_batch([batch.column(0), batch.column(1), found.view(np.int64).tolist(), *more], schema)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(apply, "doc_id bigint, tid bigint, fps array<bigint>")
+    return rows.mapInArrow(apply, "doc_id bigint, tid bigint, fps array<bigint>" + (", bins binary" if checked else ""))
 
 
 def walk(keys: np.ndarray, exact: int, budget: int, thin: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -280,26 +309,50 @@ def _descend(rows: DataFrame, budget: int) -> DataFrame:
     return deeper.select("r", "key", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("to").alias("depth"))
 
 
-def _confirmed(edges: DataFrame, classes: DataFrame, tables: int, similarity: float) -> DataFrame:
-    """Edges between texts of ``similarity`` or more, by the differing bits of their last ``CHECKS`` fingerprints.
+def _confirmed(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges between texts whose bins tell ``similarity`` or more, less what they may be off by."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    Shingle sets of equal size and Jaccard similarity J have a cosine of
-    2 J / (1 + J), and differ in the angle's share of the half circle of bits.
-    """
-    least = similarity - SLACK
-    most = int(CHECKS * BITS * np.arccos(2 * least / (1 + least)) / np.pi)
-    marks = classes.select("node", F.slice("fps", tables + 1, CHECKS).alias("m"))
-    both = edges.distinct().join(marks.withColumnsRenamed({"node": "a", "m": "ma"}), "a").join(marks.withColumnsRenamed({"node": "b", "m": "mb"}), "b")
-    differing = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(CHECKS)), F.lit(0))
-    return both.where(differing <= most).select("a", "b")
-
-
-def _marked(docs: DataFrame, width: int, budget: int, tables: int, similarity: float | None, limit: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, tid, fps, class`` of every row; ``class``, its number of rows ``n``, its ``root`` and the root's smallest id ``low``."""
-    checks = CHECKS if similarity else 0
-    own = F.col("fps")[0] if tables == 1 and not checks else F.xxhash64("fps")
-    marks = scratch.cut(fingerprints(docs, width, tables, checks, id_col=id_col, text_col=text_col).withColumn("class", own))
-    classes = scratch.cut(marks.groupBy(F.col("class").alias("node")).agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fps").alias("fps")))
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            near = estimated(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= similarity - SLACK
+            yield record_batch([batch.column(i).to_numpy()[near] for i in (0, 1)], schema)
+
+    both = edges.distinct()
+    for x in ("a", "b"):
+        both = both.join(classes.select(F.col("node").alias(x), F.col("bins").alias(f"bins_{x}")), x)
+    return both.select("a", "b", "bins_a", "bins_b").mapInArrow(apply, "a bigint, b bigint")
+
+
+def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``pairs(a, b, x, y)`` whose texts share ``similarity`` or more of their shingles, counted exactly."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None
+        for batch in slices(batches):
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if known is None or y != last:
+                    last, known = y, np.unique(shingles(y, CHECK_WIDTH))
+                own = np.unique(shingles(x, CHECK_WIDTH))
+                both = len(np.intersect1d(own, known, assume_unique=True))
+                near.append(both >= similarity * (len(own) + len(known) - both) - 1e-9)
+            near = np.array(near, bool)
+            yield record_batch([batch.column(i).to_numpy()[near] for i in (0, 1)], schema)
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(apply, "a bigint, b bigint")
+
+
+def _classes(docs: DataFrame, width: int, budget: int, tables: int, similarity: float | None, limit: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, tid, class`` of every row; a ``node`` per class, its number of rows ``n``, its first row ``low, tid``; links between nodes."""
+    checked = similarity is not None
+    own = F.col("fps")[0] if tables == 1 and not checked else F.xxhash64("fps", *(["bins"] if checked else []))
+    marks = scratch.cut(fingerprints(docs, width, tables, checked, id_col=id_col, text_col=text_col).withColumn("class", own))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("first")
+    more = [F.first("bins").alias("bins")] if checked else []
+    classes = marks.groupBy(F.col("class").alias("node")).agg(first, F.count("*").alias("n"), F.first("fps").alias("fps"), *more)
+    classes = scratch.cut(classes.select("node", F.col("first.doc_id").alias("low"), F.col("first.tid").alias("tid"), *(x for x in classes.columns if x not in ("node", "first"))))
     leaves = classes.select("node", F.posexplode(F.slice("fps", 1, tables)).alias("t", "fp"))
     edges = None
     if tables > 1:
@@ -308,15 +361,11 @@ def _marked(docs: DataFrame, width: int, budget: int, tables: int, similarity: f
         twice = shared.where("n > 1").select("tf", "first", "n")
         edges = join_counted(leaves.select("node", F.struct("t", "fp").alias("tf")), twice, "tf", "n", leaves.count()).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
         leaves = shared.select("t", "fp", F.col("first").alias("node"))
-    found = links(leaves, budget, scratch, limit, FORESTS if similarity else 1)
+    found = links(leaves, budget, scratch, limit, FORESTS if checked else 1)
     found = found if edges is None else found.unionByName(edges)
-    if similarity:
-        found = _confirmed(found, classes, tables, similarity)
-    roots = components(found, scratch)
-    named = scratch.cut(classes.select("node", "n", "low").join(roots, "node", "left").select("node", "n", "low", F.coalesce("root", "node").alias("root")))
-    names = scratch.cut(named.groupBy("root").agg(F.min("low").alias("low"), F.count("*").alias("classes")))
-    named = join_counted(named.drop("low"), names, "root", "classes", named.count())
-    return marks, scratch.cut(named.select(F.col("node").alias("class"), "n", "root", "low"))
+    if checked:
+        found = scratch.cut(_confirmed(found, classes, similarity))
+    return marks, classes, found
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2, tables: int = 1, similarity: float | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,26 +373,80 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, budget: int = 2, tables:
 
     With more than one table, documents also link if any further fingerprint of
     theirs, from the same shingles by another hash, is within the budget.  With
-    ``similarity``, links are confirmed by their five-word shingles.
+    ``similarity``, links are confirmed by their five-word shingles, estimated.
     """
-    marks, named = _marked(docs, width, budget, tables, similarity, limit, id_col, text_col, Scratch(docs.sparkSession, "simhash"))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marks, classes, found = _classes(docs, width, budget, tables, similarity, limit, id_col, text_col, scratch)
+    roots = components(found, scratch)
+    named = scratch.cut(classes.select("node", "n", "low").join(roots, "node", "left").select("node", "n", "low", F.coalesce("root", "node").alias("root")))
+    names = scratch.cut(named.groupBy("root").agg(F.min("low").alias("low"), F.count("*").alias("classes")))
+    named = join_counted(named.drop("low"), names, "root", "classes", named.count())
+    named = scratch.cut(named.select(F.col("node").alias("class"), "n", "low"))
     out = join_counted(marks, named, "class", "n", marks.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
 
 
+def _same_row(docs: DataFrame, id_col: str, text_col: str, other_id: str, other_tid: str) -> F.Column:
+    return docs[id_col].eqNullSafe(F.col(other_id)) & (F.xxhash64(docs[text_col]) == F.col(other_tid))
+
+
+def _gone(docs: DataFrame, classes: DataFrame, found: DataFrame, similarity: float | None, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """``node`` of the classes that go: each is like one that stays."""
+    members = scratch.cut(classes.select("node", "low", "tid").join(components(found, scratch), "node"))
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("first")
+    lead = scratch.cut(members.groupBy("root").agg(first, F.count("*").alias("size")).select("root", F.col("first.node").alias("lead"), "size"))
+    members = scratch.cut(join_counted(members, lead, "root", "size", members.count()))
+    if similarity is None:
+        return members.where("node <> lead").select("node")
+    reps = members.withColumnsRenamed({"low": "__id", "tid": "__tid"})
+    rows = docs.select(id_col, text_col).join(reps, _same_row(docs, id_col, text_col, "__id", "__tid"))
+    texts = rows.groupBy("node").agg(*(F.first(x).alias(x) for x in ("root", "lead", "size")), F.first("__id").alias("low"), F.first(F.col(text_col).cast("binary")).alias("x"))
+    texts = scratch.cut(texts.withColumn("parts", F.ceil(F.col("size") / PART)))
+    # a component's first text goes to every part of its component
+    firsts = texts.where("node = lead").select("root", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    rest = texts.where("node <> lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    near = scratch.cut(_alike(rest.join(firsts, ["root", "part"]).select(F.col("node").alias("a"), F.col("lead").alias("b"), "x", "y"), similarity).select(F.col("a").alias("node")))
+    unlike = scratch.cut(rest.join(near, "node", "left_anti").select("node", "low", "x"))
+    pairs = found
+    for a, x in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(unlike.select(F.col("node").alias(a), F.struct(F.col("low").isNull().alias("none"), "low", "node").alias(f"k{a}"), F.col("x").alias(x)), a)
+    pairs = scratch.cut(pairs)
+    if not pairs.limit(1).count():
+        return near
+    close = _alike(pairs, similarity)
+    keyed = scratch.cut(close.join(pairs.select("a", "b", "ka", "kb"), ["a", "b"]))
+    both = keyed.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("ka").alias("ku"), F.col("kb").alias("kv"))
+    both = scratch.cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("kv").alias("ku"), F.col("ku").alias("kv"))).distinct())
+    rounds = 0
+    while both.limit(1).count():
+        if rounds == IN_ORDER:  # hashes of nodes: half of the links or more end in each round, by expectation
+            key = lambda x: F.struct((F.xxhash64(x) % 2 == 0).alias("none"), F.xxhash64(x).alias("low"), F.col(x).alias("node"))
+            both = both.select("u", "v", key("u").alias("ku"), key("v").alias("kv"))
+        order = lambda x: F.struct(f"{x}.none", F.coalesce(f"{x}.low", F.lit(0)), f"{x}.node")
+        stay = both.groupBy("u").agg(F.min(order("ku")).alias("own"), F.min(order("kv")).alias("least")).where("own < least").select("u")
+        go = scratch.cut(both.join(stay, "u", "left_semi").select(F.col("v").alias("node")).distinct())
+        near = near.unionByName(go)
+        open_ = both.join(go.withColumnRenamed("node", "u"), "u", "left_anti").join(go.withColumnRenamed("node", "v"), "v", "left_anti")
+        both = scratch.cut(open_.select("u", "v", "ku", "kv"))
+        rounds += 1
+    return near
+
+
 def one_of_each(docs: DataFrame, *, width: int = 2, budget: int = 4, tables: int = 14, similarity: float | None = 0.8, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row of the smallest id stays, and no other.
+    """The rows of ``docs`` without near copies: none that is dropped is less than ``similarity`` like a row that stays.
 
-    Of several texts of that id the one with the smallest hash stays, of equal
-    rows one.  A component without any id keeps one row too.
+    Of texts that are alike the one of the smallest id stays, of equal ids that of
+    the smallest hash, of equal rows one; texts without any id come last.  In chains
+    of texts each like the next only, those that stay may follow hashes.  Without
+    ``similarity`` one row of each component stays.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marks, named = _marked(docs, width, budget, tables, similarity, limit, id_col, text_col, scratch)
-    rows = join_counted(marks.select("doc_id", "tid", "class"), named, "class", "n", marks.count())
-    rows = scratch.cut(rows.groupBy("root", "doc_id", "tid").agg(F.count("*").alias("n")))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tid")).alias("best"), F.count("*").alias("rows"))
-    rows = join_counted(rows, scratch.cut(best), "root", "rows", rows.count())
-    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tid") == F.col("best.tid"))
+    marks, classes, found = _classes(docs, width, budget, tables, similarity, limit, id_col, text_col, scratch)
+    gone = _gone(docs, classes, found, similarity, id_col, text_col, scratch).distinct().withColumn("goes", F.lit(True))
+    info = classes.select(F.col("node").alias("class"), "n", F.struct("low", "tid").alias("best")).join(gone.withColumnRenamed("node", "class"), "class", "left")
+    rows = join_counted(marks.select("doc_id", "tid", "class"), scratch.cut(info), "class", "n", marks.count())
+    rows = scratch.cut(rows.groupBy("class", "doc_id", "tid", "best", "goes").agg(F.count("*").alias("n")))
+    first = F.col("goes").isNull() & F.col("doc_id").eqNullSafe(F.col("best.low")) & (F.col("tid") == F.col("best.tid"))
     gone = rows.where(~first).select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"))
     tid = F.xxhash64(text_col)
     left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (tid == F.col("__tid")), "left_anti")
