@@ -566,7 +566,7 @@ def _prime(n: int) -> int:
 def _prime_round_trip(s, d):
     """A signal of a prime number of cells through a transform by chirps and back."""
     n = _prime(64 * i.height(s, d))
-    back = millionths(fourier.inverse_normalized(fourier.forward(_padded_signal(s, d, n)), n)).settled().df
+    back = millionths(singles(fourier.inverse_normalized(fourier.forward(_padded_signal(s, d, n)), n))).settled().df
     return back.select((F.col("x") % 64).alias("x"), F.expr("x div 64").alias("y"), "v")
 
 
