@@ -587,7 +587,7 @@ _add(
     FROM img, n, (SELECT unnest(range(n // 2 + 1)) AS y FROM n) k GROUP BY img.x, k.y""",
 )
 _add("f1_row_transform", lambda s, d: _parts(fourier.forward(i.emb(s, d), stack=(1,))), f"{_DFT} SELECT x, y, {_tq('re')} AS re, {_tq('im')} AS im FROM f")
-_add("f1_round_trip", lambda s, d: (lambda g: millionths(fourier.inverse_normalized(fourier.forward(g), g.size[0])))(i.emb(s, d)), _img(_mq("v"), DOUBLES))
+_add("f1_round_trip", lambda s, d: (lambda g: millionths(singles(fourier.inverse_normalized(fourier.forward(g), g.size[0]))))(i.emb(s, d)), _img(_mq("v"), DOUBLES))
 _add("f1_long_signal_round_trip", _long_round_trip, _img(_mq("v"), DOUBLES))
 _add("f3_stack_normalized", lambda s, d: _parts(fourier.forward_normalized(i.emb(s, d), stack=(1,))), f"{_DFT} SELECT x, y, {_tq('re / 64')} AS re, {_tq('im / 64')} AS im FROM f")
 _add("u17_power_spectrum", lambda s, d: (lambda g: g.with_value(F.floor(g.value * 1e3 + 0.5).cast("bigint")))(complexes.amplitude(fourier.forward(i.emb(s, d), stack=(1,)))), f"{_DFT} SELECT x, y, CAST(floor((re*re + im*im) * 1e3 + 0.5) AS BIGINT) AS v FROM f")
