@@ -573,7 +573,7 @@ def _prime_round_trip(s, d):
 def _tall_round_trip(s, d):
     """The image in eight columns through a transform of both axes, the tall one split, and back."""
     n = 8 * i.height(s, d)
-    g = millionths(fourier.inverse_normalized(fourier.forward(index_space.reshaped(i.emb(s, d), (8, n))), 8))
+    g = millionths(singles(fourier.inverse_normalized(fourier.forward(index_space.reshaped(i.emb(s, d), (8, n))), 8)))
     at = F.col("x") + 8 * F.col("y")
     return g.settled().df.select((at % 64).alias("x"), F.expr("(x + 8 * y) div 64").alias("y"), "v")
 

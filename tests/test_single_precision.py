@@ -24,7 +24,7 @@ def halves(tmp_path_factory):
     return str(folder), a.astype(float)
 
 
-@pytest.mark.parametrize("name", ["f1_long_signal_round_trip", "f1_prime_length_round_trip", "f1_round_trip"])
+@pytest.mark.parametrize("name", ["f1_long_signal_round_trip", "f1_prime_length_round_trip", "f1_round_trip", "f1_tall_round_trip"])
 def test_round_trips_of_halves(spark, halves, name):
     folder, a = halves
     want = np.floor(a * 1e6 + 0.5).astype(int)
