@@ -619,7 +619,7 @@ def _wiener(s, d):
     g = i.emb(s, d).settled()
     spread = index_space.padded(tables.from_array(s, k.gaussian_nd(0.6, 0.6).weights.tolist()), g.size, (-1, -1), 0.0)
     blurred = fourier.convolved_by_spectrum(g, spread).settled()
-    return millionths(fourier.wiener_deconvolution(blurred, spread, 1e-12).settled().with_value(F.round(F.col("v"), 4)))
+    return millionths(singles(fourier.wiener_deconvolution(blurred, spread, 1e-12)).settled().with_value(F.round(F.col("v"), 4)))
 
 
 _add("f5_wiener", _wiener, _img(_mq("round(v, 4)"), DOUBLES))

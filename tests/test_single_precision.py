@@ -31,3 +31,11 @@ def test_round_trips_of_halves(spark, halves, name):
     got = {(r.x, r.y): r.v for r in catalogue.queries()[name](spark, folder).collect()}
     assert [got.pop((x, y)) for y in range(ROWS) for x in range(64)] == want.reshape(-1).tolist()
     assert not any(got.values())  # the zeros behind a signal of a prime length
+
+
+def test_deconvolution_of_halves(spark, halves):
+    folder, a = halves
+    rounded = np.trunc(np.abs(a) * 1e4 + 0.5) * np.sign(a) / 1e4
+    want = np.floor(rounded * 1e6 + 0.5).astype(int)
+    got = {(r.x, r.y): r.v for r in catalogue.queries()["f5_wiener"](spark, folder).collect()}
+    assert [got[x, y] for y in range(ROWS) for x in range(64)] == want.reshape(-1).tolist()
