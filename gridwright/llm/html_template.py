@@ -1,36 +1,44 @@
 """Main text of web pages by templates deduced from pages of one host.
 
-*Tokens* are opening tags in their role: the path of open elements (with class
-and id, digits dropped).  A token's occurrence vector holds how often it occurs
-on each page of the host.  Tokens with equal vectors form an equivalence class;
-a vector is known by a signature, the exclusive or of a hash of page and count
-over all pages, which adds up in any order and place.  A class is valid if its
-tokens occur once on each page that has them: such tokens are elements in one
-order, and a class nests in the gap of another that holds its first token.  The
-class of all pages is the skeleton, others are the layouts of some pages.
-
-The gaps are the slots.  Each is weighed by the prose in it that isn't the same
-on all pages: text outside of links and of elements set aside.  A containing
-element of a valid class is a *region* if two thirds of its pages' weight lie in
-it; the innermost region of a page is the slot that is extracted, with all text
-in it.  Roles whose text is the same on each of ``FEW`` pages or more are template
-text, not slots: they are extracted within ``article`` and ``main`` only, and give
-no weight.  Names of elements only break ties: a region never goes inside an
-``article`` or ``main``; one that holds half of the region's prose, or of that of
-a page without region, stands for it; and elements for menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments are set aside, by their
+*Tokens* are opening and closing tags of elements in their role: the path of open
+elements (with class and id, digits dropped).  A token's occurrence vector holds
+how often it occurs on each page of the host.  Tokens with equal vectors form an
+equivalence class; a vector is known by a signature, the exclusive or of a hash of
+page and count over all pages, which adds up in any order and place.  Classes of
+tokens that occur once on each page that has them are used.  The class of all
+pages is the skeleton, others are the layouts of some pages.
+
+A class is *valid* if its tokens are in one order on all its pages, and if it is
+nested: from its first token to its last it stays in one gap between neighbouring
+tokens of any other class.  A class that isn't is broken into its elements, each a
+class of its own (an element's two tags are always in order and nested).
+
+The innermost gaps are the slots (:class:`Slots`).  A gap with the same text on
+each of ``FEW`` pages or more that have text there is template text, and so is the
+text of a role that is the same on as many: it is extracted within ``article`` and
+``main`` only, and gives no weight.  Slots are weighed by the prose in them: text
+outside of links and of elements set aside.  A containing element of a class is a
+*region* if two thirds of its pages' weight lie in the slots from its one tag to
+the other; the innermost region of a page is extracted, with all text in its slots.
+Names of elements only break ties: a region never goes inside an ``article`` or
+``main``; one that holds half of the region's prose, or of that of a page without
+region, stands for it; and elements for menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments are set aside, by their
 tags or where a class or id says nothing else (``ad-box``, not ``related-work``).
 Outside of a region its pages' heading (``h1``) is extracted too, if it differs.
 
 Signatures are summed per batch, then per host in Spark: no host's pages are
-gathered.  Regions and template text are a table of host and role, whatever
+gathered.  So are the classes' orders, the gaps' texts and the weights, by another
+pass over the pages of hosts of ``FEW`` pages or more (of fewer there is no telling
+what is the same), and one more for hosts where classes were broken or gaps
+closed.  Classes, regions and template text are a table of host and role, whatever
 their share of the host's pages.  It is broadcast if it is within
 ``TEMPLATE_BYTES``; else the pages' roles are joined with it by host and role,
 and each page gets its own of them.
 
 Null and empty html give an empty text.  Urls without host share the template
 of the empty host.  Repeated rows are pages each, but cancel in pairs in the
-signatures; ties in depth go to the slot with more prose, then to the first; a
+signatures (classes that meet so are told apart by their order); ties in depth go to the slot with more prose, then to the first; a
 null id passes through; an empty table gives an empty result; other columns play
 no part.  The time for a very long page follows its length.
 """
@@ -40,7 +48,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import pyarrow as pa
 import xxhash
@@ -58,7 +67,9 @@ NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-TEMPLATE, REGION = 1, 2
+ELEMENT, TEMPLATE, REGION, MEMBER, AFTER_OPEN, AFTER_CLOSE = range(6)
+GAPS = f"what in ({AFTER_OPEN}, {AFTER_CLOSE})"
+BREAKS = 2
 # fixed values: elements of HTML by how they behave
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("script style noscript template textarea iframe svg title".split())
@@ -208,11 +219,88 @@ class Reader:
         yield "close", root, None, True
 
 
-def blocks(page: str, reader: Reader, regions: frozenset[int], template: frozenset[int]) -> Iterator[str]:
-    """The blocks of the page's slot, in order."""
+@dataclass(slots=True)
+class Known:
+    """What is known of a host's roles: template text, regions, the classes of those that occur once, and gaps that are template text."""
+
+    template: frozenset[int] = frozenset()
+    regions: frozenset[int] = frozenset()
+    classes: dict[int, int] = field(default_factory=dict)
+    left: dict[int, int] = field(default_factory=dict)  # by class: its tokens
+    shut: frozenset[tuple[int, int]] = frozenset()
+
+
+NOTHING = Known()
+
+
+def knowledge(column: pa.ListArray) -> Iterator[Known]:
+    """What is known, row by row; rows of one host mostly share it."""
+    seen: dict[tuple[bytes, ...], Known] = {}
+    offsets, fields = column.offsets.to_pylist(), [column.values.field(i).to_numpy() for i in range(3)]
+    for i, there in enumerate(column.is_valid().to_pylist()):
+        parts = [f[offsets[i] : offsets[i + 1]] for f in fields] if there else []
+        key = tuple(x.tobytes() for x in parts)
+        if key not in seen:
+            rows = list(zip(*(x.tolist() for x in parts)))
+            classes = {role: own for role, what, own in rows if what == MEMBER}
+            left: dict[int, int] = {}
+            for own in classes.values():
+                left[own] = left.get(own, 0) + 2
+            of = lambda kind: frozenset(role for role, what, _ in rows if what == kind)  # noqa: E731, B023
+            seen[key] = Known(of(TEMPLATE), of(REGION), classes, left, frozenset((role, what) for role, what, _ in rows if what in (AFTER_OPEN, AFTER_CLOSE)))
+        yield seen[key]
+
+
+class Slots:
+    """Walks along a page's tokens: ``gap`` is the token in front of the innermost gap, ``order`` each class's tokens, ``broken`` classes that cross others."""
+
+    def __init__(self, known: Known):
+        self.known = known
+        self.gap: tuple[int, int] | None = None
+        self.order: dict[int, int] = {}
+        self.broken: set[int] = set()
+        self.open: list[list] = []  # class, token in front, open elements, tokens to come
+        self.place: dict[int, int] = {}
+        self.token(ROOT_ROLE, AFTER_OPEN)
+
+    def leave(self) -> None:
+        """The innermost class ends, and broken ones around it."""
+        del self.place[self.open.pop()[0]]
+        while self.open and self.open[-1][0] in self.broken:
+            del self.place[self.open.pop()[0]]
+
+    def token(self, role: int, side: int) -> None:
+        own = self.known.classes.get(role)
+        if own is None or own in self.broken:
+            return
+        if self.known.left[own] > 2:
+            self.order[own] = hash((self.order.get(own, 0), role, side))
+        if own not in self.place:
+            self.place[own] = len(self.open)
+            self.open.append([own, None, 0, self.known.left[own]])
+        while self.open[-1][0] != own:  # a class began in this one's gap and hasn't ended
+            if self.open[-1][2]:  # the token is in an element of it, others are outside
+                self.broken.add(own)
+                return
+            self.broken.add(self.open[-1][0])
+            self.leave()
+        last = self.open[-1]
+        last[1] = (role, side)
+        last[2] += 1 if side == AFTER_OPEN else -1
+        last[3] -= 1
+        if not last[3]:
+            self.leave()
+        self.gap = self.open[-1][1] if self.open else None
+
+
+def blocks(page: str, reader: Reader, known: Known) -> Iterator[str]:
+    """The blocks of the page's slots, in order."""
     shown: list[tuple[Element, str, bool]] = []
+    slots, regions = Slots(known) if known.shut else None, known.regions
     best, article_mass, all_mass = None, 0, 0
     for kind, e, text, breaks in reader.read(page):
+        if slots and kind in ("open", "close"):
+            slots.token(e.role, AFTER_OPEN if kind == "open" else AFTER_CLOSE)
         if kind == "open":
             e.region = e if e.role in regions else e.parent.region
         elif kind == "close" and e.region is e and e.mass:
@@ -221,7 +309,8 @@ def blocks(page: str, reader: Reader, regions: frozenset[int], template: frozens
             if e.parent.region is not None:
                 e.parent.region.mass += e.mass
         if text and not e.aside:
-            shown.append((e, text, breaks))
+            same = not e.article and (e.role in known.template or slots is not None and slots.gap in known.shut)
+            shown.append((e, "" if same else text, breaks))
             if kind == "text" and (size := len(text.strip())):
                 all_mass += size
                 article_mass += size * e.article
@@ -239,18 +328,18 @@ def blocks(page: str, reader: Reader, regions: frozenset[int], template: frozens
             yield " ".join("".join(held).split())
             held = []
         here = (best is None or e.region is best) and (e.article or not article) or best is not None and not article and e.name == "h1"
-        if text and here and (e.article or e.role not in template):
+        if text and here:
             held.append(html.unescape(text))
     if held:
         yield " ".join("".join(held).split())
 
 
-def extract(page: str | None, reader: Reader, regions: frozenset[int] = frozenset(), template: frozenset[int] = frozenset()) -> str:
+def extract(page: str | None, reader: Reader, known: Known = NOTHING) -> str:
     """The main text: non-empty blocks on a line each."""
-    return "\n".join(x for x in blocks(page or "", reader, regions, template) if x)
+    return "\n".join(x for x in blocks(page or "", reader, known) if x)
 
 
-SUMS = "host string, role bigint, signature bigint, pages bigint, total bigint, depth int, container boolean, article boolean, texts bigint, low bigint, high bigint, mass bigint, page_mass bigint, sub_low bigint, sub_high bigint"
+SUMS = "host string, role bigint, what int, signature bigint, pages bigint, total bigint, depth int, container boolean, article boolean, texts bigint, low bigint, high bigint, mass bigint, page_mass bigint, sub_low bigint, sub_high bigint"
 _KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
@@ -258,23 +347,32 @@ def tokens(pages: DataFrame) -> DataFrame:
     """``host``, ``role`` and what adds up to its vector's signature, text and weight, of every batch of ``pages(host, html, name[, known])``.
 
     ``name`` tells pages of equal content apart; repeated rows of one name cancel
-    in pairs.  Text in roles that are ``known`` as template text has no weight.
+    in pairs.  Text that is ``known`` as template text has no weight.  Where classes
+    are known, there are also the orders of their tokens (``what`` is ``MEMBER``,
+    ``role`` the class; the widest range for a class that crosses another), and the
+    texts of their gaps (``AFTER_OPEN`` or ``AFTER_CLOSE`` of the role in front).
     """
     columns = ["host", "html", "name", *(["known"] if "known" in pages.columns else [])]
     schema = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in SUMS.split(", ")])
 
-    def measure(page: str, reader: Reader, template: frozenset[int]) -> dict[int, list]:
-        """By role: count, depth, container, article, direct texts, weight, hash of all text inside."""
+    def measure(page: str, reader: Reader, known: Known, gaps: dict[tuple[int, int], list]) -> dict[int, list]:
+        """By role: count, depth, container, article, weight, hash of all text inside, direct texts; ``gaps`` gets if in an article and a hash, twice."""
+        slots = Slots(known) if known.classes else None
         found: dict[int, list] = {}
         texts: dict[int, list[str]] = {}
         for kind, e, text, _ in reader.read(page):
+            if slots and kind in ("open", "close"):
+                slots.token(e.role, AFTER_OPEN if kind == "open" else AFTER_CLOSE)
             if kind == "text":
-                if not e.aside and not e.link and (e.article or e.role not in template) and (size := len(text.strip())):
-                    e.mass += size
+                if not e.aside and (size := len(text.strip())):
                     h = digest(text)
-                    e.content = (e.content * 31 + h) & 0xFFFFFFFFFFFFFFFF
-                if not e.aside and text.strip():
                     texts.setdefault(e.role, []).append(text)
+                    if slots and slots.gap:
+                        gap = gaps.setdefault(slots.gap, [False, 0])
+                        gap[0], gap[1] = gap[0] or e.article, (gap[1] * 31 + h) & 0xFFFFFFFFFFFFFFFF
+                    if not e.link and (e.article or e.role not in known.template and not (slots and slots.gap in known.shut)):
+                        e.mass += size
+                        e.content = (e.content * 31 + h) & 0xFFFFFFFFFFFFFFFF
             elif kind == "close":
                 if e.parent is not None:
                     e.parent.mass += e.mass
@@ -289,16 +387,21 @@ def tokens(pages: DataFrame) -> DataFrame:
                     own[5] ^= e.content
         for role, t in texts.items():
             found.setdefault(role, [1, 0, False, False, 0, 0]).append("\n".join(t))
+        for (role, side), (article, h) in gaps.items():
+            gaps[role, side] = [article, h - (1 << 63), h - (1 << 63)]
+        for own, h in slots.order.items() if slots else ():
+            gaps[own, MEMBER] = [False, h, h] if own not in slots.broken else [False, -(1 << 63), (1 << 63) - 1]
         return found
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in slices(batches):
-            sums: dict[tuple[str, int], list] = {}
-            for host, page, name, *known in zip(*(c.to_pylist() for c in batch.columns)):
-                page = page or ""
+            sums: dict[tuple[str, int, int], list] = {}
+            held = knowledge(batch.column(3)) if batch.num_columns > 3 else repeat(NOTHING)
+            for host, page, name, known in zip(*(c.to_pylist() for c in batch.columns[:3]), held):
+                page, gaps = page or "", {}
                 own = f"{name} {xxhash.xxh64_hexdigest(page)}"
-                found = measure(page, reader, roles(known[0] if known else None, TEMPLATE))
+                found = measure(page, reader, known, gaps)
                 page_mass = found[ROOT_ROLE][4]
                 for role, (n, depth, container, article, mass, content, *text) in found.items():
                     n = 1 if role == ROOT_ROLE else n
@@ -306,9 +409,9 @@ def tokens(pages: DataFrame) -> DataFrame:
                     text = text[0] if text else None
                     x = digest(text) if text is not None else None
                     mark = digest(f"{own} {n}")
-                    s = sums.get((host, role))
+                    s = sums.get((host, role, ELEMENT))
                     if s is None:
-                        sums[host, role] = [mark, 1, n, depth, container, article, int(x is not None), x, x, mass, page_mass, content, content]
+                        sums[host, role, ELEMENT] = [mark, 1, n, depth, container, article, int(x is not None), x, x, mass, page_mass, content, content]
                         continue
                     s[0] ^= mark
                     s[1] += 1
@@ -319,61 +422,81 @@ def tokens(pages: DataFrame) -> DataFrame:
                     s[9] += mass
                     s[10] += page_mass
                     s[11], s[12] = min(s[11], content), max(s[12], content)
+                for (role, what), (article, low, high) in gaps.items():
+                    s = sums.setdefault((host, role, what), [0, 0, 0, 0, False, False, 0, low, high, 0, 0, 0, 0])
+                    s[1], s[5], s[6], s[7], s[8] = s[1] + 1, s[5] or article, s[6] + 1, min(s[7], low), max(s[8], high)
             if sums:
                 keys, rows = list(sums), list(sums.values())
-                yield record_batch([[k[0] for k in keys], [k[1] for k in keys], *(list(x) for x in zip(*rows))], schema)
+                yield record_batch([*map(list, zip(*keys)), *(list(x) for x in zip(*rows))], schema)
 
     return pages.select(*columns).mapInArrow(apply, SUMS)
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """The tokens of every host: ``host, role``, the class's ``signature, pages, total``, and sums over all pages."""
-    return tokens(pages).groupBy("host", "role").agg(
+    """The tokens of every host: ``host, role, what``, the class's ``signature, pages, total``, and sums over all pages."""
+    return tokens(pages).groupBy("host", "role", "what").agg(
         F.bit_xor("signature").alias("signature"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.min("depth").alias("depth"),
         F.max("container").alias("container"), F.max("article").alias("article"), F.sum("texts").alias("texts"), (F.min("low") < F.max("high")).alias("differs"),
         F.sum("mass").alias("mass"), F.sum("page_mass").alias("page_mass"), (F.min("sub_low") < F.max("sub_high")).alias("varies"),
     )
 
 
-def roles(known: list[dict] | None, what: int) -> frozenset[int]:
-    return frozenset(x["role"] for x in known or () if x["what"] == what)
+def members(found: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The roles of :func:`classes` that occur once on each page that has them, as ``MEMBER`` of the class of equal vectors (``value``, its least role)."""
+    once = join_counted(found.where("pages = total"), hosts, "host", "roles", found.count()).select("host", "role", "signature", "pages")
+    first = once.groupBy("host", "signature", "pages").agg(F.min("role").alias("value"))
+    return once.join(first, ["host", "signature", "pages"]).select("host", "role", F.lit(MEMBER).alias("what"), "value", "pages")
 
 
 def regions(found: DataFrame) -> DataFrame:
     """The roles of :func:`classes` that are regions: once on each page that has them, with two thirds of the weight."""
     # on few pages there is no telling what is the same
-    region = f"role <> {ROOT_ROLE} and container and pages = total and mass > 0 and (varies or pages < {FEW}) and mass * 3 >= page_mass * 2"
-    return found.where(region).select("host", "role", F.lit(REGION).alias("what"), "pages")
+    region = f"what = {ELEMENT} and role <> {ROOT_ROLE} and container and pages = total and mass > 0 and (varies or pages < {FEW}) and mass * 3 >= page_mass * 2"
+    return found.where(region).select("host", "role", F.lit(REGION).alias("what"), F.lit(0).cast("bigint").alias("value"), "pages")
 
 
 def template(pages: DataFrame, scratch: Scratch, template_bytes: int = TEMPLATE_BYTES) -> DataFrame:
-    """``host``, ``role``, ``what`` (``TEMPLATE`` text or ``REGION``) and ``pages``, of ``pages(host, html, name)``.
+    """``host``, ``role``, ``what`` is known of it, a ``value`` (the class) and ``pages``, of ``pages(host, html, name)``.
 
-    Pages of hosts with template text are weighed again without it.
+    The rows of a class are there for hosts with gaps that are template text.
+    Pages of hosts whose classes broke or that have such gaps are weighed again;
+    after ``BREAKS`` turns all classes of a host that still has broken ones are.
     """
     found = scratch.cut(classes(pages))
     size = F.max(F.when(F.col("role") == ROOT_ROLE, F.col("pages"))).alias("n")
-    hosts = scratch.cut(found.groupBy("host").agg(size, F.count("*").alias("roles"), F.max("differs").alias("any")).where(f"any and n >= {FEW}"))
+    large = scratch.cut(found.groupBy("host").agg(size, F.count("*").alias("roles"), F.max("differs").alias("any")).where(f"n >= {FEW}").drop("n"))
     same = found.where(f"texts >= {FEW} and not differs and not article").select("host", "role", "pages")
-    same = join_counted(same, hosts, "host", "roles", found.count()).select("host", "role", F.lit(TEMPLATE).alias("what"), "pages")
+    same = join_counted(same, large.where("any"), "host", "roles", found.count()).select("host", "role", F.lit(TEMPLATE).alias("what"), F.lit(0).cast("bigint").alias("value"), "pages")
     same = scratch.cut(same)
-    if not same.limit(1).count():
-        return scratch.cut(regions(found))
-    closed = same.select("host").distinct()
-    again = classes(attached(pages.join(closed, "host", "left_semi"), same, scratch, template_bytes))
-    rest = found.join(closed, "host", "left_anti")
-    return scratch.cut(same.unionByName(regions(again)).unionByName(regions(rest)))
+    done = same.unionByName(regions(found.join(large, "host", "left_anti")))
+    todo = scratch.cut(same.unionByName(members(found, large)))
+    turn = 0
+    while todo.limit(1).count():
+        sums = scratch.cut(classes(attached(pages, todo, scratch, template_bytes).where("known is not null")))
+        wrong = scratch.cut(sums.where(f"what = {MEMBER} and differs").select("host", F.col("role").alias("value")))
+        shut = sums.where(f"{GAPS} and texts >= {FEW} and not differs and not article").select("host", "role", "what", F.lit(0).cast("bigint").alias("value"), "pages")
+        shut = scratch.cut(shut.join(todo.where(GAPS), ["host", "role", "what"], "left_anti").join(wrong, "host", "left_anti"))
+        again = wrong.select("host").union(shut.select("host")).distinct()
+        closed = todo.where(GAPS).select("host").distinct()
+        ready = todo.where(f"{GAPS} or what = {MEMBER}").join(closed, "host", "left_semi").join(again, "host", "left_anti")
+        done = done.unionByName(regions(sums.join(again, "host", "left_anti"))).unionByName(ready)
+        apart = wrong.select("host", *(["value"] if turn < BREAKS else [])).distinct().withColumn("apart", F.lit(True))
+        broken = todo.join(wrong, "host", "left_semi").join(apart, apart.columns[:-1], "left")
+        broken = broken.withColumn("value", F.when(F.col("apart") & (F.col("what") == MEMBER), F.col("role")).otherwise(F.col("value"))).drop("apart")
+        more = todo.join(shut, "host", "left_semi").unionByName(shut)
+        todo, turn = scratch.cut(broken.unionByName(more)), turn + 1
+    return scratch.cut(done)
 
 
 def attached(pages: DataFrame, known: DataFrame, scratch: Scratch, template_bytes: int) -> DataFrame:
     """``pages`` with ``known``, roles of the page's host and what they are: all of it, or those on the page if all are too large to broadcast."""
-    size = known.agg(F.sum(F.length("host") + 40).alias("b"), F.sum("pages").alias("n")).first()
+    size = known.agg(F.sum(F.length("host") + 48).alias("b"), F.sum("pages").alias("n")).first()
     if (size.b or 0) <= template_bytes:
-        return pages.join(F.broadcast(known.groupBy("host").agg(F.collect_list(F.struct("role", "what")).alias("known"))), "host", "left")
+        return pages.join(F.broadcast(known.groupBy("host").agg(F.collect_list(F.struct("role", "what", "value")).alias("known"))), "host", "left")
     keyed = pages.withColumn("key", F.xxhash64("host", "html"))
     tag = F.struct("host", "role").alias("tag")
-    met = join_counted(page_roles(keyed).select("key", tag), known.select(tag, "what", "pages"), "tag", "pages", size.n)
-    own = met.groupBy("key").agg(F.collect_set(F.struct("tag.role", "what")).alias("known"))
+    met = join_counted(page_roles(keyed).select("key", tag), known.select(tag, "what", "value", "pages"), "tag", "pages", size.n)
+    own = met.groupBy("key").agg(F.collect_set(F.struct("tag.role", "what", "value")).alias("known"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
     own = scratch.cut(counts.join(own, "key", "left"))
     return join_counted(keyed, own, "key", "n", own.agg(F.sum("n").alias("n")).first().n or 0)
@@ -404,7 +527,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in slices(batches):
-            texts = [extract(page, reader, roles(known, REGION), roles(known, TEMPLATE)) for page, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [extract(page, reader, known) for page, known in zip(batch.column(2).to_pylist(), knowledge(batch.column(3)))]
             yield record_batch([batch.column(0), batch.column(1), texts, [len(x) for x in texts]], schema)
 
     return both.select("page_id", "url", "html", "known").mapInArrow(apply, "page_id bigint, url string, text string, n_chars bigint")

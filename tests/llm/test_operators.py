@@ -586,6 +586,28 @@ def test_regions_of_unnamed_elements(spark):
         assert {r.page_id: r.text for r in html_template.main_text(pages, template_bytes=most).collect()} == {r[0]: r[3] for r in rows}
 
 
+def test_gaps_of_valid_classes_are_the_slots(spark):
+    """A line between two tags is template text if they are of one class, in one order, and cross no other class; in the same role others have text of their own."""
+    own = "line of page {}"
+    between = lambda i: "<i class=x></i>same line<i class=y></i>"
+    marks = {
+        "class": between,
+        "vectors": lambda i: "<i class=x></i>same line" if i == 4 else between(i),
+        "order": lambda i: "<i class=y></i>same line<i class=x></i>" if i > 5 else between(i),
+        "nesting": lambda i: "<u class=w><i class=x></i></u>same line<i class=y></i>",
+    }
+    rows = []
+    for h, (host, mark) in enumerate(marks.items()):
+        for i in range(16):
+            words = " ".join(words_of(30, i))
+            other = ("<u class=w></u>" if host == "nesting" else "") + own.format(i)
+            rest = ("" if host == "class" else "\nsame line") if i % 2 == 0 else f"\n{own.format(i)}"
+            rows.append((100 * h + i, f"http://{host}.example/{i}", f"<body><div class=c><p>{words}</p>{other if i % 2 else mark(i)}</div></body>", words + rest))
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string").repartition(3)
+    for most in (1 << 24, 0):
+        assert {r.page_id: r.text for r in html_template.main_text(pages, template_bytes=most).collect()} == {r[0]: r[3] for r in rows}
+
+
 def test_names_set_aside():
     assert all(map(html_template.set_aside, "ad ads ad-box adBanner comments comment-list site-footer cookie_notice nav sidebar-left share-buttons related-posts".split()))
     assert not any(map(html_template.set_aside, "related-work social-history ad-hoc share-price article content post-body notice-of-meeting adapter header1x shadow menu-engineering".split()))
