@@ -89,19 +89,38 @@ def load(spark: SparkSession, path: str, kind: str | None = None, size: Sequence
 def slabs(g: Grid, kind: str, cells_per_slab: int = 1 << 20) -> DataFrame:
     """``slab, bytes``: the raw file in pieces of whole cells, in linear order."""
     dtype = np.dtype(KINDS[kind])
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("i")["v"]
-        first = v.iloc[0]
-        if isinstance(first, dict) or hasattr(first, "re"):
-            v = [complex(x["re"], x["im"]) for x in v]
-        a = np.array(list(v))
-        if dtype.kind in "iu" and (a.min() < np.iinfo(dtype).min or a.max() > np.iinfo(dtype).max):
+    schema = pa.schema([("slab", pa.int64()), ("bytes", pa.binary())])
+
+    def numbers(v: pa.Array) -> np.ndarray:
+        """A row for each cell, by its channels."""
+        if pa.types.is_struct(v.type):
+            return numbers(v.field("re")) + 1j * numbers(v.field("im"))
+        if pa.types.is_list(v.type):
+            width = v.value_lengths().to_numpy(zero_copy_only=False)
+            if v.null_count or (width != width[0]).any():
+                raise GridError("cells of different numbers of channels")
+            return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        return v.to_numpy(zero_copy_only=False)[:, None]
+
+    def pack(table: pa.Table) -> pa.Table:
+        a = numbers(table.column("v").combine_chunks())[np.argsort(table.column("i").to_numpy())]
+        if dtype.kind in "iu" and a.size and (a.min() < np.iinfo(dtype).min or a.max() > np.iinfo(dtype).max):
             raise GridError(f"values don't fit {kind}")
-        return pd.DataFrame({"slab": [int(pdf["slab"].iloc[0])], "bytes": [a.astype(dtype).tobytes()]})
+        return pa.table([table.column("slab")[:1], pa.array([a.astype(dtype).tobytes()], pa.binary())], schema=schema)
 
     rows = g.settled().df.select(linear_column(g.size, g.dims).alias("i"), "v").withColumn("slab", F.expr(f"i div {cells_per_slab}"))
-    return rows.groupBy("slab").applyInPandas(pack, "slab bigint, bytes binary")
+    return rows.groupBy("slab").applyInArrow(pack, "slab bigint, bytes binary")
+
+
+def batch_of(a: np.ndarray, first: int, size: Sequence[int]) -> pa.RecordBatch:
+    """Cells of whole numbers or fractions (a row for each, by its channels) from linear index ``first`` on."""
+    columns, left = [], np.arange(len(a)) + first
+    for s in size:
+        columns.append(pa.array(left % s))
+        left = left // s
+    flat = pa.array(a.reshape(-1).astype("f8" if a.dtype.kind == "f" else "i8"))
+    v = pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], flat) if a.shape[1] > 1 else flat
+    return pa.RecordBatch.from_arrays([*columns, v], names=[*AXES[: len(size)], "v"])
 
 
 def from_slabs(rows: DataFrame, kind: str, size: Sequence[int], cells_per_slab: int = 1 << 20, channels: int = 1) -> Grid:

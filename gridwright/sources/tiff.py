@@ -1,17 +1,20 @@
 """TIFF images without compression: gray, RGB, RGBA and CMYK of 8, 16 and 32 bits, whole numbers and fractions.
 
 The cells of an image lie in a file row after row, so tasks write their slabs at
-their places behind a header that is known beforehand (:mod:`.raw`).  A file is one
-task's work to read, as its strips may lie anywhere.
+their places behind a header that is known beforehand (:mod:`.raw`).  Tasks read ranges
+of cells, wherever their strips lie, of a file in a folder that all machines see;
+elsewhere a file is one task's work to read, in ranges too.
 """
 
 from __future__ import annotations
 
+import mmap
+import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +69,7 @@ def write(g: Grid, path: str, kind: str, meaning: str | None = None, cells_per_s
     raw.in_place(raw.slabs(g, kind, cells_per_slab), path, _header(g.size, kind, channels, meaning), width * cells_per_slab, width * g.element_count)
 
 
-def _tags(content: bytes) -> tuple[str, dict[int, tuple[int, ...]]]:
+def _tags(content: bytes | mmap.mmap) -> tuple[str, dict[int, tuple[int, ...]]]:
     """Byte order, and the first image's tags."""
     order = {b"II": "<", b"MM": ">"}.get(content[:2])
     if not order or struct.unpack(f"{order}H", content[2:4])[0] != 42:
@@ -87,44 +90,97 @@ def _tags(content: bytes) -> tuple[str, dict[int, tuple[int, ...]]]:
     return order, found
 
 
+RANGE = 1 << 16
+"""Cells that are read at once."""
+
+
+class Layout:
+    """Where the cells of a file lie, and what they are; ``content`` is read where its tags say."""
+
+    def __init__(self, content: bytes | mmap.mmap):
+        order, tags = _tags(content)
+        one = lambda tag, default: tags.get(tag, (default,))[0]
+        self.channels, bits, planes = one(CHANNELS, 1), set(tags.get(BITS, (1,))), one(PLANES, 1)
+        form = {v: k for k, v in FORMATS.items()}.get(one(FORMAT, 1))
+        self.meaning = {(0, 1): "white is zero", (1, 1): "gray", (2, 3): "rgb", (2, 4): "rgba", (5, 4): "cmyk"}.get((one(MEANING, 1), self.channels))
+        if one(PACKED, 1) != 1 or len(bits) > 1 or not form or not self.meaning or (planes != 1 and self.channels > 1) or not bits <= {8, 16, 32, 64}:
+            raise GridError(f"tags {tags}")
+        self.dtype = np.dtype(f"{order}{form}{bits.pop() // 8}")
+        self.size = (tags[WIDTH][0], tags[HEIGHT][0])
+        self.offsets = np.array(tags[OFFSETS], np.int64)
+        self.ends = np.cumsum(np.array(tags[COUNTS], np.int64))  # of the strips, put one behind the other
+        if self.ends[-1] < self.size[0] * self.size[1] * self.channels * self.dtype.itemsize:
+            raise GridError("the strips don't hold all cells")
+
+    def cells(self, content: bytes | mmap.mmap, first: int, end: int) -> np.ndarray:
+        """The cells from linear index ``first`` to ``end``, a row for each."""
+        width = self.channels * self.dtype.itemsize
+        at, stop, parts = first * width, end * width, []
+        while at < stop:
+            strip = int(np.searchsorted(self.ends, at, "right"))
+            upto = min(stop, int(self.ends[strip]))
+            left = int(self.ends[strip] - at)
+            begin = int(self.offsets[strip]) + int(self.ends[strip] - (self.ends[strip - 1] if strip else 0)) - left
+            parts.append(content[begin : begin + upto - at])
+            at = upto
+        return np.frombuffer(b"".join(parts), self.dtype).reshape(-1, self.channels)
+
+
 def decoded(content: bytes) -> tuple[np.ndarray, str]:
     """Rows, columns and channels of a file's content, and what the channels mean."""
-    order, tags = _tags(content)
-    one = lambda tag, default: tags.get(tag, (default,))[0]
-    channels, bits, planes = one(CHANNELS, 1), set(tags.get(BITS, (1,))), one(PLANES, 1)
-    form = {v: k for k, v in FORMATS.items()}.get(one(FORMAT, 1))
-    meaning = {(0, 1): "white is zero", (1, 1): "gray", (2, 3): "rgb", (2, 4): "rgba", (5, 4): "cmyk"}.get((one(MEANING, 1), channels))
-    if one(PACKED, 1) != 1 or len(bits) > 1 or not form or not meaning or (planes != 1 and channels > 1) or not bits <= {8, 16, 32, 64}:
-        raise GridError(f"tags {tags}")
-    data = b"".join(content[a : a + n] for a, n in zip(tags[OFFSETS], tags[COUNTS]))
-    dtype = np.dtype(f"{order}{form}{bits.pop() // 8}")
-    shape = (tags[HEIGHT][0], tags[WIDTH][0], channels)
-    return np.frombuffer(data, dtype, shape[0] * shape[1] * channels).reshape(shape), meaning
+    layout = Layout(content)
+    width, height = layout.size
+    return layout.cells(content, 0, width * height).reshape(height, width, layout.channels), layout.meaning
 
 
 def read(spark: SparkSession, path: str) -> tuple[Grid, str]:
     """A file as a grid (several channels are an array), and what its channels mean."""
-    file: DataFrame = spark.read.format("binaryFile").load(path)
+    here = path.removeprefix("file://").removeprefix("file:")
+    if not os.path.isfile(here):
+        return _read_whole(spark.read.format("binaryFile").load(path))
+    with open(here, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as content:
+        layout = Layout(content)
+    n = layout.size[0] * layout.size[1]
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(here, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as content:  # an error where the folder isn't seen
+            for b in batches:
+                for at in b.column(0).to_pylist():
+                    yield raw.batch_of(layout.cells(content, at, min(n, at + RANGE)), at, layout.size)
+
+    ranges = spark.range(0, n, RANGE, min(MOST_TASKS, -(-n // RANGE)))
+    return Grid(ranges.mapInArrow(cells, _schema(layout.channels, layout.dtype.kind)), layout.size), layout.meaning
+
+
+MOST_TASKS = 4096
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _schema(channels: int, kind: str) -> str:
+    element = "double" if kind == "f" else "bigint"
+    return f"x bigint, y bigint, v {f'array<{element}>' if channels > 1 else element}"
+
+
+def _read_whole(file: DataFrame) -> tuple[Grid, str]:
+    """The same from where tasks can't open files."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b["content"]:
-                a, meaning = decoded(bytes(content))
-                yield pd.DataFrame({"h": [a.shape[0]], "w": [a.shape[1]], "c": [a.shape[2]], "k": [a.dtype.kind], "m": [meaning]})
+            for content in b.column(0):
+                found = Layout(content.as_py())
+                yield pa.RecordBatch.from_pydict({"w": [found.size[0]], "h": [found.size[1]], "c": [found.channels], "k": [found.dtype.kind], "m": [found.meaning]})
 
-    known = file.select("content").mapInPandas(first, "h int, w int, c int, k string, m string").first()
-    channels, kind = known.c, "double" if known.k == "f" else "bigint"
+    known = file.select("content").mapInArrow(first, "w bigint, h bigint, c bigint, k string, m string").first()
+    n = known.w * known.h
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b["content"]:
-                a = decoded(bytes(content))[0]
-                a = a.astype(np.float64 if a.dtype.kind == "f" else np.int64)
-                for y, row in enumerate(a):
-                    yield pd.DataFrame({"x": np.arange(len(row)), "y": y, "v": list(row) if channels > 1 else row[:, 0]})
-
-    schema = f"x bigint, y bigint, v {f'array<{kind}>' if channels > 1 else kind}"
-    return Grid(file.select("content").mapInPandas(cells, schema), (known.w, known.h)), known.m
+            for content in b.column(0):
+                data = content.as_py()
+                layout = Layout(data)
+                for at in range(0, n, RANGE):
+                    yield raw.batch_of(layout.cells(data, at, min(n, at + RANGE)), at, layout.size)
+
+    return Grid(file.select("content").mapInArrow(cells, _schema(known.c, known.k)), (known.w, known.h)), known.m
 
 
 def cmyk_to_rgb(g: Grid, most: int = 255) -> Grid:

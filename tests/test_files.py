@@ -205,6 +205,38 @@ def test_tiff_of_others(spark, tmp_path):
         tiff._header((70_000, 70_000), "8U", 1, "gray")
 
 
+@pytest.mark.parametrize("rows_per_strip", [1, 3, 50])
+def test_tiff_ranges_lie_across_strips(spark, tmp_path, rows_per_strip):
+    """Strips in reverse order with gaps between them; ranges begin and end inside of rows and strips."""
+    a = np.arange(13 * 50 * 3, dtype="<u2").reshape(50, 13, 3)
+    strips = [a[y : y + rows_per_strip].tobytes() for y in range(0, 50, rows_per_strip)]
+    body, places = b"", {}
+    for i in reversed(range(len(strips))):
+        body += b"\xee" * 5
+        places[i] = 8 + len(body)
+        body += strips[i]
+    body += b"\0" * (len(body) % 2)
+    lists = b"".join(struct.pack("<I", places[i]) for i in range(len(strips))) + b"".join(struct.pack("<I", len(x)) for x in strips) + struct.pack("<3H", 16, 16, 16)
+    at, n = 8 + len(body), len(strips)
+    where = (places[0], len(strips[0])) if n == 1 else (at, at + 4 * n)
+    tags = [(256, 4, 1, 13), (257, 4, 1, 50), (258, 3, 3, at + 8 * n), (259, 3, 1, 1), (262, 3, 1, 2), (273, 4, n, where[0]), (277, 3, 1, 3), (278, 4, 1, rows_per_strip), (279, 4, n, where[1])]
+    data = b"II" + struct.pack("<HI", 42, at + len(lists)) + body + lists + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + bytes(4)
+    layout = tiff.Layout(data)
+    for first, end in ((0, 650), (0, 1), (7, 40), (38, 39), (649, 650), (12, 600)):
+        assert (layout.cells(data, first, end) == a.reshape(-1, 3)[first:end]).all()
+    (tmp_path / "s.tif").write_bytes(data)
+    for g, means in (tiff.read(spark, str(tmp_path / "s.tif")), tiff._read_whole(spark.read.format("binaryFile").load(str(tmp_path / "s.tif")))):
+        assert means == "rgb" and (arr(g) == a).all()
+
+
+def test_tiff_is_read_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "big.tif")
+    tiff.write(p.unique_id(spark, (500, 600)), path, "32U")
+    g, _ = tiff.read(spark, path)
+    tasks = g.cells.groupBy(F.spark_partition_id()).count().count()
+    assert tasks >= 4 and reduce.total(g.with_value(g.value * F.col("x"))).first()[0] == sum(i * (i % 500) for i in range(300_000))
+
+
 def test_inks(spark):
     g = p.generated(spark, (2, 2), lambda at: F.array(at[0] * 255, at[1] * 100, F.lit(0), at[0] * at[1] * 55))
     assert arr(tiff.cmyk_to_rgb(g)).tolist() == [[[255, 255, 255], [0, 255, 255]], [[255, 155, 255], [0, 155 * 200 // 255, 200]]]
